@@ -87,6 +87,7 @@ def matched(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("source_published_at").alias("old_published_at"),
         tx.hash_text(F.coalesce("source_content_html", F.lit(""))).alias("old_source_hash"),
         tx.hash_text(body_of()).alias("old_body_hash"), (body_of() != "").alias("old_has_body"),
+        tx.hash_text(tx.blank_to_null(F.col("extracted_content_html"))).alias("old_extracted_hash"),
         F.col("translated_title").alias("old_translated_title"),
         (F.coalesce("translated_content_html", F.lit("")) != "").alias("old_translated"),
         F.col("translation_provider").alias("old_provider"), F.col("refresh_status").alias("old_status"),
@@ -97,6 +98,8 @@ def matched(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         "source_hash": tx.hash_text(F.coalesce("source_content_html", F.lit(""))),
         "body_hash": tx.hash_text(tx.first_filled(F.col("page_html"), F.col("source_content_html"))),
     }).drop("page_html", "source_content_html")
+    if "provider" not in new.columns:
+        new = new.withColumn("provider", F.lit("rss"))
     return new.join(old, KEY, "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 
@@ -111,52 +114,56 @@ def with_reuse(pairs: DataFrame, recheck_hours: int = 24) -> DataFrame:
     return pairs.withColumn("reuse_body", F.coalesce(reuse, F.lit(False)))
 
 
-def with_changes(pairs: DataFrame) -> DataFrame:
-    """content_changed, display_changed, metadata_unchanged and the action they lead to."""
-    reused = F.col("reuse_body") if "reuse_body" in pairs.columns else F.lit(False)
-    body = F.when(reused, F.col("old_body_hash")).otherwise(F.col("body_hash"))
-    changed = F.col("stored") & (~same_text("source_title", "old_title") | ~(F.col("old_body_hash").eqNullSafe(body)))
-    kept_translation = F.col("old_translated") & ~F.col("content_changed")
-    title_shown = F.coalesce(tx.blank_to_null(F.col("old_translated_title")), F.col("old_title"), F.lit(""))
-    display_same = F.when(kept_translation, F.lit(True)).otherwise(
-        ~F.coalesce(F.col("old_translated"), F.lit(False)) & ~F.col("content_changed")
-        & (title_shown == F.coalesce("source_title", F.lit("")))
+def with_plan(pairs: DataFrame, feeds: DataFrame) -> DataFrame:
+    """content_changed, and per item what becomes of its translation: reuse | backoff | translate | skip."""
+    body = F.when(F.col("reuse_body"), F.col("old_body_hash")).otherwise(F.col("body_hash"))
+    changed = F.col("stored") & (~same_text("source_title", "old_title") | ~F.col("old_body_hash").eqNullSafe(body))
+    enabled = feeds.select("feed_name", F.col("translate_enabled").alias("_on"))
+    rows = pairs.join(enabled, "feed_name", "left").withColumns({"new_body_hash": body, "content_changed": changed})
+    on, retry = F.coalesce("_on", F.lit(False)), F.col("translation_retry_after")
+    expired = F.coalesce(retry <= F.col("refreshed_at"), F.lit(False))
+    waiting = on & ~F.col("content_changed") & F.coalesce(retry > F.col("refreshed_at"), F.lit(False))
+    reuse = on & F.coalesce("old_translated", F.lit(False)) & ~expired & ~F.col("content_changed")
+    plan = (
+        F.when(reuse, F.lit("reuse")).when(waiting, F.lit("backoff")).when(on, F.lit("translate")).otherwise(F.lit("skip"))
     )
-    meta_same = (
+    return rows.withColumn("plan", plan).drop("_on")
+
+
+def with_changes(planned: DataFrame) -> DataFrame:
+    """display_changed, metadata_unchanged and the action they lead to.
+
+    What is shown before any new translation arrives: the stored translation when it is reused, else the plain item.
+    """
+    reuse, title = F.col("plan") == "reuse", F.coalesce("source_title", F.lit(""))
+    shown_before = F.coalesce(tx.blank_to_null(F.col("old_translated_title")), F.col("old_title"), F.lit(""))
+    shown_now = F.when(reuse, F.coalesce(tx.blank_to_null(F.col("old_translated_title")), title)).otherwise(title)
+    body_same = reuse | (~F.col("old_translated") & F.col("old_body_hash").eqNullSafe(F.col("new_body_hash")))
+    display_changed = ~F.col("stored") | (shown_before != shown_now) | ~F.coalesce(body_same, F.lit(False))
+
+    plain_provider = F.when(F.col("reuse_body"), base_provider(F.col("old_provider"))).otherwise(F.col("provider"))
+    provider = F.when(reuse, F.coalesce(tx.blank_to_null(F.col("old_provider")), plain_provider)).otherwise(plain_provider)
+    extracted = F.when(F.col("new_body_hash") != F.col("source_hash"), F.col("new_body_hash"))
+    metadata_unchanged = (
         F.col("stored") & (F.col("source_url") == F.col("old_url")) & same_text("source_author", "old_author")
         & F.col("source_published_at").eqNullSafe(F.col("old_published_at"))
         & (F.col("source_hash") == F.col("old_source_hash"))
+        & F.col("old_extracted_hash").eqNullSafe(extracted)
+        & (F.coalesce("old_provider", F.lit("")) == provider)
     )
-    return (
-        pairs.withColumn("content_changed", changed)
-        .withColumn("display_changed", ~F.col("stored") | ~F.coalesce(display_same, F.lit(False)))
-        .withColumn("metadata_unchanged", meta_same)
-        .withColumn(
-            "action",
-            F.when(~F.col("stored"), F.lit("insert"))
-            .when(~F.col("display_changed") & F.col("metadata_unchanged"), F.lit("touch"))
-            .otherwise(F.lit("update")),
-        )
+    action = (
+        F.when(~F.col("stored"), F.lit("insert"))
+        .when(~F.col("display_changed") & F.col("metadata_unchanged"), F.lit("touch"))
+        .otherwise(F.lit("update"))
     )
+    return planned.withColumns({
+        "display_changed": display_changed, "metadata_unchanged": F.coalesce(metadata_unchanged, F.lit(False)),
+        "translation_provider": provider,
+    }).withColumn("action", action)
 
 
-def reconcile_items(incoming: DataFrame, stored: DataFrame, recheck_hours: int = 24) -> DataFrame:
-    return with_changes(with_reuse(matched(incoming, stored), recheck_hours))
-
-
-def translation_plan(reconciled: DataFrame, feeds: DataFrame) -> DataFrame:
-    """reuse | backoff | translate | skip per item."""
-    enabled = feeds.select("feed_name", "translate_enabled")
-    rows = reconciled.join(enabled, "feed_name", "left")
-    on = F.coalesce("translate_enabled", F.lit(False))
-    retry = F.col("translation_retry_after")
-    expired = F.coalesce(retry <= F.col("refreshed_at"), F.lit(False))
-    waiting = on & ~F.col("content_changed") & F.coalesce(retry > F.col("refreshed_at"), F.lit(False))
-    reuse = on & F.coalesce("old_translated", F.lit(False)) & ~expired & ~F.col("content_changed")
-    plan = (
-        F.when(reuse, F.lit("reuse")).when(waiting, F.lit("backoff")).when(on, F.lit("translate")).otherwise(F.lit("skip"))
-    )
-    return rows.withColumn("plan", plan)
+def reconcile_items(incoming: DataFrame, stored: DataFrame, feeds: DataFrame, recheck_hours: int = 24) -> DataFrame:
+    return with_changes(with_plan(with_reuse(matched(incoming, stored), recheck_hours), feeds))
 
 
 def saved_item_reconcile(imported: DataFrame, stored: DataFrame, now: str) -> DataFrame:
@@ -331,7 +338,3 @@ def retry_batch_status(results: DataFrame) -> DataFrame:
         "feed_name", F.when(F.col("any_failed"), F.lit("partial")).otherwise(F.lit("ok")).alias("status"),
         F.when(F.col("any_failed"), F.col("first_error")).otherwise(F.lit("")).alias("error"),
     )
-
-
-def provider_source(c: str) -> Column:
-    return base_provider(F.col(c))

@@ -16,23 +16,36 @@ TRANSLATED = "COALESCE(e.translated_content_html, '') <> ''"
 
 RECONCILED = f"""
     pairs AS (
-      SELECT i.id, i.feed_name, i.source_guid, i.refreshed_at, i.source_title, i.source_author, i.source_published_at,
-        e.id IS NOT NULL AS stored, {TRANSLATED} AS old_translated, e.translation_retry_after,
+      SELECT i.*, e.id IS NOT NULL AS stored, e.source_title AS old_title, e.translated_title AS old_translated_title,
+        {TRANSLATED} AS old_translated, e.translation_retry_after, {BODY} AS old_body, {NEW_BODY} AS page_body,
+        NULLIF(e.extracted_content_html, '') AS old_extracted, COALESCE(e.translation_provider, '') AS old_provider,
         COALESCE(e.refresh_status <> 'error' AND i.refreshed_at < COALESCE(e.source_fetched_at, e.refreshed_at) + INTERVAL '24' HOUR
           AND (COALESCE(i.source_title, '') = '' OR COALESCE(i.source_title, '') = COALESCE(e.source_title, ''))
           AND i.source_content_html = e.source_content_html AND {BODY} <> '', false) AS reuse_body,
-        COALESCE(e.source_title, '') <> COALESCE(i.source_title, '') AS title_changed, {BODY} <> {NEW_BODY} AS body_changed,
-        COALESCE(NULLIF(e.translated_title, ''), e.source_title, '') AS title_shown,
         COALESCE(i.source_url = e.source_url AND COALESCE(i.source_author, '') = COALESCE(e.source_author, '')
           AND i.source_published_at IS NOT DISTINCT FROM e.source_published_at
-          AND i.source_content_html = e.source_content_html, false) AS metadata_unchanged
-      FROM v_incoming i LEFT JOIN v_entries e ON e.feed_name = i.feed_name AND e.source_guid = i.source_guid),
-    changes AS (SELECT *, stored AND (title_changed OR (NOT reuse_body AND body_changed)) AS content_changed FROM pairs),
-    displays AS (SELECT *, NOT stored OR NOT CASE WHEN old_translated AND NOT content_changed THEN true
-        ELSE NOT old_translated AND NOT content_changed AND title_shown = COALESCE(source_title, '') END AS display_changed
-      FROM changes),
-    reconciled AS (SELECT *, CASE WHEN NOT stored THEN 'insert' WHEN NOT display_changed AND metadata_unchanged THEN 'touch'
-        ELSE 'update' END AS action FROM displays)"""
+          AND i.source_content_html = e.source_content_html, false) AS fields_same, COALESCE(f.translate_enabled, false) AS on_flag
+      FROM v_incoming i LEFT JOIN v_entries e ON e.feed_name = i.feed_name AND e.source_guid = i.source_guid
+      LEFT JOIN v_feeds f ON f.feed_name = i.feed_name),
+    bodies AS (SELECT *, CASE WHEN reuse_body THEN old_body ELSE page_body END AS new_body FROM pairs),
+    changes AS (SELECT *, stored AND (COALESCE(old_title, '') <> COALESCE(source_title, '') OR old_body <> new_body)
+        AS content_changed FROM bodies),
+    plans AS (SELECT *, CASE
+        WHEN on_flag AND old_translated AND NOT content_changed AND NOT COALESCE(translation_retry_after <= refreshed_at, false)
+          THEN 'reuse'
+        WHEN on_flag AND NOT content_changed AND COALESCE(translation_retry_after > refreshed_at, false) THEN 'backoff'
+        WHEN on_flag THEN 'translate' ELSE 'skip' END AS plan FROM changes),
+    displays AS (SELECT *, NOT stored
+        OR COALESCE(NULLIF(old_translated_title, ''), old_title, '')
+          <> CASE WHEN plan = 'reuse' THEN COALESCE(NULLIF(old_translated_title, ''), source_title, '') ELSE COALESCE(source_title, '') END
+        OR NOT (plan = 'reuse' OR (NOT old_translated AND old_body = new_body)) AS display_changed,
+        CASE WHEN plan = 'reuse' THEN old_provider WHEN reuse_body THEN split_part(old_provider, '+', 1) ELSE 'rss' END AS provider
+      FROM plans),
+    reconciled AS (SELECT *, stored AND fields_same AND provider = old_provider
+        AND old_extracted IS NOT DISTINCT FROM CASE WHEN new_body <> source_content_html THEN new_body END AS metadata_unchanged
+      FROM displays),
+    decided AS (SELECT *, CASE WHEN NOT stored THEN 'insert' WHEN NOT display_changed AND metadata_unchanged THEN 'touch'
+        ELSE 'update' END AS action FROM reconciled)"""
 
 
 def entries(spark, folder):
@@ -48,12 +61,12 @@ def incoming(spark, folder):
 
 
 def reconciled(spark, folder):
-    return rc.reconcile_items(incoming(spark, folder), entries(spark, folder))
+    return rc.reconcile_items(incoming(spark, folder), entries(spark, folder), feeds(spark, folder))
 
 
 @query("reconcile_items", f"""
     WITH {RECONCILED} SELECT id, feed_name, reuse_body, content_changed, display_changed, metadata_unchanged, action
-    FROM reconciled""")
+    FROM decided""")
 def reconcile_items(spark, folder):
     return reconciled(spark, folder).select(
         "id", "feed_name", "reuse_body", "content_changed", "display_changed", "metadata_unchanged", "action"
@@ -66,16 +79,10 @@ def reuse_or_refetch(spark, folder):
     return rc.with_reuse(pairs).select("id", "reuse_body")
 
 
-@query("translation_plan", f"""
-    WITH {RECONCILED} SELECT r.id, CASE
-        WHEN f.translate_enabled AND old_translated AND NOT content_changed
-          AND NOT COALESCE(translation_retry_after <= refreshed_at, false) THEN 'reuse'
-        WHEN f.translate_enabled AND NOT content_changed AND COALESCE(translation_retry_after > refreshed_at, false)
-          THEN 'backoff'
-        WHEN f.translate_enabled THEN 'translate' ELSE 'skip' END AS plan
-    FROM reconciled r LEFT JOIN v_feeds f ON f.feed_name = r.feed_name""")
+@query("translation_plan", f"WITH {RECONCILED} SELECT id, feed_name, plan FROM plans")
 def translation_plan(spark, folder):
-    return rc.translation_plan(reconciled(spark, folder), feeds(spark, folder)).select("id", "plan")
+    pairs = rc.with_reuse(rc.matched(incoming(spark, folder), entries(spark, folder)))
+    return rc.with_plan(pairs, feeds(spark, folder)).select("id", "feed_name", "plan")
 
 
 @query("content_revision", f"""
