@@ -20,8 +20,8 @@ CELL = "_cell"
 
 def cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Rows with their cell number, increasing in `order` within a key; written once, as it is read twice."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(parts, *keys, *order).withColumn(CELL, F.spark_partition_id())
+    how_many = [parts] if parts else []  # unset: adaptive execution sizes the ranges
+    spread = df.repartitionByRange(*how_many, *keys, *order).withColumn(CELL, F.spark_partition_id())
     return cut(spread)
 
 
