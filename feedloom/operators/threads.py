@@ -14,23 +14,28 @@ MAX_POSTS = 250  # a thread keeps this many posts, by rule
 def thread_assembly(posts: DataFrame, roots: DataFrame, cap: int = MAX_POSTS) -> DataFrame:
     """Posts of each root's thread: same conversation and author, first seen once, at most `cap`, by time.
 
-    Posts are cut to the cap per (conversation, author) before the join, so a conversation of any size sends at most
-    `cap` rows per author into it. The root comes first in the cap, whatever its place."""
+    Posts are cut to the cap per (conversation, author) before they meet the roots, so a conversation of any size
+    sends at most `cap` rows per author into the join. The root counts first in the cap, whatever its place."""
     seen = posts.groupBy("conversation_id", "author", "post_id").agg(
         F.min("seen_no").alias("seen_no"), F.min_by("created_at", "seen_no").alias("created_at")
     )
-    named = roots.select("conversation_id", F.col("post_id").alias("root_id"))
-    ranked = seen.join(named, "conversation_id").withColumn("is_root", F.col("post_id") == F.col("root_id"))
-    authors = ranked.filter("is_root").select("root_id", F.col("author").alias("root_author"))
-    kept = top_per_group(
-        ranked, ["root_id", "author"], [F.col("is_root").desc(), F.col("seen_no").asc()], cap, "_kept"
-    ).drop("_kept")
-    thread = kept.join(authors, "root_id").filter(F.col("author") == F.col("root_author"))
+    root = roots.select("conversation_id", "post_id").join(seen, ["conversation_id", "post_id"]).select(
+        "conversation_id", "author", F.col("post_id").alias("root_id"), F.col("seen_no").alias("root_no"),
+        F.col("created_at").alias("root_at"),
+    )
+    capped = top_per_group(seen, ["conversation_id", "author"], [F.col("seen_no").asc()], cap, "_n").drop("_n")
+    others = capped.join(root, ["conversation_id", "author"]).filter(F.col("post_id") != F.col("root_id"))
+    columns = ["root_id", "conversation_id", "author", "post_id", "created_at", "seen_no"]
+    firsts = root.select("root_id", "conversation_id", "author", F.col("root_id").alias("post_id"),
+                         F.col("root_at").alias("created_at"), F.col("root_no").alias("seen_no"))
+    thread = firsts.withColumn("is_root", F.lit(True)).unionByName(
+        others.select(*columns).withColumn("is_root", F.lit(False))
+    )
+    kept = top_per_group(thread, ["root_id"], [F.col("is_root").desc(), F.col("seen_no").asc()], cap, "_kept")
     order = [F.col("created_at").asc_nulls_first(), F.col("is_root").desc(), F.col("seen_no").asc()]
     # At most `cap` rows per root are left.
-    return top_per_group(thread, ["root_id"], order, cap, "position").select(
-        "root_id", "conversation_id", "author", "post_id", "created_at", "position"
-    )
+    placed = top_per_group(kept.drop("_kept"), ["root_id"], order, cap, "position")
+    return placed.select("root_id", "conversation_id", "author", "post_id", "created_at", "position")
 
 
 def thread_latest(posts: DataFrame, roots: DataFrame) -> DataFrame:
