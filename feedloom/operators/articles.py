@@ -13,6 +13,7 @@ from feedloom.functions import text as tx
 from feedloom.operators.lists import top_per_group
 from feedloom.operators.ordered import previous, running
 from feedloom.operators.threads import author_text
+from feedloom.session import cut
 
 MAX_REFERENCES = 20  # an article looks up this many referenced posts, by rule
 
@@ -170,6 +171,7 @@ HEADINGS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
 
 def article_markdown(articles: DataFrame, key: str, posts: DataFrame) -> DataFrame:
     """One text per article: title, blocks with their links, quotes and media, then the media not shown yet."""
+    articles = cut(articles)  # parsed once, read by each part below
     found = entities(articles, key)
     blocks = articles.select(key, F.posexplode("article.content_state.blocks").alias("pos", "b")).select(
         key, "pos", F.coalesce("b.type", F.lit("unstyled")).alias("type"), F.coalesce("b.text", F.lit("")).alias("text"),
@@ -203,7 +205,11 @@ def article_markdown(articles: DataFrame, key: str, posts: DataFrame) -> DataFra
     texts = blocks.drop("ranges").join(link_lists, [key, "pos"], "left")
     plain = F.col("type").isin("atomic", "code-block") | F.col("links").isNull()
     texts = texts.withColumn("text", F.when(plain, F.col("text")).otherwise(inline_links(F.col("text"), F.col("links")))).drop("links")
-    texts = list_numbering(texts, key, ["pos"], "type")
+    # An article is one input row, so a window over its blocks is bounded.
+    ordered = F.col("type") == "ordered-list-item"
+    run = F.sum((~ordered).cast("int")).over(Window.partitionBy(key).orderBy("pos"))
+    in_run = Window.partitionBy(key, "_run").orderBy("pos")
+    texts = texts.withColumn("_run", run).withColumn("item_no", F.sum(ordered.cast("int")).over(in_run)).drop("_run")
 
     # Lines of blocks, each as a push (a run of lines of one kind).
     level = F.try_element_at(

@@ -119,8 +119,10 @@ def markdown_chunks(rows: DataFrame, key: str, markdown: str, budget: int) -> Da
 
 def assemble_chunks(chunks: DataFrame, key: str) -> DataFrame:
     """Texts of documents whose chunks are all there, in order; an incomplete set gives an error, never a part."""
-    whole = chunks.groupBy(key).agg(
-        F.max("chunk_count").alias("expected"), F.countDistinct("chunk_no").alias("present"),
+    # A chunk that arrived many times folds to one row first, so a document brings no more rows than it has chunks.
+    once = chunks.groupBy(key, "chunk_no").agg(F.max("chunk_count").alias("chunk_count"), F.min("text").alias("text"))
+    whole = once.groupBy(key).agg(
+        F.max("chunk_count").alias("expected"), F.count(F.lit(1)).alias("present"),
         F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("_parts"),
     )
     complete = F.col("present") == F.col("expected")

@@ -31,7 +31,7 @@ STATUS_HOSTS = ("x.com", "www.x.com", "twitter.com", "www.twitter.com")
 def clean_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     cleaned = pages.withColumn("text", tx.strip_html(F.col(html))).drop(html)
     return cleaned.withColumns({
-        "excerpt": tx.truncate_text(F.col("text"), 240), "words": tx.plain_words(F.col("text")),
+        "excerpt": tx.truncate_text(F.col("text"), 240), "words": tx.clean_words(F.col("text")),
         "chars": F.length("text").cast("bigint"),
     })
 
@@ -48,9 +48,9 @@ def language_routing(items: DataFrame, title: Column, html: Column) -> DataFrame
     word = rf"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z'-]{{1,}}{tx.WORD_EDGE}"
     sampled = items.withColumn("_sample", F.substring(text, 1, SAMPLE_CHARS))
     counted = sampled.withColumns({
-        "letters": F.regexp_count("_sample", F.lit("[A-Za-z]")).cast("bigint"),
+        "letters": tx.count_chars(F.col("_sample"), "A-Za-z"),
         "words": F.regexp_count("_sample", F.lit(word)).cast("bigint"),
-        "cjk": F.regexp_count("_sample", F.lit(f"[{tx.CJK}]")).cast("bigint"),
+        "cjk": tx.count_chars(F.col("_sample"), tx.CJK),
     }).drop("_sample")
     return counted.withColumn(
         "translate", (F.col("words") >= 8) & (F.col("letters") >= 40) & (F.col("cjk") * 4 < F.col("letters"))

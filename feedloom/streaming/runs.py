@@ -15,11 +15,17 @@ from feedloom.schemas import TABLES
 from feedloom.session import ROCKSDB, fresh_folder
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Files of one table as an unbounded table; new files are picked up by later batches."""
+def stream_table(
+    spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None, bytes_per_batch: str | None = None
+) -> DataFrame:
+    """Files of one table as an unbounded table; new files are picked up by later batches.
+
+    The batch bound matters for keyed state: the rows of one key in one batch are sorted in one task."""
     reader = spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}*.parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    elif bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(folder)
 
 

@@ -28,16 +28,18 @@ def stream_upsert(stream: DataFrame, stored: DataFrame, out: str | None = None,
     spark = stream.sparkSession
     out = out or fresh_folder(spark, "snapshots")
     schema = stored.schema
+    done = f"{out}-done"
     stored.write.mode("ignore").parquet(f"{out}/after=-1")
-    last = [-1]
+    spark.range(1).write.mode("ignore").parquet(f"{done}/batch=-1")
 
     def merge(batch: DataFrame, number: int) -> None:
         before = spark.read.schema(schema).parquet(f"{out}/after={number - 1}")
         upsert_entries(before, newest_per_key(batch)).write.mode("overwrite").parquet(f"{out}/after={number}")
-        last[0] = max(last[0], number)
+        spark.range(1).write.mode("overwrite").parquet(f"{done}/batch={number}")
 
     run_batches(stream, merge, "append", **options)
-    return spark.read.schema(schema).parquet(f"{out}/after={last[0]}")
+    last = spark.read.schema("id BIGINT, batch BIGINT").parquet(done).agg(F.max("batch")).first()[0]
+    return spark.read.schema(schema).parquet(f"{out}/after={last}")
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour", **options) -> DataFrame:
