@@ -30,8 +30,9 @@ def _steps(span: int):
         hops = [np.append(np.searchsorted(times, times + span), n)]
         while (hops[-1][:-1] < n).any():
             hops.append(hops[-1][hops[-1]])
-        starts = np.arange(n) if key[2] else np.arange(1)
-        starts = starts[times[starts] < times[0] + span]
+        # An anchor from before an inner cell expires before first + span: the next start is one of the events up to
+        # then, or the first one after.
+        starts = np.arange(min(hops[0][0] + 1, n)) if key[2] else np.arange(1)
         at = starts.copy()
         for hop in reversed(hops):
             nxt = hop[at]

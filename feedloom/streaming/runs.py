@@ -21,12 +21,12 @@ def stream_table(
     """Files of one table as an unbounded table; new files are picked up by later batches.
 
     The batch bound matters for keyed state: the rows of one key in one batch are sorted in one task."""
-    reader = spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}*.parquet")
+    reader = spark.readStream.schema(TABLES[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     elif bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*.parquet")
 
 
 def event_time(c: str = "ts"):
