@@ -6,14 +6,13 @@ the last step gathers the lines of one article.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as tx
 from feedloom.operators.lists import top_per_group
 from feedloom.operators.ordered import previous, running
 from feedloom.operators.threads import author_text
-from feedloom.session import cut
 
 MAX_REFERENCES = 20  # an article looks up this many referenced posts, by rule
 
@@ -37,16 +36,22 @@ def read_articles(rows: DataFrame, key: str, raw: str) -> DataFrame:
     return rows.select(key, F.from_json(F.col(raw), ARTICLE).alias("article"))
 
 
-def entities(articles: DataFrame, key: str) -> DataFrame:
-    """One row per entity: place in the map, logical key, type and data."""
-    pairs = articles.select(key, F.posexplode(F.map_entries("article.content_state.entityMap")).alias("pos", "entry"))
-    value = F.col("entry.value.value")
-    return pairs.select(
-        key, "pos", F.col("entry.key").try_cast("int").alias("map_index"),
-        F.col("entry.value.key").try_cast("int").alias("logical_key"), value["type"].alias("type"), value["data"].alias("data"),
+def entity_array(article: str = "article") -> Column:
+    """Entities of an article: place in the map, logical key, type and data."""
+    return F.transform(
+        F.map_entries(f"{article}.content_state.entityMap"),
+        lambda e, i: F.struct(
+            i.alias("pos"), e["key"].try_cast("int").alias("map_index"), e["value"]["key"].try_cast("int").alias("logical_key"),
+            e["value"]["value"]["type"].alias("type"), e["value"]["value"]["data"].alias("data"),
+        ),
     )
 
 
+def entities(articles: DataFrame, key: str) -> DataFrame:
+    """One row per entity."""
+    return articles.select(key, F.inline(entity_array()))
+
+
 def referenced_enrichment(found: DataFrame, key: str, posts: DataFrame, cap: int = MAX_REFERENCES) -> DataFrame:
     """First-seen distinct posts an article refers to, at most `cap`, with what is known of them.
 
@@ -71,34 +76,39 @@ def best_variant(variants: Column) -> Column:
     return F.coalesce(F.get(F.sort_array(ranked, asc=False), F.lit(0))["u"], F.get(any_url, F.lit(0))["url"])
 
 
+def asset_array(article: str = "article") -> Column:
+    """Media of an article in order: kind, address, poster; `repeated` marks an asset that stood before."""
+
+    def asset(m: Column, i: Column) -> Column:
+        info = m["media_info"]
+        still, preview = info["original_img_url"], info["preview_image"]["original_img_url"]
+        return F.struct(
+            i.alias("pos"), m["media_id"].alias("media_id"), best_variant(info["variants"]).alias("video"),
+            F.coalesce(preview, still).alias("poster"), F.coalesce(still, preview).alias("image"),
+        )
+
+    def shape(m: Column) -> Column:
+        video = m["video"].isNotNull()
+        return F.struct(
+            m["pos"].alias("pos"), m["media_id"].alias("media_id"), F.when(video, "video").otherwise("image").alias("kind"),
+            F.coalesce(m["video"], m["image"]).alias("url"), F.when(video, m["poster"]).alias("poster"),
+        )
+
+    shaped = F.filter(F.transform(F.transform(f"{article}.media_entities", asset), shape), lambda m: m["url"].isNotNull())
+    # Bound once: each asset is compared with the ones before it.
+    marked = F.transform(F.array(shaped), lambda all_of: F.transform(all_of, lambda m: m.withField(
+        "repeated", F.exists(all_of, lambda o: (o["pos"] < m["pos"]) & (o["kind"] == m["kind"]) & (o["url"] == m["url"])
+                             & o["poster"].eqNullSafe(m["poster"])))))
+    return F.get(marked, F.lit(0))
+
+
 def media_lookup(articles: DataFrame, key: str) -> DataFrame:
-    """Media of each article: kind, address, poster; the same asset counts once, in the place of its first use."""
-    media = articles.select(key, F.posexplode("article.media_entities").alias("pos", "m"))
-    info = F.col("m.media_info")
-    still, preview = info["original_img_url"], info["preview_image"]["original_img_url"]
-    read = media.select(
-        key, "pos", F.col("m.media_id").alias("media_id"), best_variant(info["variants"]).alias("_video"),
-        F.coalesce(preview, still).alias("_poster"), F.coalesce(still, preview).alias("_image"),
-    )
-    is_video = F.col("_video").isNotNull()
-    assets = read.select(
-        key, "pos", "media_id", F.when(is_video, F.lit("video")).otherwise(F.lit("image")).alias("kind"),
-        F.coalesce("_video", "_image").alias("url"), F.when(is_video, F.col("_poster")).alias("poster"),
-    ).filter("url IS NOT NULL")
-    identity = Window.partitionBy(key, "kind", "url", "poster").orderBy("pos")
-    return assets.withColumn("repeated", F.row_number().over(identity) > 1)
-
-
-def media_link_pairing(found: DataFrame, key: str) -> DataFrame:
-    """Pair media entities with links of one article by key: the first unused link with a greater key, else the first
-    one left. The choice depends on the ones before it, so it is a fold over the article's few entities."""
-    numbered = found.filter(F.col("logical_key").isNotNull())
-    is_media = F.col("type").isin("MEDIA", "IMAGE")
-    is_link = (F.col("type") == "LINK") & F.col("data.url").isNotNull()
-    lists = numbered.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(is_media, F.struct(F.col("logical_key").alias("k"), "pos", "map_index")))).alias("media"),
-        F.array_sort(F.collect_list(F.when(is_link, F.struct(F.col("logical_key").alias("k"), "pos", F.col("data.url").alias("url"))))).alias("links"),
-    ).filter((F.size("media") > 0) & (F.size("links") > 0))
+    return articles.select(key, F.inline(asset_array()))
+
+
+def pair_links(media: Column, links: Column) -> Column:
+    """Pair media with links by key: the first unused link with a greater key, else the first one left. `media` is a
+    sorted array of (k, pos, map_index), `links` one of (k, pos, url). A choice depends on the ones before it."""
 
     def step(acc: Column, m: Column) -> Column:
         later = F.get(F.filter(acc["pool"], lambda link: link["k"] > m["k"]), F.lit(0))
@@ -109,11 +119,27 @@ def media_link_pairing(found: DataFrame, key: str) -> DataFrame:
             F.when(pick.isNull(), acc["pairs"]).otherwise(F.concat(acc["pairs"], F.array(pair))).alias("pairs"),
         )
 
-    zero = F.struct(
-        F.col("links").alias("pool"),
-        F.array().cast("array<struct<map_index:int,logical_key:int,url:string>>").alias("pairs"),
-    )
-    return lists.select(key, F.inline(F.aggregate("media", zero, step, lambda acc: acc["pairs"])))
+    none = F.array().cast("array<struct<map_index:int,logical_key:int,url:string>>")
+    return F.aggregate(media, F.struct(links.alias("pool"), none.alias("pairs")), step, lambda acc: acc["pairs"])
+
+
+def is_media(kind: Column) -> Column:
+    return F.coalesce(kind.isin("MEDIA", "IMAGE"), F.lit(False))
+
+
+def paired(found: Column) -> Column:
+    """Pairs of media and links among the entities of one article."""
+    keyed = F.filter(found, lambda e: e["logical_key"].isNotNull())
+    media = F.transform(F.filter(keyed, lambda e: is_media(e["type"])), lambda e: F.struct(
+        e["logical_key"].alias("k"), e["pos"].alias("pos"), e["map_index"].alias("map_index")))
+    links = F.transform(
+        F.filter(keyed, lambda e: (e["type"] == "LINK") & e["data"]["url"].isNotNull()),
+        lambda e: F.struct(e["logical_key"].alias("k"), e["pos"].alias("pos"), e["data"]["url"].alias("url")))
+    return pair_links(F.array_sort(media), F.array_sort(links))
+
+
+def media_link_pairing(articles: DataFrame, key: str, found: Column | None = None) -> DataFrame:
+    return articles.select(key, F.inline(paired(entity_array() if found is None else found)))
 
 
 def list_numbering(blocks: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
@@ -152,12 +178,20 @@ def inline_links(text: Column, links: Column) -> Column:
     return F.aggregate(ordered, text, mark)
 
 
+def _shown(url: Column, line: Column) -> Column:
+    return F.struct(url.alias("url"), line.alias("line"))
+
+
+def _plain(line: Column) -> Column:
+    return _shown(F.lit(None).cast("string"), line)
+
+
 def _media_parts(kind: Column, url: Column, poster: Column, alt: Column) -> Column:
     """Lines of one asset as (url, line): a video has its poster before it."""
-    image = F.struct(url.alias("url"), F.concat(F.lit("!["), alt, F.lit("]("), url, F.lit(")")).alias("line"))
+    image = _shown(url, F.concat(F.lit("!["), alt, F.lit("]("), url, F.lit(")")))
     cover_alt = F.coalesce(tx.blank_to_null(alt), F.lit("video"))
-    cover = F.struct(poster.alias("url"), F.concat(F.lit("!["), cover_alt, F.lit("]("), poster, F.lit(")")).alias("line"))
-    clip = F.struct(url.alias("url"), F.concat(F.lit("[video]("), url, F.lit(")")).alias("line"))
+    cover = _shown(poster, F.concat(F.lit("!["), cover_alt, F.lit("]("), poster, F.lit(")")))
+    clip = _shown(url, F.concat(F.lit("[video]("), url, F.lit(")")))
     return F.when(kind == "video", F.filter(F.array(cover, clip), lambda p: p["url"].isNotNull())).otherwise(F.array(image))
 
 
@@ -167,147 +201,166 @@ def fallback_kind(url: Column) -> Column:
 
 
 HEADINGS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
+LINES = "array<struct<url:string,line:string>>"
+RUNS = ("list", "quote", "media", "code", "tail")  # kinds whose neighbours stay together
 
 
-def article_markdown(articles: DataFrame, key: str, posts: DataFrame) -> DataFrame:
-    """One text per article: title, blocks with their links, quotes and media, then the media not shown yet."""
-    articles = cut(articles)  # parsed once, read by each part below
-    found = entities(articles, key)
-    blocks = articles.select(key, F.posexplode("article.content_state.blocks").alias("pos", "b")).select(
-        key, "pos", F.coalesce("b.type", F.lit("unstyled")).alias("type"), F.coalesce("b.text", F.lit("")).alias("text"),
-        F.col("b.entityRanges").alias("ranges"),
-    )
-    # Each range of a block with its entity: by logical key first, else by place in the map.
-    ranges = blocks.select(key, "pos", "type", F.posexplode("ranges").alias("rpos", "r")).select(
-        key, "pos", "type", "rpos", F.col("r.key").alias("range_key"), F.col("r.offset").alias("off"), F.col("r.length").alias("len")
-    )
-    by_logical = found.filter("logical_key IS NOT NULL").groupBy(key, F.col("logical_key").alias("range_key")).agg(
-        F.min_by(F.struct("type", "data"), "pos").alias("_a")
-    )
-    by_index = found.filter("map_index IS NOT NULL").select(
-        key, F.col("map_index").alias("range_key"), F.struct("type", "data").alias("_b")
-    )
-    linked = ranges.join(by_logical, [key, "range_key"], "left").join(by_index, [key, "range_key"], "left").withColumn(
-        "_e", F.coalesce("_a", "_b")
-    ).drop("_a", "_b")
-    linked = linked.withColumns({"etype": F.col("_e.type"), "data": F.col("_e.data")}).drop("_e")
-
-    pairs = media_link_pairing(found, key)
-    pair_urls = pairs.select(key, F.explode(F.array_distinct(F.array("map_index", "logical_key"))).alias("range_key"), F.col("url").alias("pair_url"))
-    pair_urls = pair_urls.filter("range_key IS NOT NULL").groupBy(key, "range_key").agg(F.max("pair_url").alias("pair_url"))
-    is_media = F.col("etype").isin("MEDIA", "IMAGE")
-    with_url = linked.join(pair_urls, [key, "range_key"], "left").withColumn(
-        "link_url", F.when(F.col("etype") == "LINK", F.col("data.url")).when(is_media, F.col("pair_url"))
-    )
-    link_lists = with_url.groupBy(key, "pos").agg(F.collect_list(
-        F.struct(F.col("off").alias("offset"), F.col("rpos"), F.col("len").alias("length"), F.col("link_url").alias("url"))
-    ).alias("links"))
-    texts = blocks.drop("ranges").join(link_lists, [key, "pos"], "left")
-    plain = F.col("type").isin("atomic", "code-block") | F.col("links").isNull()
-    texts = texts.withColumn("text", F.when(plain, F.col("text")).otherwise(inline_links(F.col("text"), F.col("links")))).drop("links")
-    # An article is one input row, so a window over its blocks is bounded.
-    ordered = F.col("type") == "ordered-list-item"
-    run = F.sum((~ordered).cast("int")).over(Window.partitionBy(key).orderBy("pos"))
-    in_run = Window.partitionBy(key, "_run").orderBy("pos")
-    texts = texts.withColumn("_run", run).withColumn("item_no", F.sum(ordered.cast("int")).over(in_run)).drop("_run")
-
-    # Lines of blocks, each as a push (a run of lines of one kind).
-    level = F.try_element_at(
-        F.create_map(*[F.lit(x) for k, v in HEADINGS.items() for x in (f"header-{k}", "#" * v)]), F.col("type")
-    )
-    empty_mark = F.rlike(F.trim("text"), F.lit(r"^XIMGPH_\d+$"))
+def _resolved_blocks() -> Column:
+    """Blocks with the entity of each range: by logical key first, else by place in the map."""
+
+    def entity(k: Column) -> Column:
+        def first(field: str) -> Column:
+            return F.get(F.filter("_entities", lambda e: e[field].eqNullSafe(k)), F.lit(0))
+
+        return F.coalesce(first("logical_key"), first("map_index"))
+
+    def block(b: Column) -> Column:
+        ranges = F.coalesce(b["entityRanges"], F.array().cast("array<struct<key:int,offset:int,length:int>>"))
+        return F.struct(
+            F.coalesce(b["type"], F.lit("unstyled")).alias("type"), F.coalesce(b["text"], F.lit("")).alias("text"),
+            F.transform(F.filter(ranges, lambda r: r["key"].isNotNull()), lambda r: F.struct(
+                r["key"].alias("key"), r["offset"].alias("offset"), r["length"].alias("length"), entity(r["key"]).alias("e"),
+            )).alias("ranges"),
+        )
+
+    return F.transform("article.content_state.blocks", lambda b: block(b))
+
+
+def _linked_blocks() -> Column:
+    """Blocks with links put into their text; media take the link they are paired with, the last pair of a key."""
+
+    def url(r: Column) -> Column:
+        pair = F.try_element_at(
+            F.filter("_pairs", lambda p: p["map_index"].eqNullSafe(r["key"]) | p["logical_key"].eqNullSafe(r["key"])), F.lit(-1))
+        return F.when(r["e"]["type"] == "LINK", r["e"]["data"]["url"]).when(is_media(r["e"]["type"]), pair["url"])
+
+    def block(b: Column) -> Column:
+        links = F.transform(b["ranges"], lambda r, i: F.struct(
+            r["offset"].alias("offset"), i.alias("rpos"), r["length"].alias("length"), url(r).alias("url")))
+        return b.withField("text", F.when(b["type"].isin("atomic", "code-block"), b["text"]).otherwise(inline_links(b["text"], links)))
+
+    return F.transform("_blocks", lambda b: block(b))
+
+
+def _item_numbers() -> Column:
+    """Number of each block within its run of ordered-list items."""
+
+    def step(acc: Column, b: Column) -> Column:
+        n = F.when(b["type"] == "ordered-list-item", acc["n"] + 1).otherwise(0)
+        return F.struct(F.concat(acc["all"], F.array(n)).alias("all"), n.alias("n"))
+
+    zero = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("n"))
+    return F.aggregate("_blocks", zero, step, lambda acc: acc["all"])
+
+
+def _block_pushes(b: Column, i: Column) -> Column:
+    """What a block adds, as pushes (kind, lines)."""
+    no_lines = F.array().cast(LINES)
+
+    def push(kind: Column | str, lines: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), lines.cast(LINES).alias("lines"))
+
+    def per_range(make) -> Column:
+        return F.coalesce(F.flatten(F.transform(b["ranges"], make)), no_lines)
+
+    def quote(r: Column) -> Column:
+        post = F.coalesce(r["e"]["data"]["tweetId"], F.lit(""))
+        known = F.try_element_at(F.col("_posts"), post)
+        address = F.coalesce(known["url"], F.concat(F.lit("https://x.com/i/web/status/"), post))
+        text = F.concat_ws(
+            "\n", F.concat(F.lit("> 引用推文"), F.coalesce(F.concat(F.lit("："), known["author"]), F.lit(""))),
+            F.concat(F.lit("> "), tx.blank_to_null(known["summary"])), F.concat(F.lit("> "), address))
+        return F.when((r["e"]["type"] == "TWEET") & (post != ""), F.array(_plain(text))).otherwise(no_lines)
+
+    def note(r: Column) -> Column:
+        text = F.regexp_replace(F.replace(r["e"]["data"]["markdown"], F.lit("\r\n"), F.lit("\n")), r"\s+$", "")
+        return F.when((r["e"]["type"] == "MARKDOWN") & (text != ""), F.array(_plain(text))).otherwise(no_lines)
+
+    def link(r: Column) -> Column:
+        url = r["e"]["data"]["url"]
+        return F.when((r["e"]["type"] == "LINK") & (url != ""), F.array(_plain(url))).otherwise(no_lines)
+
+    def media(r: Column) -> Column:
+        data = r["e"]["data"]
+        alt = F.regexp_replace(tx.collapse_space(F.coalesce(data["caption"], F.lit(""))), r"([\[\]])", r"\\$1")
+
+        def lines(alt: Column) -> Column:
+            def of_item(item: Column) -> Column:
+                wanted = F.coalesce(item["mediaId"], item["media_id"])
+                asset = F.try_element_at(F.filter("_assets", lambda m: m["media_id"] == wanted), F.lit(-1))
+                return F.transform(F.filter(F.array(asset), lambda m: m.isNotNull()),
+                                   lambda m: _media_parts(m["kind"], m["url"], m["poster"], alt))
+
+            items = F.coalesce(F.flatten(F.flatten(F.transform(data["mediaItems"], of_item))), no_lines)
+            own = F.when(tx.blank_to_null(data["url"]).isNotNull(), _media_parts(
+                fallback_kind(data["url"]), data["url"], F.lit(None).cast("string"), alt)).otherwise(no_lines)
+            return F.concat(items, own)
+
+        return F.when(is_media(r["e"]["type"]), F.flatten(F.transform(F.array(alt), lines))).otherwise(no_lines)
+
+    kind_of, text = b["type"], b["text"]
+    level = F.try_element_at(F.create_map(*[F.lit(x) for k, v in HEADINGS.items() for x in (f"header-{k}", "#" * v)]), kind_of)
     kind = (
-        F.when(F.col("type") == "code-block", "code").when(F.col("type").endswith("list-item"), "list")
-        .when(level.isNotNull(), "heading").when(F.col("type") == "blockquote", "quote").otherwise("text")
+        F.when(kind_of == "code-block", "code").when(F.endswith(kind_of, F.lit("list-item")), "list")
+        .when(level.isNotNull(), "heading").when(kind_of == "blockquote", "quote").otherwise("text")
     )
     line = (
-        F.when(F.col("type") == "unordered-list-item", F.concat(F.lit("- "), "text"))
-        .when(F.col("type") == "ordered-list-item", F.concat(F.col("item_no").cast("string"), F.lit(". "), "text"))
-        .when(level.isNotNull(), F.concat(level, F.lit(" "), "text"))
-        .when(F.col("type") == "blockquote", F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> "))))
-        .otherwise(F.col("text"))
-    )
-    own = texts.filter((F.col("type") != "atomic") & ~((kind == "text") & empty_mark)).select(
-        key, "pos", F.lit(0).alias("part"), F.lit(0).alias("n"), kind.alias("kind"), line.alias("line"), F.lit(None).cast("string").alias("url")
-    )
-    atomic = with_url.filter(F.col("type") == "atomic")
-    quotes = referenced_enrichment(found, key, posts).drop("rank").withColumnRenamed("url", "post_url")
-    quoted = atomic.filter((F.col("etype") == "TWEET") & (F.col("data.tweetId") != "")).withColumn(
-        "post_id", F.col("data.tweetId")
-    ).join(quotes, [key, "post_id"], "left")
-    author = F.coalesce(F.concat(F.lit("：")  , "author"), F.lit(""))
-    address = F.coalesce("post_url", F.concat(F.lit("https://x.com/i/web/status/"), "post_id"))
-    quote = F.concat_ws("\n", F.concat(F.lit("> 引用推文"), author), F.concat(F.lit("> "), tx.blank_to_null(F.col("summary"))), F.concat(F.lit("> "), address))
-    nothing = F.lit(None).cast("string").alias("url")
-    quote_rows = quoted.select(key, "pos", F.lit(1).alias("part"), F.col("rpos").alias("n"), F.lit("quote").alias("kind"), quote.alias("line"), nothing)
-    embedded = F.rtrim(F.replace(F.col("data.markdown"), F.lit("\r\n"), F.lit("\n")))
-    embedded = F.regexp_replace(embedded, r"\s+$", "")
-    note_rows = atomic.filter((F.col("etype") == "MARKDOWN") & (embedded != "")).select(
-        key, "pos", F.lit(2).alias("part"), F.col("rpos").alias("n"), F.lit("text").alias("kind"), embedded.alias("line"), nothing
-    )
-    link_rows = atomic.filter((F.col("etype") == "LINK") & (F.col("data.url") != "")).groupBy(key, "pos", F.col("data.url").alias("_u")).agg(
-        F.min("rpos").alias("n")
-    ).select(key, "pos", F.lit(4).alias("part"), "n", F.lit("text").alias("kind"), F.col("_u").alias("line"), nothing)
-
-    # Media of a block: the entity's items by id, then its own address.
-    assets = media_lookup(articles, key)
-    alt = F.regexp_replace(tx.collapse_space(F.coalesce(F.col("data.caption"), F.lit(""))), r"([\[\]])", r"\\$1")
-    shown = with_url.filter((F.col("type") != "code-block") & is_media).withColumn("alt", alt)
-    items = shown.select(key, "pos", "rpos", "alt", F.posexplode("data.mediaItems").alias("ipos", "item")).select(
-        key, "pos", "rpos", "alt", "ipos", F.coalesce("item.mediaId", "item.media_id").alias("media_id")
-    )
-    by_id = assets.groupBy(key, "media_id").agg(F.max_by(F.struct("kind", "url", "poster"), "pos").alias("_m"))
-    by_item = items.join(by_id, [key, "media_id"]).select(key, "pos", "rpos", "ipos", "alt", "_m.kind", "_m.url", "_m.poster")
-    by_address = shown.filter(F.col("data.url").isNotNull()).select(
-        key, "pos", "rpos", F.lit(1000000).alias("ipos"), "alt", fallback_kind(F.col("data.url")).alias("kind"),
-        F.col("data.url").alias("url"), F.lit(None).cast("string").alias("poster"),
+        F.when(kind_of == "unordered-list-item", F.concat(F.lit("- "), text))
+        .when(kind_of == "ordered-list-item", F.concat(F.get(F.col("_numbers"), i).cast("string"), F.lit(". "), text))
+        .when(level.isNotNull(), F.concat(level, F.lit(" "), text))
+        .when(kind_of == "blockquote", F.concat(F.lit("> "), F.replace(text, F.lit("\n"), F.lit("\n> "))))
+        .otherwise(text)
     )
-    media = by_item.unionByName(by_address).select(
-        key, "pos", F.lit(3).alias("part"), (F.col("rpos") * 10).alias("n"), "ipos",
-        F.posexplode(_media_parts(F.col("kind"), F.col("url"), F.col("poster"), F.col("alt"))).alias("lpos", "p"),
-    )
-    trailing = assets.filter("NOT repeated").select(
-        key, F.lit(2147483647).alias("pos"), F.lit(5).alias("part"), F.col("pos").alias("n"), F.lit(0).alias("ipos"),
-        F.posexplode(_media_parts(F.col("kind"), F.col("url"), F.col("poster"), F.lit(""))).alias("lpos", "p"),
+    mark_only = (kind == "text") & F.rlike(F.trim(text), F.lit(r"^XIMGPH_\d+$"))
+    own = F.when(mark_only, no_lines).otherwise(F.array(_plain(line)))
+    atomic = F.array(push("quote", per_range(quote)), push("text", per_range(note)), push("media", per_range(media)),
+                     push("text", F.array_distinct(per_range(link))))
+    shown_media = F.when(kind_of == "code-block", no_lines).otherwise(per_range(media))
+    return F.when(kind_of == "atomic", atomic).otherwise(F.array(push(kind, own), push("media", shown_media)))
+
+
+def article_markdown(articles: DataFrame, key: str, posts: DataFrame) -> DataFrame:
+    """One text per article: title, blocks with their links, quotes and media, then the media not shown yet.
+
+    An article is one row, so its text is made inside the row; only the posts it quotes are looked up by a join."""
+    quoted = referenced_enrichment(entities(articles, key), key, posts).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("post_id", F.struct("url", "author", "summary")))).alias("_posts")
     )
     cover = F.col("article.cover_media.media_info")
-    covers = articles.select(key, F.coalesce(cover["original_img_url"], cover["preview_image"]["original_img_url"]).alias("cover"))
-    uses = media.unionByName(trailing).select(key, "pos", "part", "n", "ipos", "lpos", "p.url", "p.line")
+    # One column per step: an expression that is used many times must be a column first.
+    rows = articles.join(quoted, key, "left").withColumns({
+        "_entities": entity_array(), "_assets": asset_array(),
+        "_cover": F.coalesce(cover["original_img_url"], cover["preview_image"]["original_img_url"]),
+    })
+    rows = rows.withColumn("_pairs", paired(F.col("_entities"))).withColumn("_blocks", _resolved_blocks())
+    rows = rows.withColumns({"_blocks": _linked_blocks(), "_numbers": _item_numbers()})
+    rows = rows.withColumn("_pushes", F.flatten(F.transform("_blocks", _block_pushes)))
+    tail = F.flatten(F.transform(
+        F.filter("_assets", lambda m: ~m["repeated"]), lambda m: _media_parts(m["kind"], m["url"], m["poster"], F.lit(""))))
+    tail_push = F.array(F.struct(F.lit("tail").alias("kind"), tail.cast(LINES).alias("lines")))
+    empty = F.array().cast("array<struct<kind:string,lines:array<struct<url:string,line:string>>>>")
+    rows = rows.withColumn("_pushes", F.concat(F.coalesce("_pushes", empty), F.when(F.col("_assets").isNull(), empty).otherwise(tail_push)))
+    rows = rows.withColumn("_lines", F.flatten(F.transform("_pushes", lambda p, n: F.transform(p["lines"], lambda x: F.struct(
+        n.alias("push"), p["kind"].alias("kind"), x["url"].alias("url"), x["line"].alias("line"))))))
     # An address is shown once per article, at its first use; the cover counts as shown.
-    first_use = F.struct("pos", "part", "n", "ipos", "lpos")
-    firsts = uses.groupBy(key, "url").agg(F.min(first_use).alias("_at"), F.min_by("line", first_use).alias("line"))
-    kept = firsts.join(covers, key).filter(~F.coalesce(F.col("url") == F.col("cover"), F.lit(False))).select(
-        key, "_at.pos", "_at.part", (F.col("_at.n") * 1000000 + F.col("_at.ipos") * 10 + F.col("_at.lpos")).cast("bigint").alias("n"),
-        F.when(F.col("_at.part") == 5, "tail").otherwise("media").alias("kind"), "line", "url",
-    )
-    lines = own.withColumn("n", F.col("n").cast("bigint"))
-    for more in (quote_rows, note_rows, link_rows):
-        lines = lines.unionByName(more.withColumn("n", F.col("n").cast("bigint")))
-    lines = lines.unionByName(kept)
-
-    # Lines of one push join first; then pushes of one article, parted by blank lines and fences.
-    pushes = lines.groupBy(key, "pos", "part", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("_l")).select(
-        key, "pos", "part", "kind", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("push")
-    )
-    folded = pushes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "part", "kind", "push"))).alias("_p"))
-
-    def step(acc: Column, p: Column) -> Column:
-        before, code = acc["kind"], p["kind"] == "code"
-        same = (before == p["kind"]) & p["kind"].isin("list", "quote", "media", "code", "tail")
-        closing = F.when((before == "code") & ~code, F.lit("\n```")).otherwise(F.lit(""))
-        gap = F.when(before == "", F.lit("")).when(same, F.lit("\n")).otherwise(F.lit("\n\n"))
-        opening = F.when(code & (before != "code"), F.lit("```\n")).when(
-            (p["kind"] == "tail") & (before != "tail"), F.lit("## Media\n\n")).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["text"], closing, gap, opening, p["push"]).alias("text"), p["kind"].alias("kind"))
-
-    body = F.aggregate(
-        "_p", F.struct(F.lit("").alias("text"), F.lit("").alias("kind")), step,
-        lambda acc: F.when(acc["kind"] == "code", F.concat(acc["text"], F.lit("\n```"))).otherwise(acc["text"]),
-    )
-    bodies = folded.select(key, body.alias("body"))
+    rows = rows.withColumn("_urls", F.transform("_lines", lambda x: x["url"])).withColumn("_lines", F.filter(
+        "_lines", lambda x, i: x["url"].isNull() | (
+            (F.array_position("_urls", x["url"]) == i + 1) & ~F.coalesce(x["url"] == F.col("_cover"), F.lit(False)))))
+
+    def written(x: Column, i: Column) -> Column:
+        before = F.get(F.col("_lines"), i - 1)
+        was, code = before["kind"], x["kind"] == "code"
+        together = (before["push"] == x["push"]) | ((was == x["kind"]) & x["kind"].isin(*RUNS))
+        closing = F.when((was == "code") & ~code, F.lit("\n```")).otherwise(F.lit(""))
+        gap = F.when(was.isNull(), F.lit("")).when(together, F.lit("\n")).otherwise(F.lit("\n\n"))
+        opening = F.when(code & ~F.coalesce(was == "code", F.lit(False)), F.lit("```\n")).when(
+            (x["kind"] == "tail") & ~F.coalesce(was == "tail", F.lit(False)), F.lit("## Media\n\n")).otherwise(F.lit(""))
+        return F.concat(closing, gap, opening, x["line"])
+
+    ends_in_code = F.try_element_at(F.col("_lines"), F.lit(-1))["kind"] == "code"
+    body = F.concat(F.array_join(F.transform("_lines", written), ""), F.when(ends_in_code, F.lit("\n```")).otherwise(F.lit("")))
     has_blocks = F.coalesce(F.size("article.content_state.blocks") > 0, F.lit(False))
     fallback = F.when(~has_blocks, tx.trim_space(F.coalesce("article.plain_text", "article.preview_text")))
     head = F.concat(F.lit("# "), tx.blank_to_null(tx.trim_space(F.col("article.title"))))
-    joined = articles.join(bodies, key, "left").join(covers, key, "left")
-    text = F.concat_ws("\n\n", head, tx.blank_to_null(fallback), tx.blank_to_null(F.col("body")))
-    return joined.select(key, F.regexp_replace(text, r"\s+$", "").alias("markdown"), F.col("cover").alias("cover_url"))
+    text = F.concat_ws("\n\n", head, tx.blank_to_null(fallback), tx.blank_to_null(body))
+    return rows.select(key, F.regexp_replace(text, r"\s+$", "").alias("markdown"), F.col("_cover").alias("cover_url"))

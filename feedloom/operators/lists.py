@@ -31,7 +31,8 @@ def newest_first() -> list[Column]:
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First n rows per group. The bound on row_number lets Spark prune each task's input before the shuffle,
     so a large group sends at most n rows per task."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+    return ranked.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def with_excerpt(entries: DataFrame) -> DataFrame:

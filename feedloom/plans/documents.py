@@ -322,7 +322,7 @@ SUMMARY = """(CASE WHEN length({0}) <= 280 THEN {0} ELSE concat(substring({0}, 1
 
 @query("referenced_enrichment", f"""
     WITH known AS (SELECT CAST(conv_id AS VARCHAR) AS post_id, role, {SUMMARY} AS summary FROM conversations WHERE turn = 0 AND conv_id % 2 = 0)
-    SELECT doc_id, CAST(1 AS INT) AS rank, CAST(doc_id % 50 AS VARCHAR) AS post_id,
+    SELECT doc_id, CAST(1 AS BIGINT) AS rank, CAST(doc_id % 50 AS VARCHAR) AS post_id,
       CASE WHEN role IS NULL THEN concat('https://x.com/i/web/status/', CAST(doc_id % 50 AS VARCHAR))
         ELSE concat('https://x.com/', role, '/status/', CAST(doc_id % 50 AS VARCHAR)) END AS url,
       concat('Quoted (@' || role || ')') AS author, COALESCE(summary, '') AS summary
@@ -343,7 +343,7 @@ def media_lookup(spark, folder):
 @query("media_link_pairing", """
     SELECT doc_id, 2 AS map_index, 2 AS logical_key, concat('https://example.org/', CAST(doc_id AS VARCHAR)) AS url FROM documents""")
 def media_link_pairing(spark, folder):
-    return ar.media_link_pairing(ar.entities(rich_articles(spark, folder), "doc_id"), "doc_id")
+    return ar.media_link_pairing(rich_articles(spark, folder), "doc_id")
 
 
 @query("article_markdown", f"""

@@ -118,7 +118,8 @@ def test_article_parts(spark):
     entities = articles.entities(found, "id")
     none = spark.createDataFrame([], "post_id string, name string, username string, text string")
     assert rows(articles.referenced_enrichment(entities, "id", none), "post_id", "url") == [("42", "https://x.com/i/web/status/42")]
-    pairs = spark.createDataFrame([(1, p, p, k, t, {"url": u}) for p, (k, t, u) in enumerate([
-        (1, "MEDIA", None), (9, "IMAGE", None), (3, "LINK", "a"), (5, "LINK", "b"), (7, "MEDIA", None), (8, "MEDIA", None)])],
-        "id int, pos int, map_index int, logical_key int, type string, data struct<url: string>")
-    assert sorted(rows(articles.media_link_pairing(pairs, "id"), "logical_key", "url")) == [(1, "a"), (7, "b")]
+    keys = [(1, "MEDIA", None), (9, "IMAGE", None), (3, "LINK", "a"), (5, "LINK", "b"), (7, "MEDIA", None), (8, "MEDIA", None)]
+    one = spark.createDataFrame([(1, [(p, p, k, t, (u,)) for p, (k, t, u) in enumerate(keys)])], (
+        "id int, found array<struct<pos: int, map_index: int, logical_key: int, type: string, data: struct<url: string>>>"))
+    pairs = articles.media_link_pairing(one, "id", F.col("found"))
+    assert sorted(rows(pairs, "logical_key", "url")) == [(1, "a"), (7, "b")]
