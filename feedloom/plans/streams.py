@@ -91,13 +91,44 @@ def stream_recheck_gate(spark, folder):
     return stateful.stream_recheck_gate(items, "user_id", "ts", "event_id", "content")
 
 
-@query("stream_circuit")
+CIRCUIT = """
+    WITH RECURSIVE ev AS (SELECT concat('p', CAST(user_id % 50 AS VARCHAR)) AS provider, epoch_us(ts) AS us, event_id AS id,
+        CASE event_type WHEN 'error' THEN 'limit' WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'ok' WHEN 'view' THEN 'claim' ELSE 'fail' END AS kind,
+        CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) + CAST(json_extract_string(props, '$.k') AS BIGINT) * 60000000 END AS hint,
+        CASE WHEN event_id % 5 = 0 THEN 0 END AS claim,
+        row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS rn FROM events),
+    walk AS (
+      SELECT DISTINCT provider, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS kind, false AS accepted, 'closed' AS st,
+        CAST(0 AS BIGINT) AS fails, CAST(NULL AS BIGINT) AS np, CAST(NULL AS BIGINT) AS lp, false AS pr FROM ev
+      UNION ALL
+      SELECT provider, rn, id, kind, opened OR extended OR closes OR claimed,
+        CASE WHEN opened THEN 'open' WHEN closes THEN 'closed' WHEN claimed THEN 'half-open' ELSE st END,
+        CASE WHEN opened THEN fails + 1 WHEN closes THEN 0 ELSE fails END,
+        CASE WHEN opened THEN greatest(us + CASE least(fails, 3) WHEN 0 THEN 15 WHEN 1 THEN 30 WHEN 2 THEN 60 ELSE 120 END * CAST(60000000 AS BIGINT), COALESCE(hint, 0))
+          WHEN extended THEN hint WHEN closes THEN NULL ELSE np END,
+        CASE WHEN claimed THEN us ELSE lp END,
+        CASE WHEN claimed THEN true WHEN kind IN ('ok', 'fail') AND cur THEN false ELSE pr END
+      FROM (
+        SELECT *, opens AND st <> 'open' AS opened, opens AND st = 'open' AND hint IS NOT NULL AND (np IS NULL OR hint > np) AS extended,
+          kind IN ('ok', 'fail') AND (kind = 'ok' OR st = 'closed') AND cur AND st IN ('closed', 'half-open') AS closes,
+          kind = 'claim' AND NOT pr AND st = 'open' AND COALESCE(np <= us, false) AS claimed
+        FROM (
+          SELECT *, kind = 'limit' OR (kind = 'fail' AND st <> 'closed' AND cur) AS opens FROM (
+            SELECT w.provider, e.rn, e.id, e.kind, e.us, e.hint, w.fails, w.lp, w.pr AND (e.claim IS NULL OR e.claim = w.lp) AS cur,
+              CASE WHEN e.kind = 'claim' AND w.pr AND w.lp <= e.us - 245000000 AND w.st = 'half-open' THEN 'open' ELSE w.st END AS st,
+              CASE WHEN e.kind = 'claim' AND w.pr AND w.lp <= e.us - 245000000 AND w.st = 'half-open' THEN e.us ELSE w.np END AS np,
+              w.pr AND NOT (e.kind = 'claim' AND w.lp <= e.us - 245000000) AS pr
+            FROM walk w JOIN ev e ON e.provider = w.provider AND e.rn = w.rn + 1) x) y) z)
+    SELECT provider, id, kind, accepted, st AS state, fails AS failures, np AS next_probe FROM walk WHERE rn > 0"""
+
+
+@query("stream_circuit", CIRCUIT)
 def stream_circuit(spark, folder):
     kinds = F.create_map(*[F.lit(x) for x in ("error", "limit", "signup", "claim", "click", "ok", "view", "claim", "purchase", "fail")])
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     hint = us + F.get_json_object("props", "$.k").cast("bigint") * 60_000_000
     events = stream_table(spark, folder, "events", bytes_per_batch=STATE_BATCH).select(
-        F.concat(F.lit("p"), F.col("user_id") % 3).alias("provider"), us.alias("us"), F.col("event_id").alias("id"),
+        F.concat(F.lit("p"), F.col("user_id") % 50).alias("provider"), us.alias("us"), F.col("event_id").alias("id"),
         F.try_element_at(kinds, F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 3 == 0, hint).alias("hint"),
         F.when(F.col("event_id") % 5 == 0, F.lit(0).cast("bigint")).alias("claim"),
     )

@@ -75,9 +75,37 @@ def oversize_split(spark, folder):
     return chunks.oversize_split(blocks, "doc_id", "block", 12)
 
 
-@query("markdown_chunks")
+@query("markdown_chunks", rf"""
+    WITH RECURSIVE lines AS (SELECT doc_id, n, line, {mixed_words('line')} AS w FROM (
+        SELECT doc_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n
+        FROM v_markdown) t WHERE trim(line) <> ''),
+    numbered AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}[ \t]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM lines),
+    sized AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, s) AS sw FROM numbered),
+    large AS (SELECT *, list_filter(string_split(regexp_replace(line, '([.!?。！？]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS sentences
+      FROM sized WHERE sw > 30 AND w > 30),
+    parts AS (SELECT doc_id, n, CAST(k AS INT) AS k, t, {mixed_words('t')} AS w FROM (
+      SELECT doc_id, n, unnest(sentences) AS t, generate_subscripts(sentences, 1) AS k FROM large WHERE len(sentences) > 1) x),
+    split AS (SELECT doc_id, n, k, t, w AS used, 0 AS p FROM parts WHERE k = 1
+      UNION ALL SELECT b.doc_id, b.n, b.k, b.t, CASE WHEN a.used + b.w > 30 THEN b.w ELSE a.used + b.w END,
+        CASE WHEN a.used + b.w > 30 THEN a.p + 1 ELSE a.p END
+      FROM split a JOIN parts b ON b.doc_id = a.doc_id AND b.n = a.n AND b.k = a.k + 1),
+    runs AS (SELECT doc_id, n, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS ws FROM large WHERE len(sentences) <= 1),
+    pieces AS (
+      SELECT doc_id, min(n) AS n, 0 AS p, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM sized WHERE sw <= 30 GROUP BY doc_id, s
+      UNION ALL SELECT doc_id, n, 0, line FROM sized WHERE sw > 30 AND w <= 30
+      UNION ALL SELECT doc_id, n, p, string_agg(t, ' ' ORDER BY k) FROM split GROUP BY doc_id, n, p
+      UNION ALL SELECT doc_id, n, CAST(i AS INT), array_to_string(list_slice(ws, i * 30 + 1, i * 30 + 30), ' ') FROM (
+        SELECT *, unnest(range(0, CAST(ceil(len(ws) / 30.0) AS BIGINT))) AS i FROM runs) r),
+    frags AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, p) AS INT) AS fno, text, CAST({mixed_words('text')} AS BIGINT) AS w FROM pieces),
+    {PACK.format(budget=30)}
+    SELECT k.doc_id, CAST(k.chunk_no AS INT) AS chunk_no, CAST(max(used) AS BIGINT) AS words, CAST(count(*) AS INT) AS fragments,
+      sha256(string_agg(f.text, chr(10) || chr(10) ORDER BY f.fno)) AS text_hash
+    FROM walk k JOIN frags f ON f.doc_id = k.doc_id AND f.fno = k.fno GROUP BY 1, 2""")
 def markdown_chunks(spark, folder):
-    return chunks.markdown_chunks(view(spark, folder, "v_markdown").select("doc_id", "markdown"), "doc_id", "markdown", 60)
+    parted = F.replace("markdown", F.lit("\n"), F.lit("\n\n"))
+    rows = view(spark, folder, "v_markdown").select("doc_id", parted.alias("markdown"))
+    packed = chunks.markdown_chunks(rows, "doc_id", "markdown", 30)
+    return packed.select("doc_id", "chunk_no", "words", "fragments", tx.hash_text(F.col("text")).alias("text_hash"))
 
 
 @query("assemble_chunks", """
