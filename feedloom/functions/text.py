@@ -36,7 +36,7 @@ def trim_space(c: Column) -> Column:
 
 def _collapse(c: Column, space: str) -> Column:
     # Rare spaces first, behind a cheap range test, then runs of blanks: much faster than one pass with the whole class.
-    rare = rf"[\x00-\x1F\x7F-\x{{10FFFF}}&&[{space.replace(' ', '')}]]+"
+    rare = _space_class(space.replace(" ", "")) + "+"
     return F.trim(F.regexp_replace(F.regexp_replace(c, rare, " "), " {2,}", " "))
 
 
@@ -103,8 +103,17 @@ def stable_guid(guid: Column, item_id: Column, link: Column, title: Column, pub_
     return hash_text(F.coalesce(blank_to_null(guid), blank_to_null(item_id), blank_to_null(link), fallback))
 
 
+def _space_class(space: str) -> str:
+    # The range test comes first: most characters never reach the long class.
+    return rf"[\x00-\x20\x7F-\x{{10FFFF}}&&[{space}]]"
+
+
+def split_words(c: Column) -> Column:
+    return F.filter(F.split(c, _space_class(SPACE) + "++"), lambda w: w != "")
+
+
 def plain_words(c: Column) -> Column:
-    """Number of space-separated words."""
+    """Number of space-separated words. A match count keeps its compiled pattern; a split compiles it for every text."""
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(rf"[\x21-\x7E[^{SPACE}]]+")).cast("bigint")
 
 
@@ -118,12 +127,22 @@ def count_chars(c: Column, chars: str) -> Column:
     return (F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))).cast("bigint")
 
 
+def cjk_chars(c: Column) -> Column:
+    return count_chars(c, CJK)
+
+
+def words_beside_cjk(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(rf"[\x21-\x7E[^{SPACE}{CJK}]]+")).cast("bigint")
+
+
+def weighted(words: Column, cjk: Column) -> Column:
+    """One word per two CJK characters, rounded up."""
+    return words + F.floor((cjk + 1) / 2).cast("bigint")
+
+
 def mixed_words(c: Column) -> Column:
-    """Space-separated words outside CJK, plus one word per two CJK characters, rounded up."""
     text = F.coalesce(c, F.lit(""))
-    cjk = count_chars(text, CJK)
-    words = F.regexp_count(text, F.lit(rf"[\x21-\x7E[^{SPACE}{CJK}]]+"))
-    return (words + F.ceil(cjk / 2)).cast("bigint")
+    return weighted(words_beside_cjk(text), cjk_chars(text))
 
 
 def search_text(translated_title: Column, source_title: Column, source_url: Column) -> Column:

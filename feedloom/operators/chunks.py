@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import SPACE, mixed_words, plain_words, trim_space
+from feedloom.functions.text import (
+    SPACE, cjk_chars, mixed_words, plain_words, split_words, trim_space, weighted, words_beside_cjk,
+)
 
 SECTION_BREAK = r"\n(?=#{1,6}[ \t])"
+SENTENCE_END = rf"([.!?。！？])[{SPACE}]+"
 SENTENCE_BREAK = rf"(?<=[.!?。！？])[{SPACE}]+"
+MARK = "\x01"  # stands for the space after a sentence
 
 
 def chunk_starts(words: Column, budget: int) -> Column:
@@ -30,9 +34,13 @@ def chunk_starts(words: Column, budget: int) -> Column:
     )
 
 
-def chunk_pack(rows: DataFrame, key: str, fragments: str, budget: int, joiner: str = "\n\n", words=plain_words) -> DataFrame:
-    """One row per chunk of the ordered fragments (an array column) of each row."""
-    counted = rows.select(key, F.col(fragments).alias("_f")).withColumn("_w", F.transform("_f", lambda f: words(f)))
+def chunk_pack(
+    rows: DataFrame, key: str, fragments: str, budget: int, joiner: str = "\n\n", words: str | None = None
+) -> DataFrame:
+    """One row per chunk of the ordered fragments (an array column) of each row; `words` names an array of their sizes,
+    which are counted when it is not given."""
+    sizes = F.col(words) if words else F.transform(fragments, lambda f: plain_words(f))
+    counted = rows.select(key, F.col(fragments).alias("_f"), sizes.alias("_w"))
     packed = counted.withColumn("_s", chunk_starts(F.col("_w"), budget))
 
     def chunk(start: Column, i: Column) -> Column:
@@ -55,51 +63,65 @@ def section_split(rows: DataFrame, key: str, markdown: str, budget: int) -> Data
     return counted.withColumn("fits", F.col("words") <= budget)
 
 
+def counted(text: Column) -> Column:
+    """A text with its counts. Counts of parts add up to those of the parts joined by white space, so no text is counted
+    again after joining."""
+    return F.struct(text.alias("t"), words_beside_cjk(text).alias("w"), cjk_chars(text).alias("c"))
+
+
+def size_of(part: Column) -> Column:
+    return weighted(part["w"], part["c"])
+
+
+def _joined(parts: Column, joiner: str) -> Column:
+    def total(field: str) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a + p[field])
+
+    text = F.array_join(F.transform(parts, lambda p: p["t"]), joiner)
+    return F.struct(text.alias("t"), total("w").alias("w"), total("c").alias("c"))
+
+
 def _pack_parts(parts: Column, joiner: str, budget: int) -> Column:
-    """Greedy runs of parts, joined."""
+    """Greedy runs of counted parts, each joined to one part."""
 
-    def step(acc: Column, part: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["used"] + part["w"] > budget)
-        glued = F.when(full | (acc["n"] == 0), part["t"]).otherwise(F.concat(acc["open"], F.lit(joiner), part["t"]))
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            glued.alias("open"), F.when(full, part["w"]).otherwise(acc["used"] + part["w"]).alias("used"),
-            (acc["n"] + 1).alias("n"),
-        )
+    def runs(counted_parts: Column) -> Column:
+        starts = chunk_starts(F.transform(counted_parts, lambda p: size_of(p)), budget)
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda start, i: _joined(
+            F.slice(counted_parts, start, F.coalesce(F.get(at, i + 1), F.size(counted_parts) + 1) - start), joiner)))
 
-    zero = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("open"),
-        F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"),
-    )
-    counted = F.transform(parts, lambda p: F.struct(p.alias("t"), mixed_words(p).alias("w")))
-    return F.aggregate(counted, zero, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    return F.flatten(F.flatten(F.transform(F.array(parts), runs)))
 
 
 def _word_runs(block: Column, budget: int) -> Column:
-    words = F.filter(F.split(block, f"[{SPACE}]+"), lambda w: w != "")
-    runs = F.transform(F.array(words), lambda ws: F.transform(
-        F.sequence(F.lit(1), F.size(ws), F.lit(budget)), lambda i: F.array_join(F.slice(ws, i, budget), " ")
-    ))
-    return F.get(runs, F.lit(0))
+    return F.flatten(F.transform(F.array(split_words(block)), lambda ws: F.transform(
+        F.sequence(F.lit(1), F.size(ws), F.lit(budget)), lambda i: counted(F.array_join(F.slice(ws, i, budget), " "))
+    )))
 
 
 def oversize_pieces(block: Column, budget: int) -> Column:
-    """Pieces of a block: itself when it fits, else runs of lines, of sentences, or of words."""
-    lines = F.split(block, "\n")
-    sentences = F.filter(F.split(block, SENTENCE_BREAK), lambda s: s != "")
+    """Pieces of a counted block: itself when it fits, else runs of lines, of sentences, or of words."""
+    lines = F.split(block["t"], "\n")
+    # A replacement keeps its compiled pattern, and one character splits without a pattern. Texts that hold the mark
+    # itself take the slower way.
+    marked = F.split(F.regexp_replace(block["t"], SENTENCE_END, f"$1{MARK}"), MARK)
+    parts = F.when(F.contains(block["t"], F.lit(MARK)), F.split(block["t"], SENTENCE_BREAK)).otherwise(marked)
+    sentences = F.filter(parts, lambda s: s != "")
+
+    def by_sentence(found: Column) -> Column:
+        packed = _pack_parts(F.transform(found, lambda x: counted(x)), " ", budget)
+        return F.when(F.size(found) > 1, packed).otherwise(_word_runs(block["t"], budget))
+
     return (
-        F.when(mixed_words(block) <= budget, F.array(block))
-        .when(F.size(lines) > 1, _pack_parts(lines, "\n", budget))
-        .when(F.size(sentences) > 1, _pack_parts(sentences, " ", budget))
-        .otherwise(_word_runs(block, budget))
+        F.when(size_of(block) <= budget, F.array(block))
+        .when(F.size(lines) > 1, _pack_parts(F.transform(lines, lambda x: counted(x)), "\n", budget))
+        .otherwise(F.flatten(F.transform(F.array(sentences), by_sentence)))
     )
 
 
 def oversize_split(rows: DataFrame, key: str, block: str, budget: int) -> DataFrame:
-    pieces = oversize_pieces(F.col(block), budget)
-    return rows.select(*[c for c in rows.columns if c != block], F.posexplode(pieces).alias("piece_no", "text")).withColumn(
-        "words", mixed_words(F.col("text"))
-    )
+    sized = rows.withColumn(block, counted(F.col(block)))
+    pieces = sized.select(*[c for c in rows.columns if c != block], F.posexplode(oversize_pieces(F.col(block), budget)).alias("piece_no", "_p"))
+    return pieces.withColumns({"text": F.col("_p.t"), "words": size_of(F.col("_p"))}).drop("_p")
 
 
 def markdown_chunks(rows: DataFrame, key: str, markdown: str, budget: int) -> DataFrame:
@@ -107,14 +129,17 @@ def markdown_chunks(rows: DataFrame, key: str, markdown: str, budget: int) -> Da
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(markdown), F.lit("")), "^\\x{FEFF}", ""), "\r\n?", "\n")
     blocks = F.filter(F.split(clean, r"\n[ \t]*\n\s*"), lambda b: trim_space(b) != "")
     tidy = rows.select(key, F.array_join(blocks, "\n\n").alias("_text"))
-    sections = tidy.withColumn("_sections", F.filter(F.split("_text", r"\n\n(?=#{1,6}[ \t])"), lambda s: s != ""))
-    pieces = F.flatten(F.transform(
-        "_sections",
-        lambda s: F.when(mixed_words(s) <= budget, F.array(s)).otherwise(
-            F.flatten(F.transform(F.split(s, "\n\n"), lambda b: oversize_pieces(b, budget)))
-        ),
-    ))
-    return chunk_pack(sections.withColumn("_pieces", pieces), key, "_pieces", budget, words=mixed_words)
+    sections = F.filter(F.split("_text", r"\n\n(?=#{1,6}[ \t])"), lambda s: s != "")
+    sized = tidy.withColumn("_sections", F.transform(sections, lambda s: F.transform(F.split(s, "\n\n"), lambda b: counted(b))))
+
+    def pieces(section: Column) -> Column:
+        size = F.aggregate(section, F.lit(0).cast("bigint"), lambda a, b: a + size_of(b))
+        split = F.flatten(F.transform(section, lambda b: oversize_pieces(b, budget)))
+        return F.when(size <= budget, F.array(_joined(section, "\n\n"))).otherwise(split)
+
+    cut = sized.withColumn("_pieces", F.flatten(F.transform("_sections", pieces)))
+    parts = cut.select(key, F.transform("_pieces", lambda p: p["t"]).alias("_texts"), F.transform("_pieces", lambda p: size_of(p)).alias("_sizes"))
+    return chunk_pack(parts, key, "_texts", budget, words="_sizes")
 
 
 def assemble_chunks(chunks: DataFrame, key: str) -> DataFrame:
