@@ -62,14 +62,24 @@ def normalize_ws(c: Column, full: bool = False) -> Column:
     return _collapse(text, WIDE_SPACE)
 
 
-def strip_html(c: Column) -> Column:
+def strip_markup(c: Column) -> Column:
+    """Text without script and style blocks and tags, two entities decoded; white space stays as it is. Texts without
+    tags or entities skip the passes for them."""
     text = F.coalesce(c, F.lit(""))
+    bare = text
     for block in ("script", "style"):
-        text = F.regexp_replace(text, rf"(?i)<{block}[\s\S]*?</{block}>", " ")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    text = F.regexp_replace(text, "(?i)&nbsp;", " ")
-    text = F.regexp_replace(text, "(?i)&amp;", "&")
-    return collapse_space(text)
+        bare = F.regexp_replace(bare, rf"(?i)<{block}[\s\S]*?</{block}>", " ")
+    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(bare, "<[^>]+>", " ")).otherwise(text)
+    decoded = F.regexp_replace(F.regexp_replace(bare, "(?i)&nbsp;", " "), "(?i)&amp;", "&")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(bare)
+
+
+def strip_html(c: Column) -> Column:
+    return collapse_space(strip_markup(c))
+
+
+def without_space(c: Column) -> Column:
+    return F.regexp_replace(c, _space_class(SPACE) + "+", "")
 
 
 def truncate_text(c: Column, limit: int) -> Column:

@@ -11,6 +11,7 @@ from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
 from feedloom.operators.matching import match_rules, rule_value
 from feedloom.operators.ordered import nearest_rank
+from feedloom.session import cut
 
 SAMPLE_CHARS = 6000  # the routing rule itself looks at this much of an item
 MIN_EMBEDDED_CHARS = 280
@@ -44,7 +45,8 @@ def clean_totals(cleaned: DataFrame, source: Column) -> DataFrame:
 
 def language_routing(items: DataFrame, title: Column, html: Column) -> DataFrame:
     """Which items are in a Latin-script language worth translating."""
-    text = tx.normalize_ws(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), tx.strip_html(html)))
+    # Normalising collapses all white space, so the text needs no pass of its own for it.
+    text = tx.normalize_ws(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), tx.strip_markup(html)))
     word = rf"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z'-]{{1,}}{tx.WORD_EDGE}"
     sampled = items.withColumn("_sample", F.substring(text, 1, SAMPLE_CHARS))
     counted = sampled.withColumns({
@@ -163,15 +165,14 @@ def response_audit(responses: DataFrame) -> DataFrame:
 
 def reading_rows(items: DataFrame, text: str) -> DataFrame:
     """Readable characters (white space aside), minutes at 200 of them, and weighted words."""
-    chars = F.length(F.regexp_replace(F.col(text), f"[{tx.SPACE}]+", "")).cast("bigint")
-    return items.withColumns({
-        "chars": chars, "minutes": F.greatest(F.lit(1), F.floor(chars / 200 + 0.5)).cast("bigint"),
-        "words": tx.mixed_words(F.col(text)),
+    counted = items.withColumns({
+        "chars": F.length(tx.without_space(F.col(text))).cast("bigint"), "words": tx.mixed_words(F.col(text)),
     }).drop(text)
+    return counted.withColumn("minutes", F.greatest(F.lit(1), F.floor(F.col("chars") / 200 + 0.5)).cast("bigint"))
 
 
 def reading_stats(items: DataFrame, text: str, source: str) -> DataFrame:
-    rows = reading_rows(items, text)
+    rows = cut(reading_rows(items.select(source, text), text))  # a few numbers per text, read twice below
     ranks = nearest_rank(rows.select(source, "words"), [source], "words", {"words_p50": 0.5, "words_p95": 0.95})
     sums = rows.groupBy(source).agg(
         F.count(F.lit(1)).alias("items"), F.sum("chars").alias("chars"), F.sum("minutes").alias("minutes"),

@@ -134,7 +134,7 @@ def nearest_rank(
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = running(counts, keys, [value], {"_upto": ("sum", F.col("_n"))}, parts=parts)
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
     ranked = upto.join(totals, list(keys))
     picks = [
         F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_total") * F.lit(q)), F.lit(1)), F.col(value))).alias(name)
