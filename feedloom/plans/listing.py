@@ -9,7 +9,7 @@ from feedloom.functions import urls as ul
 from feedloom.operators import lists
 from feedloom.plans.dialect import HOST, PATH, collapse, fold, http_url, norm, strip, truncate
 from feedloom.plans.registry import query
-from feedloom.sources.tables import view
+from feedloom.sources.tables import spread_rows, view
 
 NOW = "2024-01-01 08:00:00"
 SORT_TS = "COALESCE(source_published_at, refreshed_at)"
@@ -74,7 +74,7 @@ def entry_light_projection(spark, folder):
       {truncate(strip(DISPLAY_HTML), 240)} AS article_excerpt, translation_provider, refresh_status, refreshed_at
     FROM v_entries""")
 def entry_render_projection(spark, folder):
-    return lists.render_projection(entries(spark, folder))
+    return lists.render_projection(spread_rows(entries(spark, folder), "id"))
 
 
 @query("search_entries", f"""

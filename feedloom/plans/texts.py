@@ -9,7 +9,7 @@ from feedloom.functions import urls as ul
 from feedloom.operators import chunks, corpus, markup
 from feedloom.plans.dialect import HOST, collapse, mixed_words, norm, plain_words, strip, trim_space, truncate
 from feedloom.plans.registry import query
-from feedloom.sources.tables import view
+from feedloom.sources.tables import spread_rows, view
 
 PACK = """
     walk AS (
@@ -24,7 +24,7 @@ FRAGS = f"""
 
 
 def fragments(spark, folder):
-    return view(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("fragments"))
+    return spread_rows(view(spark, folder, "documents"), "doc_id").select("doc_id", F.split("text", "\n").alias("fragments"))
 
 
 @query("chunk_pack", f"""
@@ -45,7 +45,7 @@ def chunk_pack(spark, folder):
       FROM numbered GROUP BY 1, 2)
     SELECT doc_id, section_no, text, {mixed_words('text')} AS words, {mixed_words('text')} <= 60 AS fits FROM sections""")
 def section_split(spark, folder):
-    return chunks.section_split(view(spark, folder, "v_markdown").select("doc_id", "markdown"), "doc_id", "markdown", 60)
+    return chunks.section_split(spread_rows(view(spark, folder, "v_markdown"), "doc_id").select("doc_id", "markdown"), "doc_id", "markdown", 60)
 
 
 @query("oversize_split", rf"""
@@ -70,7 +70,7 @@ def section_split(spark, folder):
         SELECT *, unnest(range(0, CAST(ceil(len(ws) / 12.0) AS BIGINT))) AS i FROM runs) r)
     SELECT doc_id, CAST(block_no AS INT) AS block_no, piece_no, text, {mixed_words('text')} AS words FROM pieces""")
 def oversize_split(spark, folder):
-    blocks = view(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "block"))
+    blocks = spread_rows(view(spark, folder, "documents"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "block"))
     blocks = blocks.select("doc_id", (F.col("p") + 1).alias("block_no"), "block")
     return chunks.oversize_split(blocks, "doc_id", "block", 12)
 
@@ -103,7 +103,7 @@ def oversize_split(spark, folder):
     FROM walk k JOIN frags f ON f.doc_id = k.doc_id AND f.fno = k.fno GROUP BY 1, 2""")
 def markdown_chunks(spark, folder):
     parted = F.replace("markdown", F.lit("\n"), F.lit("\n\n"))
-    rows = view(spark, folder, "v_markdown").select("doc_id", parted.alias("markdown"))
+    rows = spread_rows(view(spark, folder, "v_markdown"), "doc_id").select("doc_id", parted.alias("markdown"))
     packed = chunks.markdown_chunks(rows, "doc_id", "markdown", 30)
     return packed.select("doc_id", "chunk_no", "words", "fragments", tx.hash_text(F.col("text")).alias("text_hash"))
 
@@ -133,14 +133,14 @@ CLEAN = f"(SELECT page_id, url, {strip('html')} AS text FROM v_pages)"
     SELECT page_id, text, {truncate('text', 240)} AS excerpt, CAST({plain_words('text')} AS BIGINT) AS words, length(text) AS chars
     FROM {CLEAN} c""")
 def text_clean_corpus(spark, folder):
-    return corpus.clean_pages(view(spark, folder, "v_pages").select("page_id", "html"))
+    return corpus.clean_pages(spread_rows(view(spark, folder, "v_pages"), "page_id").select("page_id", "html"))
 
 
 @query("text_clean_totals", f"""
     SELECT {HOST} AS source, count(*) AS pages, CAST(sum({plain_words('text')}) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars
     FROM {CLEAN} c GROUP BY 1""")
 def text_clean_totals(spark, folder):
-    cleaned = corpus.clean_pages(view(spark, folder, "v_pages").select("url", "html"))
+    cleaned = corpus.clean_pages(spread_rows(view(spark, folder, "v_pages"), "page_id").select("url", "html"))
     return corpus.clean_totals(cleaned, ul.url_host(F.col("url")))
 
 
@@ -154,7 +154,7 @@ ROUTED = rf"""
 
 
 def routed(spark, folder):
-    rows = view(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    rows = spread_rows(view(spark, folder, "documents"), "doc_id").select("doc_id", "lang", "source", "text")
     return corpus.language_routing(rows, F.col("doc_id").cast("string"), F.col("text")).drop("text")
 
 
@@ -183,12 +183,12 @@ CHOSEN = rf"""
 
 @query("content_choice", f"WITH {CHOSEN} SELECT page_id, chars, cut, rule_domain, choice FROM chosen")
 def content_choice(spark, folder):
-    return corpus.content_choice(view(spark, folder, "v_pages"), "url", "html", CHOICE_RULES).drop("url")
+    return corpus.content_choice(spread_rows(view(spark, folder, "v_pages"), "page_id"), "url", "html", CHOICE_RULES).drop("url")
 
 
 @query("content_choice_totals", f"WITH {CHOSEN} SELECT {HOST} AS host, choice, count(*) AS items FROM chosen GROUP BY 1, 2")
 def content_choice_totals(spark, folder):
-    chosen = corpus.content_choice(view(spark, folder, "v_pages"), "url", "html", CHOICE_RULES)
+    chosen = corpus.content_choice(spread_rows(view(spark, folder, "v_pages"), "page_id"), "url", "html", CHOICE_RULES)
     return corpus.choice_totals(chosen, "url")
 
 
@@ -198,7 +198,7 @@ def content_choice_totals(spark, folder):
         'something went wrong, but don[’'']t fret|privacy related extensions may cause issues on x\\.com', 'i') THEN 1 ELSE 0 END AS shell
       FROM v_pages) t GROUP BY host""")
 def failure_shell_rate(spark, folder):
-    return corpus.failure_shell_rate(view(spark, folder, "v_pages"), "url", "html")
+    return corpus.failure_shell_rate(spread_rows(view(spark, folder, "v_pages"), "page_id"), "url", "html")
 
 
 def quoted(words):
@@ -213,7 +213,7 @@ def quoted(words):
       len(regexp_extract_all(html, '(?i)\son[a-z]+\s*=')) AS handlers, len(regexp_extract_all(html, '(?i)\s(?:style|srcdoc)\s*=')) AS styles,
       len(regexp_extract_all(html, '<!--')) AS comments FROM tags""")
 def html_tag_audit(spark, folder):
-    return markup.html_tag_audit(view(spark, folder, "v_pages").select("page_id", "html"))
+    return markup.html_tag_audit(spread_rows(view(spark, folder, "v_pages"), "page_id").select("page_id", "html"))
 
 
 VALUES = r"""list_transform(regexp_extract_all(html, '(?i)\s{0}\s*=\s*["'']([^"'']*)["'']', 1), lambda v: replace(v, '&#x73;', 's'))"""
@@ -239,7 +239,7 @@ VALUE_HOST = r"NULLIF(lower(regexp_extract(v, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(
         OR {SCHEME_OF} NOT IN ('http', 'https'))) AS bad_image_candidates
     FROM found""")
 def html_link_audit(spark, folder):
-    return markup.html_link_audit(view(spark, folder, "v_pages"))
+    return markup.html_link_audit(spread_rows(view(spark, folder, "v_pages"), "page_id"))
 
 
 @query("lead_image_per_page", r"""
@@ -250,7 +250,7 @@ def html_link_audit(spark, folder):
         ELSE concat(regexp_extract(url, '^[a-z]+://[^/?#]+(?:/[^?#]*/|/)?'), 'lazy.png') END AS src
     FROM pages WHERE page_id % 6 IN (0, 1, 3)""")
 def lead_image_per_page(spark, folder):
-    return markup.lead_image_per_page(view(spark, folder, "v_pages"))
+    return markup.lead_image_per_page(spread_rows(view(spark, folder, "v_pages"), "page_id"))
 
 
 @query("title_derivation", rf"""
@@ -262,7 +262,7 @@ def lead_image_per_page(spark, folder):
       ELSE COALESCE(NULLIF({truncate('line', 72)}, ''), 'Untitled') END AS title FROM lead""")
 def title_derivation(spark, folder):
     kind, text = F.col("doc_id") % 3, F.col("text")
-    items = view(spark, folder, "documents").select(
+    items = spread_rows(view(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         F.when(kind == 0, F.concat(text, F.lit("\n #  Head   "), F.col("doc_id").cast("string"), F.lit(" ")))
         .when(kind == 1, F.concat(F.lit("https://x.example.org/a\n\n"), text)).otherwise(F.lit("")).alias("text"),
@@ -304,4 +304,4 @@ def response_audit(spark, folder):
       CAST(sum(words) AS BIGINT) AS words, quantile_disc(words, 0.5) AS words_p50, quantile_disc(words, 0.95) AS words_p95
     FROM rows_ GROUP BY source""")
 def reading_stats(spark, folder):
-    return corpus.reading_stats(view(spark, folder, "documents").select("source", "text"), "text", "source")
+    return corpus.reading_stats(spread_rows(view(spark, folder, "documents"), "doc_id").select("source", "text"), "text", "source")

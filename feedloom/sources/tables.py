@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Input of heavy per-row work: when it comes in fewer splits than there are cores (one large file, few row groups),
+    its rows are spread by a unique key; input with enough splits stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def load_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Stored collection tables of one snapshot folder, read with their fixed schemas."""
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in STORED.items()}
