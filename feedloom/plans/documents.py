@@ -8,7 +8,7 @@ from feedloom.functions import text as tx
 from feedloom.operators import articles as ar
 from feedloom.operators import publish as pb
 from feedloom.operators import threads as th
-from feedloom.plans.dialect import host, norm, strip, truncate, xml_escape
+from feedloom.plans.dialect import host, strip, truncate, xml_escape
 from feedloom.plans.registry import query
 from feedloom.sources import timeline, usage_log, xml
 from feedloom.sources.tables import view

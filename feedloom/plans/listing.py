@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
 from feedloom.operators import lists
-from feedloom.plans.dialect import HOST, PATH, collapse, fold, http_url, norm, strip, truncate
+from feedloom.plans.dialect import HOST, PATH, http_url, norm, strip, truncate
 from feedloom.plans.registry import query
 from feedloom.sources.tables import spread_rows, view
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions import urls as ul
 from feedloom.operators import reconcile as rc
 from feedloom.plans.registry import query
 from feedloom.sources.tables import view
