@@ -1,11 +1,22 @@
 """Registered queries of the training-data operators and the SQL that checks them."""
 
-from feedloom.llm import line_dedup, mixing, packing, simhash
+import corpus_pipeline
+from feedloom.llm import chat, embeddings, gif, language_id, line_dedup, mixing, packing, secrets, simhash, substrings
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_simhash": simhash.op2,
+    "op3_secrets": secrets.op3,
     "op4_mixing": mixing.op4,
+    "op5_substrings": substrings.op5,
+    "op6_gif": gif.op6,
+    "op7_embeddings": embeddings.op7,
     "op8_packing": packing.op8,
+    "op9_chat": chat.op9,
+    "op10_language_id": language_id.op10,
+    "pages_language": language_id.pages,
+    "pipeline": corpus_pipeline.run,
 }
-CHECKS: dict[str, str] = {}
+CHECKS = {"op9_chat": chat.OP9_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
