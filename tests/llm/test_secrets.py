@@ -1,0 +1,78 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedloom.llm.secrets import BASE_RULES, RULES, op3, scan, span_text, trigram_query
+from llm_help import make, prose  # noqa: F401
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    return sorted(found)
+
+
+def joined(spans):
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def texts():
+    r = random.Random(8)
+    bits = ["password=", "PassWD : ", "secret\"= '", "api_key:", "ApiKey =", "token", "tokenpassword=abc", "AKIA", "AKIAAKIA", "ABCDEFGH1234567890", "deadbeef" * 4,
+            "0123456789abcdef" * 3, "abcdefgh", "x=1", "é", "😀", "\n", " ", "=", "\"", "ſecret=abcdefghij", "toKen=abcdefghij", "hunter2hunter2", "ghp_" + "a" * 36, "xoxb-1234567890"]
+    out = [None, "", "token: \"secret\": \"abcdefgh\"", "password=short token=longenough1", prose(3, 4000) + " secret=abcdefgh12"]
+    return out + ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(300)] + [prose(k) for k in range(20)]
+
+
+def test_spans_are_those_of_brute_force(make):
+    rows = list(enumerate(texts())) * 2
+    docs = make(rows).withColumn("k1", F.lit(1)).withColumn("rules", F.lit("r"))
+    out = scan(docs)
+    assert out.columns == [*docs.columns, "spans"]
+    base = out.select("doc_id", "text", F.filter("spans", lambda s: s["rule"] < 3).alias("s")).collect()
+    assert len(base) == len(rows)
+    for r in base:
+        assert [tuple(s) for s in r.s] == brute(r.text), r.text
+    more = out.filter("doc_id >= 5").select(span_text(F.col("spans")).alias("s")).collect()
+    assert any("forge_token" in r.s for r in more) and any("chat_token" in r.s for r in more)
+    assert scan(docs.limit(0)).count() == 0
+
+
+def test_query_over_a_whole_table(spark, small):
+    rows = {r.doc_id: r for r in op3(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        r, spans = rows[d.doc_id], brute(d.text)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
+    assert sum(r.n_assign for r in rows.values())
+
+
+@pytest.mark.parametrize("pattern,clauses", [
+    (r"abcd", [{frozenset({"abc", "bcd"})}]),
+    (r"ab[0-9]+cd", []),
+    (r"(foo|bar)_?baz", [{frozenset({"foo", "oob", "oba", "baz"}), frozenset({"foo", "oo_", "o_b", "_ba", "baz"}),
+                          frozenset({"bar", "arb", "rba", "baz"}), frozenset({"bar", "ar_", "r_b", "_ba", "baz"})}]),
+    (r"abc.*xyz", [{frozenset({"abc"})}, {frozenset({"xyz"})}]),
+    (r"(?:abc)+d?", [{frozenset({"abc"})}]),
+    (r"(?:abc)?", []),
+])
+def test_trigram_queries(pattern, clauses):
+    assert [set(c) for c in trigram_query(pattern)] == clauses
+
+
+def test_every_match_satisfies_its_query():
+    for text in texts():
+        low = (text or "").lower()
+        for rule in RULES:
+            if re.search(rule.pattern, text or "", re.A | (re.I if rule.any_case else 0)):
+                assert all(any(all(g in low for g in grams) for grams in clause) for clause in trigram_query(rule.pattern)) or "K" in text or "ſ" in text
+    assert trigram_query(BASE_RULES[2].pattern) == []
