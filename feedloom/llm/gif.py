@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedloom.llm.storage import quoted
 
@@ -321,7 +321,7 @@ def frame_columns(media: DataFrame, key: str, column: str = "media") -> DataFram
     A null is no GIF: no frames and a null error; bytes that cannot be read give no frames and the reason. Repeated
     rows are read one by one; an empty table gives no rows.
     """
-    schema = media.select(quoted(key)).schema.add("frames", f"array<{FRAME}>").add("error", "string")
+    schema = media.select(quoted(key)).schema.add("frames", StructType.fromDDL(f"f array<{FRAME}>").fields[0].dataType).add("error", "string")
     frame_type = pa.struct([("start_ms", pa.int64()), ("duration_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()),
                             ("painted", pa.int64()), ("histogram", pa.list_(pa.int64()))])
 

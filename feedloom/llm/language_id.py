@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from feedloom.llm.storage import free_name, quoted, saved
 
@@ -123,7 +124,7 @@ def with_evidence(rows: DataFrame, model: TextModel, text: str, keep: list[str],
     spark = rows.sparkSession
     number = free_name(rows, "grams")
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers per language
-    schema = rows.select(*[quoted(c) for c in keep]).schema.add(name, "array<double>").add(number, "long")
+    schema = rows.select(*[quoted(c) for c in keep]).schema.add(name, ArrayType(DoubleType())).add(number, "long")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

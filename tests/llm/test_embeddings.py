@@ -34,7 +34,7 @@ def table():
         rows.append([chain.copy(), 1])
     dense = r.normal(size=16)
     rows += [[dense + r.normal(size=16) * 0.03, 2] for _ in range(150)]
-    out = [(7 * k % 1009, [float(x) for x in np.float32(v)], label) for k, (v, label) in enumerate(rows)]
+    out = [(7 * k % 1999, [float(x) for x in np.float32(v)], label) for k, (v, label) in enumerate(rows)]
     out += [(2000 + k, out[3][1], out[3][2]) for k in range(50)] + [(3000, out[3][1], None), (3001, None, 1), (3002, [], 1), (3003, [0.0] * 16, 1)]
     out += [(3004, [float("nan")] * 16, 1), (3005, [float("inf")] + [1.0] * 15, 1), (3006, [None] + [1.0] * 15, 1), (3007, [1.0, 0.0], 1), (3008, [2.0, 0.0], 1)]
     return out + [(3009, [1e-30, 1e-30], 1), (3010, [1e-30, 1.1e-30], 1), (None, [1.0, 0.001], 1)]

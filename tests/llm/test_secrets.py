@@ -53,7 +53,7 @@ def test_query_over_a_whole_table(spark, small):
         r, spans = rows[d.doc_id], brute(d.text)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
         assert r.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
-    assert sum(r.n_assign for r in rows.values())
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows.values())
 
 
 @pytest.mark.parametrize("pattern,clauses", [
