@@ -211,7 +211,9 @@ def _fit(nodes: DataFrame) -> dict[tuple, np.ndarray]:
     large = {(r.label, r.size): r.n for r in counts.orderBy(F.desc("n"), "label", "size").limit(SAMPLE // PER_CENTROID).collect()}
     if not large:
         return {}
-    picked = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("label", "size", "vector").toArrow()
+    h = F.xxhash64("node")
+    last = nodes.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h  # hashes only
+    picked = nodes.filter(h <= last).select("label", "size", "vector").toArrow()
     by_group: dict[tuple, list[int]] = {}
     for i, group in enumerate(zip(picked.column(0).to_pylist(), picked.column(1).to_pylist())):
         by_group.setdefault(group, []).append(i)
