@@ -94,12 +94,12 @@ def _copies(items: DataFrame, plan: DataFrame) -> DataFrame:
     second = border(inner, "fine", F.col("base")).select(F.col("source").alias("s2"), F.col("fine").alias("fine2"), F.col("before").alias("before2"))
 
     limits = budget.join(second, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "source_size", "target", "epochs", "rest", "fine2", "before2")
-    placed = rows.join(limits, same, "left")
-    edge = placed.filter("fine = fine2")
+    # the border is found by (source, fine), and only its few rows meet by source
+    edge = rows.join(limits, same & (F.col("fine") == F.col("fine2")))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "order").rowsBetween(Window.unboundedPreceding, -1))
     middle = F.col("before2") + F.coalesce(upto, F.lit(0)) + F.col("size") / 2  # the nearest place for a whole document
     edge = edge.withColumn("extra", (middle <= F.col("rest")).cast("long"))
-    others = placed.filter("fine2 is null or fine <> fine2").withColumn(
+    others = rows.join(limits, same, "left").filter("fine2 is null or fine <> fine2").withColumn(
         "extra", (F.col("fine2").isNull() | (F.col("fine") < F.col("fine2"))).cast("long"))
     # without a border the whole source fits in the rest, which is then less than a word short of it or empty
     extra = F.when((F.col("rest") <= 0) | (F.col("size") == 0), F.lit(0)).otherwise(F.col("extra"))
