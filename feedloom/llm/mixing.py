@@ -34,9 +34,9 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def uniform(*parts: Column) -> Column:
-    """A number in (0, 1) that depends on the values only, so that reruns agree."""
-    bits = F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double")
-    return (bits + 0.5) / float(1 << 52)
+    """A number in (0, 1) that depends on the values only, so that reruns agree: 52 bits of a digest. Nulls are skipped."""
+    digest = F.md5(F.concat_ws("|", F.lit("mix"), *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def targets(
@@ -122,7 +122,7 @@ def mix(
     quality = F.coalesce(F.greatest(quality.cast("double"), F.lit(1e-6)), F.lit(1e-6))
     drawn = docs.select(
         quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), size.alias("size"),
-        (-F.log(uniform(quoted(doc_id), F.lit("mix"), quoted(text))) / quality).alias("raw"),
+        (-F.log(uniform(quoted(doc_id), quoted(text))) / quality).alias("raw"),
         (F.monotonically_increasing_id() if row is None else quoted(row)).alias("order"),
     ).withColumn("key", 1 - F.exp(-F.col("raw"))).drop("raw")
     items = saved(drawn, "mix")
@@ -144,3 +144,35 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def op4(spark, folder: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{folder}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), keyed AS (
+  SELECT doc_id, source, size, 1 - exp(ln((('0x' || substr(md5(concat_ws('|', 'mix', doc_id::VARCHAR, text)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)
+    / greatest(0.25::DOUBLE, least(1::DOUBLE, 1 - abs(coalesce(length(text)::DOUBLE / greatest(size, 1), 0) - 6) / 12))) AS k FROM docs
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth, source_size::DOUBLE * 2 AS cap FROM sources
+), weighted AS (
+  SELECT *, ([3, 1, 2][((nth - 1) % 3 + 1)::INT])::DOUBLE AS w FROM ranked
+), filled AS (
+  SELECT *, sum(source_size::DOUBLE) OVER () * 1.5 AS total, sum(w) OVER () AS all_w, coalesce(sum(cap) OVER earlier, 0) AS capped,
+    coalesce(sum(w) OVER earlier, 0) AS gone FROM weighted
+  WINDOW earlier AS (ORDER BY cap / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT *, (total - capped) / (all_w - gone) AS level FROM filled
+), plan AS (
+  SELECT source, source_size, CASE WHEN cap <= level * w THEN cap ELSE max(CASE WHEN cap > level * w THEN level END) OVER () * w END AS target FROM levels
+), budget AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM plan
+), placed AS (
+  SELECT k.*, b.source_size, b.target, b.epochs, b.target - b.epochs * b.source_size AS rest,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN budget b ON k.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target,
+  size * (epochs + CASE WHEN rest > 0 AND size > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END)::BIGINT AS taken FROM placed
+"""

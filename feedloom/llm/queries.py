@@ -17,6 +17,6 @@ QUERIES = {
     "pages_language": language_id.pages,
     "pipeline": corpus_pipeline.run,
 }
-CHECKS = {"op9_chat": chat.OP9_SQL}
+CHECKS = {"op4_mixing": mixing.OP4_SQL, "op9_chat": chat.OP9_SQL}
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL

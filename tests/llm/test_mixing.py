@@ -56,7 +56,7 @@ def test_copies_are_those_of_sorted_sources(make):
     docs = sample(make).coalesce(3)
     out = [r.asDict() for r in mix(docs, weight=F.lit(1.0)).collect()]
     texts = {r.row: r for r in docs.withColumn("row", F.monotonically_increasing_id()).withColumn(
-        "key", 1 - F.exp(F.log(uniform(F.col("doc_id"), F.lit("mix"), F.col("text"))))).select("row", "key").collect()}
+        "key", 1 - F.exp(F.log(uniform(F.col("doc_id"), F.col("text"))))).select("row", "key").collect()}
     for r in out:
         r["key"] = texts[r["row"]].key
     plan = {r["source"]: (r["source_size"], r["target"]) for r in out}
