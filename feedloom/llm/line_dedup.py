@@ -12,6 +12,8 @@ copies end after one round and no bucket is capped. Links are pairs with an exac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,17 @@ def _piece(units: str, at: str, shingle: int) -> str:
 
 def shingle_set(line: Column, shingle: int = SHINGLE) -> Column:
     """Distinct hashes of a line's shingles of UTF-16 units; a shorter line is one shingle."""
-    units = F.encode(line, "UTF-16BE")
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) / 2 - (shingle - 1)).cast("int"))
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(units, 2 * i - 1, 2 * shingle))))
+
+    def of(units: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) / 2 - (shingle - 1)).cast("int"))
+        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(units, 2 * i - 1, 2 * shingle))))
+
+    return _bound(F.encode(line, "UTF-16BE"), of)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def occurrences(docs: DataFrame, text: str, doc_id: str, row: str) -> DataFrame:
@@ -89,11 +99,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b")
-    size = F.octet_length(F.encode("line_a", "UTF-16BE")), F.octet_length(F.encode("line_b", "UTF-16BE"))
-    sets = both.withColumn("x", shingle_set(F.col("line_a"))).withColumn("y", shingle_set(F.col("line_b")))
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - F.col("common")
-    return sets.withColumn("common", common).filter(F.col("common") >= SIMILARITY * union).select("a", "b")
+    sets = F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    sizes = _bound(sets, lambda s: F.struct(
+        F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("both")))
+    return both.filter(_bound(sizes, lambda n: n["common"] >= SIMILARITY * (n["both"] - n["common"]))).select("a", "b")
 
 
 def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
