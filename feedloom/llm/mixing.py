@@ -137,7 +137,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     row = free_name(docs, "row")
     stored = saved(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
     copies = saved(mix(stored, row=row, **options).filter("copies > 0").select(F.col("row").alias(row), "copies"), "copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")
+    time = free_name(docs, "time")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(time)
     return stored.join(copies.select(row, times), row).select(*[quoted(c) for c in docs.columns])
 
 
