@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from feedloom.llm.components import components
 from feedloom.llm.storage import free_name, quoted, saved
 
-SHINGLE = 8
-BANDS = 7
-ROWS = 3
+SHINGLE = 12
+BANDS = 8
+ROWS = 4
 SIMILARITY = 0.8
 SAMPLE_FROM = 128
 SMALL_BUCKET = 16
