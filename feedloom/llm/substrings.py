@@ -78,7 +78,8 @@ def repeated_spans(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str
     """
     inputs = docs.select(quoted(row).alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     kinds = "row long, doc_id long, start array<int>, end array<int>, h1 array<long>, h2 array<long>"
-    arrays = saved(inputs.mapInArrow(_run_arrays(least), kinds), "runs")
+    # computed for the counts and again for the places: cheaper than to store the runs of all texts
+    arrays = inputs.mapInArrow(_run_arrays(least), kinds)
     counts = arrays.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
     often = counts.filter("n > 1").select("h1")
     spans = arrays.select("row", "doc_id", F.explode(F.arrays_zip("start", "end", "h1", "h2")).alias("s")).select("row", "doc_id", "s.*")
@@ -116,8 +117,8 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     row = free_name(docs, "row")
     stored = saved(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), F.monotonically_increasing_id().alias(row)), "spanned")
     found = repeated_spans(stored, row, "doc_id", "text", least)
-    spans = found.groupBy("row").agg(  # the spans of one text
-        F.collect_list(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    spans = saved(found.groupBy("row").agg(  # the spans of one text
+        F.collect_list(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids")), "spans")
     joined = stored.join(spans.withColumnRenamed("row", row) if row != "row" else spans, row, "left").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "spans", "first_doc_ids")
     schema = "doc_id long, text string, n_removed long, removed array<struct<start:int,end:int>>, first_doc_ids array<long>"
