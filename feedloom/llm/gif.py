@@ -106,16 +106,8 @@ def lzw_encode(samples: bytes, size: int = 8) -> bytes:
 
 def _pack_bits(values: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes of up to 12 bits, lowest bit first."""
-    ends = np.cumsum(widths)
-    at = ends - widths
-    out = np.zeros(int(ends[-1] + 7) // 8 + 3, np.uint8)
-    shifted = values << (at & 7)
-    place = at >> 3
-    for k in range(3):
-        part = (shifted >> (8 * k) & 0xFF).astype(np.uint8)
-        # several codes share a byte; their bits never overlap, so they add up
-        out[: len(out)] += np.bincount(place + k, weights=part, minlength=len(out)).astype(np.uint8)
-    return out[: int(ends[-1] + 7) // 8].tobytes()
+    bits = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(data: bytes, size: int, most: int) -> bytes:
@@ -140,21 +132,24 @@ def lzw_decode(data: bytes, size: int, most: int) -> bytes:
         stop = int(stops[0]) if len(stops) else ok
         table = roots.copy()
         add, put = table.append, out.append
-        last = b""
-        for code in codes[:stop].tolist():
-            if code < len(table):
+        run = codes[:stop].tolist()
+        growing = FULL - len(roots) + 1  # the first code adds nothing, and a full table stays as it is
+        last = None
+        for code in run[:growing]:
+            try:
                 entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
+            except IndexError:
+                if code != len(table) or last is None:
+                    raise BrokenGif("a code before its table entry") from None
+                entry = last + last[:1]  # the entry that this very code completes
+                add(entry)
             else:
-                raise BrokenGif("a code before its table entry")
+                if last is not None:
+                    add(last + entry[:1])
             put(entry)
-            made += len(entry)
-            if last and len(table) < FULL:
-                add(last + entry[:1])
             last = entry
-            if made >= most:
-                break
+        out.extend([table[code] for code in run[growing:]])
+        made += sum(map(len, out[len(out) - len(run):])) if run else 0
         if stop == ok:
             if ok < len(schedule):
                 break
@@ -266,8 +261,12 @@ def decode(data: bytes) -> list[Frame]:
         n, m = max(0, rows.stop - top), max(0, columns.stop - left)
         if n and m:
             paint = known[:n, :m]
-            canvas[rows, columns][paint] = colours[np.minimum(index[:n, :m], len(colours) - 1)][paint]
-            painted[rows, columns] |= paint
+            if paint.all():
+                canvas[rows, columns] = colours[index[:n, :m]]
+                painted[rows, columns] = True
+            else:
+                canvas[rows, columns][paint] = colours[np.minimum(index[:n, :m], len(colours) - 1)][paint]
+                painted[rows, columns] |= paint
         frames.append(Frame(canvas.copy(), painted.copy(), clock, delay * 10, samples))
         clock += delay * 10
         if disposal == 2:
@@ -301,9 +300,13 @@ def padded(text: str | None, unit: int = WIDTH) -> tuple[int, bytes]:
 
 def histogram(frame: Frame, bins: int = HISTOGRAM) -> list[int]:
     """Painted pixels per channel and bin, red first."""
-    seen = frame.rgb[frame.painted]
-    step = 256 // bins
-    return [int(n) for c in range(3) for n in np.bincount(seen[:, c] // step, minlength=bins)]
+    return [n for channel in range(3) for n in channel_histogram(frame, channel, bins)]
+
+
+def channel_histogram(frame: Frame, channel: int, bins: int = HISTOGRAM) -> list[int]:
+    values = frame.rgb[..., channel]
+    values = values.ravel() if frame.painted.all() else values[frame.painted]
+    return np.bincount(values, minlength=256).reshape(bins, -1).sum(axis=1).tolist()
 
 
 def read_payload(media: bytes) -> tuple[bytes, list[Frame]]:
@@ -344,7 +347,7 @@ def frame_columns(media: DataFrame, key: str, column: str = "media") -> DataFram
 
 def feature(frames: list[Frame]) -> str:
     """Frames, milliseconds, size, and the grey histogram, as text."""
-    greys = np.sum([histogram(f)[:HISTOGRAM] for f in frames], axis=0)
+    greys = np.sum([channel_histogram(f, 0) for f in frames], axis=0)
     return f"{len(frames)}f {sum(f.duration_ms for f in frames)}ms {frames[0].rgb.shape[1]}x{frames[0].rgb.shape[0]} " + "/".join(map(str, greys))
 
 
