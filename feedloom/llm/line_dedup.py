@@ -5,9 +5,10 @@ mask k, which any element of the union takes with the same chance, as for k hash
 shingles use the quarter of them whose hash ends in two zero bits; minima over that sample agree as often. Equal lines
 are one row from the start (pre-aggregated before the shuffle), so a line's frequency never matters.
 
-Lines that share a band are candidates: all pairs of a small bucket; in a large one, members meet pivots, whose number
-grows eightfold in each round, until each member is linked to a pivot or was one, so the buckets of a large group of
-copies end after one round and no bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
+Lines that share a band are candidates. Each meets the first line of its bucket, and those that are linked to it are
+connected already, so a large group of copies needs no more. The others of a small bucket meet all its lines; those of
+a large one become pivots, eight times as many in each round, that meet all its lines, until each line is linked to a
+pivot or was one. No bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def shingle_set(line: Column, shingle: int = SHINGLE) -> Column:
     """Distinct hashes of a line's shingles of UTF-16 units; a shorter line is one shingle."""
 
     def of(units: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) / 2 - (shingle - 1)).cast("int"))
-        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(units, 2 * i - 1, 2 * shingle))))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - (2 * shingle - 1)), F.lit(2))
+        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(units, i, 2 * shingle))))
 
     return _bound(F.encode(line, "UTF-16BE"), of)
 
@@ -115,13 +116,20 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     texts = _lines(docs, text).join(wanted, ["h1", "h2"]).select("id", "line")
     texts = saved(texts.groupBy("id").agg(F.max("line").alias("line")), "texts")
 
-    small = members.filter(F.col("n") <= SMALL_BUCKET)
-    other = small.select("band", F.col("id").alias("b"))
-    pairs = small.select("band", F.col("id").alias("a")).join(other, "band").filter("a < b").select("a", "b").distinct()
-    links = saved(_verified(pairs, texts), "links")
+    # every member meets the first of its bucket; two that are linked to it need not meet each other
+    first = members.groupBy("band").agg(F.min("id").alias("pivot"))
+    met = members.join(first, "band").filter("id <> pivot")
+    links = saved(_verified(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts), "links")
+    hit = met.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"]).select("band", "id")
+    rest = saved(met.select("band", "id", "n").join(hit, ["band", "id"], "left_anti"), "rest")
+
+    small = rest.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("x"))
+    other = met.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("y"))
+    pairs = small.join(other, "band").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = links.unionByName(saved(_verified(pairs, texts), "links"))
 
     large = members.filter(F.col("n") > SMALL_BUCKET)
-    left, turn = large, 0
+    left, turn = rest.filter(F.col("n") > SMALL_BUCKET), 0
     while not left.isEmpty():
         few = F.greatest(F.floor(F.col("n") / GROWTH ** (turn + 1)), F.lit(1))
         drawn = left.filter(F.pmod(F.xxhash64("id", "band"), few) == 0).select("band", F.col("id").alias("pivot"))
@@ -130,11 +138,10 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
         tried = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = saved(_verified(tried, texts), "links")
         links = links.unionByName(found)
-        ends = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = ends.select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-        done = pivots.select("band", F.col("pivot").alias("id")).unionByName(
-            met.join(ends, ["id", "pivot"]).select("band", "id")).distinct()
-        left = saved(left.join(done, ["band", "id"], "left_anti"), "left")
+        ends = found.select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+        ends = ends.unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
+        done = pivots.select("band", F.col("pivot").alias("id")).unionByName(met.join(ends, ["id", "pivot"]).select("band", "id"))
+        left = saved(left.join(done.distinct(), ["band", "id"], "left_anti"), "left")
         turn += 1
     return lines, links
 
