@@ -5,10 +5,10 @@ mask k, which any element of the union takes with the same chance, as for k hash
 shingles use the quarter of them whose hash ends in two zero bits; minima over that sample agree as often. Equal lines
 are one row from the start (pre-aggregated before the shuffle), so a line's frequency never matters.
 
-Lines that share a band are candidates. Each meets the first line of its bucket, and those that are linked to it are
-connected already, so a large group of copies needs no more. The others of a small bucket meet all its lines; those of
-a large one become pivots, eight times as many in each round, that meet all its lines, until each line is linked to a
-pivot or was one. No bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
+Lines that share a band are candidates. Each meets the first line of its bucket; after that only lines that are not
+connected yet have to meet, so a large group of copies needs little more. In a small bucket the unconnected lines meet all
+others; in a large one they become pivots, eight times as many in each round, that meet all others, until each line is
+connected to the first or was a pivot. No bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -106,6 +106,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(_bound(sizes, lambda n: n["common"] >= SIMILARITY * (n["both"] - n["common"]))).select("a", "b")
 
 
+def _unconnected(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (band, id, n) with their component `root`, and those that are not in that of their bucket's first line."""
+    roots = components(links, "a", "b").select(F.col("node").alias("id"), "root")
+    placed = saved(members.join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+    first = placed.groupBy("band").agg(F.min_by("root", "id").alias("first_root"))
+    return placed, saved(placed.join(first, "band").filter("root <> first_root").drop("first_root"), "left")
+
+
 def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """The stored different lines (id, h1, h2, bands), and links (a, b) between their ids."""
     lines = saved(signatures(docs, text), "lines")
@@ -116,32 +124,30 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     texts = _lines(docs, text).join(wanted, ["h1", "h2"]).select("id", "line")
     texts = saved(texts.groupBy("id").agg(F.max("line").alias("line")), "texts")
 
-    # every member meets the first of its bucket; two that are linked to it need not meet each other
+    # every member meets the first of its bucket; lines of one component need not meet each other
     first = members.groupBy("band").agg(F.min("id").alias("pivot"))
     met = members.join(first, "band").filter("id <> pivot")
     links = saved(_verified(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts), "links")
-    hit = met.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"]).select("band", "id")
-    rest = saved(met.select("band", "id", "n").join(hit, ["band", "id"], "left_anti"), "rest")
+    placed, left = _unconnected(members.filter("n > 2"), links)
 
-    small = rest.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("x"))
-    other = met.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("y"))
-    pairs = small.join(other, "band").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    small = left.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("x"), F.col("root").alias("root_x"))
+    other = placed.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("y"), F.col("root").alias("root_y"))
+    both = small.join(other, "band").filter("root_x <> root_y")
+    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(saved(_verified(pairs, texts), "links"))
 
     large = members.filter(F.col("n") > SMALL_BUCKET)
-    left, turn = rest.filter(F.col("n") > SMALL_BUCKET), 0
+    left, turn = left.filter(F.col("n") > SMALL_BUCKET), 0
     while not left.isEmpty():
         few = F.greatest(F.floor(F.col("n") / GROWTH ** (turn + 1)), F.lit(1))
-        drawn = left.filter(F.pmod(F.xxhash64("id", "band"), few) == 0).select("band", F.col("id").alias("pivot"))
-        pivots = drawn.unionByName(left.groupBy("band").agg(F.min("id").alias("pivot"))).distinct()
-        met = large.select("band", "id").join(pivots, "band").filter("id <> pivot")
+        drawn = left.filter(F.pmod(F.xxhash64("id", "band"), few) == 0).select("band", "id")
+        chosen = saved(drawn.unionByName(left.groupBy("band").agg(F.min("id").alias("id"))).distinct(), "pivots")
+        pivots = chosen.join(placed, ["band", "id"]).select("band", F.col("id").alias("pivot"), F.col("root").alias("root_p"))
+        met = placed.filter(F.col("n") > SMALL_BUCKET).join(pivots, "band").filter("root <> root_p")
         tried = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        found = saved(_verified(tried, texts), "links")
-        links = links.unionByName(found)
-        ends = found.select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-        ends = ends.unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
-        done = pivots.select("band", F.col("pivot").alias("id")).unionByName(met.join(ends, ["id", "pivot"]).select("band", "id"))
-        left = saved(left.join(done.distinct(), ["band", "id"], "left_anti"), "left")
+        links = links.unionByName(saved(_verified(tried, texts), "links"))
+        placed, again = _unconnected(large, links)
+        left = saved(again.join(left.join(chosen, ["band", "id"], "left_anti").select("band", "id"), ["band", "id"]).select(*again.columns), "left")
         turn += 1
     return lines, links
 
