@@ -31,8 +31,38 @@ def without_fragment(c: Column) -> Column:
     return F.regexp_replace(c, "#.*$", "")
 
 
+def without_dots(path: Column) -> Column:
+    """A path without `.` and `..` segments; one that ends in such a segment ends in a slash."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(part == ".", done).otherwise(F.array_append(done, part)),
+    )
+    slash = F.element_at(parts, -1).isin(".", "..")
+    joined = F.array_join(F.when(slash, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), joined).otherwise(path)
+
+
+def canonical_url(c: Column) -> Column:
+    """An absolute http(s) URL in its usual form: scheme and host in lower case, no default port, a path, no dot
+    segments. Anything else stays as it is."""
+    scheme = url_scheme(c)
+    authority = F.regexp_extract(c, AUTHORITY, 1)
+    user = F.regexp_extract(authority, "^(.*@)", 1)
+    host = F.lower(F.substring(authority, F.length(user) + 1, F.length(authority)))
+    port = F.when(scheme == "https", ":(443)?$").otherwise(":(80)?$")
+    host = F.regexp_replace(host, port, F.lit(""))
+    rest = F.substring(c, F.length(F.regexp_extract(c, AUTHORITY, 0)) + 1, F.length(c))
+    path = F.regexp_extract(rest, "^([^?#]*)", 1)
+    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
+    path = without_dots(F.when(path == "", F.lit("/")).otherwise(F.replace(path, F.lit("\\"), F.lit("/"))))
+    whole = F.concat(scheme, F.lit("://"), user, host, path, tail)
+    return F.when(scheme.isin("http", "https") & (authority != ""), whole).otherwise(c)
+
+
 def http_url(c: Column) -> Column:
-    """The URL without its fragment when it is http(s) with a host and without user info, else NULL."""
+    """The canonical URL without its fragment when it is http(s) with a host and without user info, else NULL."""
     url = trim_space(c)
     ok = (
         url_scheme(url).isin("http", "https")
@@ -40,16 +70,16 @@ def http_url(c: Column) -> Column:
         & ~F.contains(F.regexp_extract(url, AUTHORITY, 1), F.lit("@"))
         & ~F.rlike(F.regexp_extract(url, AUTHORITY, 1), F.lit(r"\s"))
     )
-    return F.when(ok, without_fragment(url))
+    return F.when(ok, without_fragment(canonical_url(url)))
 
 
 def resolve_url(value: Column, base: Column) -> Column:
-    """Absolute form of `value` against `base`; dot segments stay, an unusable base keeps the value."""
+    """Canonical absolute form of `value` against `base`; an unusable base keeps the value."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     directory = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/[^?#]*/|/)?)", 1)
     folder = F.when(F.endswith(directory, F.lit("/")), directory).otherwise(F.concat(directory, F.lit("/")))
     document = F.regexp_extract(base, "^([^?#]*)", 1)
-    return (
+    return canonical_url(
         F.when(F.rlike(value, F.lit(SCHEME)) | (origin == "") | (value == ""), value)
         .when(F.startswith(value, F.lit("//")), F.concat(url_scheme(base), F.lit(":"), value))
         .when(F.startswith(value, F.lit("/")), F.concat(origin, value))

@@ -64,3 +64,11 @@ def token_count(c: Column) -> Column:
     """Whole number >= 0, else NULL."""
     number = F.trim(c.cast("string")).try_cast("decimal(38,6)")
     return F.when((number >= 0) & (number == F.floor(number)), number.try_cast("bigint"))
+
+
+def unzoned_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, read as UTC whatever the zone of the session."""
+    plain = ts.cast("timestamp_ntz")
+    seconds = F.hour(plain) * 3600 + F.minute(plain) * 60
+    day = F.unix_date(plain.cast("date")).cast("bigint") * 86_400_000_000
+    return day + seconds.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), plain) * 1_000_000).cast("bigint")

@@ -6,7 +6,7 @@ the last step gathers the lines of one article.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as tx
@@ -14,8 +14,6 @@ from feedloom.operators.lists import top_per_group
 from feedloom.operators.ordered import previous, running
 from feedloom.operators.threads import author_text
 
-MAX_REFERENCES = 20  # an article looks up this many referenced posts, by rule
-
 MEDIA_INFO = (
     "STRUCT<original_img_url: STRING, preview_image: STRUCT<original_img_url: STRING>, "
     "variants: ARRAY<STRUCT<content_type: STRING, bit_rate: BIGINT, url: STRING>>>"
@@ -52,13 +50,15 @@ def entities(articles: DataFrame, key: str) -> DataFrame:
     return articles.select(key, F.inline(entity_array()))
 
 
-def referenced_enrichment(found: DataFrame, key: str, posts: DataFrame, cap: int = MAX_REFERENCES) -> DataFrame:
-    """First-seen distinct posts an article refers to, at most `cap`, with what is known of them.
+def referenced_enrichment(found: DataFrame, key: str, posts: DataFrame, cap: int | None = None) -> DataFrame:
+    """First-seen distinct posts an article refers to, at most `cap` if given, with what is known of them.
 
     `posts`: post_id, name, username, text. A missing post keeps its plain address."""
     ids = found.filter(F.col("type") == "TWEET").select(key, F.col("data.tweetId").alias("post_id"), "pos")
     firsts = ids.filter(tx.blank_to_null(F.col("post_id")).isNotNull()).groupBy(key, "post_id").agg(F.min("pos").alias("pos"))
-    kept = top_per_group(firsts, [key], [F.col("pos")], cap)
+    # Without a cap the references of an article, which is one row, are numbered.
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("rank")
+    kept = firsts.select("*", rank) if cap is None else top_per_group(firsts, [key], [F.col("pos")], cap)
     known = kept.join(posts, "post_id", "left")
     owner = F.coalesce(F.concat(tx.blank_to_null(F.col("username")), F.lit("/status/")), F.lit("i/web/status/"))
     return known.select(

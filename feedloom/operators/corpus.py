@@ -13,7 +13,6 @@ from feedloom.operators.matching import match_rules, rule_value
 from feedloom.operators.ordered import nearest_rank
 from feedloom.session import cut
 
-SAMPLE_CHARS = 6000  # the routing rule itself looks at this much of an item
 MIN_EMBEDDED_CHARS = 280
 
 # Tails that mark an excerpt, and texts of error shells.
@@ -43,12 +42,12 @@ def clean_totals(cleaned: DataFrame, source: Column) -> DataFrame:
     )
 
 
-def language_routing(items: DataFrame, title: Column, html: Column) -> DataFrame:
-    """Which items are in a Latin-script language worth translating."""
+def language_routing(items: DataFrame, title: Column, html: Column, sample_chars: int | None = None) -> DataFrame:
+    """Which items are in a Latin-script language worth translating, by the whole text or its first `sample_chars`."""
     # Normalising collapses all white space, so the text needs no pass of its own for it.
     text = tx.normalize_ws(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), tx.strip_markup(html)))
     word = rf"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z'-]{{1,}}{tx.WORD_EDGE}"
-    sampled = items.withColumn("_sample", F.substring(text, 1, SAMPLE_CHARS))
+    sampled = items.withColumn("_sample", text if sample_chars is None else F.substring(text, 1, sample_chars))
     counted = sampled.withColumns({
         "letters": tx.count_chars(F.col("_sample"), "A-Za-z"),
         "words": F.regexp_count("_sample", F.lit(word)).cast("bigint"),

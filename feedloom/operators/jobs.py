@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import hash_text
-from feedloom.functions.values import PROBE_MINUTES, RETRY_HOURS, step_delay
+from feedloom.functions.values import PROBE_MINUTES, RETRY_HOURS, step_delay, unzoned_micros
 from feedloom.operators.ordered import running
 
 INTERRUPTED = "refresh interrupted by process restart"
@@ -32,6 +32,9 @@ def circuit_backoff(log: DataFrame, key: str, order: list[str], failed: Column,
     """When a circuit may be probed after each failure: the step of the failure count, or the latest provider hint of
     the open episode when that is later, so that a later hint never shortens the wait.
 
+    Every row of `failed` counts as a failed probe, which opens the circuit anew; a usage limit that is met while the
+    circuit is open is no such row (`stream_circuit` keeps the whole state).
+
     Step times grow within an episode, so the running maximum is needed for the hints only.
     """
     steps = running(
@@ -66,7 +69,7 @@ def job_queue_head(jobs: DataFrame, n: int) -> DataFrame:
 
 
 def job_listing(jobs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    return jobs.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(min(max(limit, 1), 200))
+    return jobs.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(max(limit, 1))
 
 
 def retry_failed_jobs(jobs: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def retry_failed_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def automatic_key(request: Column, ts: Column, minutes: int = 5) -> Column:
-    bucket = F.floor(F.unix_micros(ts.cast("timestamp")) / (minutes * 60_000_000)).cast("bigint")
+    bucket = F.floor(unzoned_micros(ts) / (minutes * 60_000_000)).cast("bigint")
     return F.concat(F.lit("auto:"), hash_text(F.concat_ws(":", request, bucket.cast("string"))))
 
 

@@ -98,13 +98,13 @@ def search_count(entries: DataFrame, search: str) -> DataFrame:
 
 def page_entries(entries: DataFrame, limit: int = 50, offset: int = 0, search: str = "") -> DataFrame:
     """One page, newest first. Deep pages should use `page_after`, which sorts only what follows the last seen row."""
-    return search_entries(entries, search).orderBy(*newest_first()).offset(offset).limit(min(max(limit, 1), 200))
+    return search_entries(entries, search).orderBy(*newest_first()).offset(offset).limit(max(limit, 1))
 
 
 def page_after(entries: DataFrame, seen_ts: str, seen_id: int, limit: int = 50) -> DataFrame:
     seen = F.lit(seen_ts).cast("timestamp_ntz")
     later = (sort_ts() < seen) | ((sort_ts() == seen) & (F.col("id") < seen_id))
-    return entries.filter(later).orderBy(*newest_first()).limit(min(max(limit, 1), 200))
+    return entries.filter(later).orderBy(*newest_first()).limit(max(limit, 1))
 
 
 def has_error() -> Column:
@@ -208,7 +208,7 @@ def with_dimensions(
     known = F.create_map(*[F.lit(x) for pair in (locales or LOCALE_PATHS).items() for x in pair])
     first = F.get(parts, F.lit(0))
     local = F.when(ul.host_under(host, domain), F.try_element_at(known, first))
-    rest = F.when(local.isNotNull(), F.slice(parts, 2, 1000000)).otherwise(parts)
+    rest = F.when(local.isNotNull(), F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
     head = F.coalesce(F.get(rest, F.lit(0)), F.lit(""))
     meta = F.lower(tx.trim_space(F.coalesce(F.col(metadata_language), F.lit("")))) if metadata_language else F.lit("")
     section = F.when((head == "commentary") & (F.get(rest, F.lit(1)) == "breakingviews"), F.lit("breakingviews"))

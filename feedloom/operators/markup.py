@@ -29,8 +29,25 @@ def found(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
 
 
+# An attribute's value with its quotes, or without any.
+VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+# Named entities that can hide a protocol.
+HIDING_ENTITIES = (("&colon;", ":"), ("&Tab;", ""), ("&NewLine;", ""), ("&sol;", "/"))
+
+
+def unquoted(value: Column) -> Column:
+    return F.when(F.rlike(value, F.lit("^[\"']")), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def attribute_values(html: Column, name: str) -> Column:
-    return found(html, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']")
+    return F.transform(found(html, rf"(?i)\s{name}\s*=\s*{VALUE}"), unquoted)
+
+
+def decoded_value(value: Column) -> Column:
+    text = tx.decode_numeric_entities(value)
+    for entity, character in HIDING_ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return F.regexp_replace(text, r"[\t\r\n]|^ +| +$", "")
 
 
 def count_in(names: Column, wanted: list[str]) -> Column:
@@ -57,7 +74,7 @@ def html_tag_audit(pages: DataFrame, html: str = "html") -> DataFrame:
 def safe_links(values: Column, base: Column, schemes: tuple[str, ...]) -> Column:
     """Struct (scheme, host, safe) per attribute value, resolved against the page."""
     # Each step binds its result to a lambda variable, which keeps the expressions small.
-    decoded = F.transform(values, lambda v: F.regexp_replace(tx.decode_numeric_entities(v), r"[\t\r\n]|^ +| +$", ""))
+    decoded = F.transform(values, decoded_value)
     absolute = F.transform(decoded, lambda v: ul.resolve_url(v, base))
     parts = F.transform(absolute, lambda u: F.struct(ul.url_scheme(u).alias("scheme"), ul.url_host(u).alias("host")))
     return F.transform(
@@ -77,7 +94,7 @@ def html_link_audit(pages: DataFrame, url: str = "url", html: str = "html") -> D
         "_href": safe_links(attribute_values(h, "href"), base, LINK_SCHEMES),
         "_src": safe_links(attribute_values(h, "src"), base, RESOURCE_SCHEMES),
         "_set": srcset, "_host": ul.url_host(base),
-        "_anchor": F.transform(found(h, r"(?i)(<a\s[^>]*>)"), lambda a: F.lower(F.regexp_extract(a, r"(?i)\srel\s*=\s*[\"']([^\"']*)[\"']", 1))),
+        "_anchor": F.transform(found(h, r"(?i)(<a\s[^>]*>)"), lambda a: F.lower(F.coalesce(_attr(a, "rel"), F.lit("")))),
     })
     read = read.withColumn("_set_links", safe_links(
         F.transform("_set", lambda c: F.regexp_extract(c, r"^(\S+)", 1)), base, RESOURCE_SCHEMES))
@@ -101,12 +118,15 @@ def html_link_audit(pages: DataFrame, url: str = "url", html: str = "html") -> D
     }).drop("_href", "_src", "_set", "_set_links", "_host", "_anchor", html, url)
 
 
-def _meta(html: Column, attribute: str, name: str) -> Column:
-    return tx.blank_to_null(F.regexp_extract(html, rf"(?i)<meta[^>]*{attribute}=\"{name}\"[^>]*content=\"([^\"]*)\"", 1))
+def _attr(tag: Column, name: str) -> Column:
+    return tx.blank_to_null(unquoted(F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*{VALUE}", 1)))
 
 
-def _attr(tag: Column, name: str) -> Column:
-    return tx.blank_to_null(F.regexp_extract(tag, rf"(?i)\s{name}=\"([^\"]*)\"", 1))
+def _meta(html: Column, attribute: str, name: str) -> Column:
+    """Content of the first meta tag of this name that has one, whatever the order and quotes of its attributes."""
+    named = F.filter(found(html, r"(?i)(<meta\s[^>]*>)"), lambda t: F.coalesce(F.lower(_attr(t, attribute)) == name, F.lit(False)))
+    contents = F.transform(named, lambda t: _attr(t, "content"))
+    return F.get(F.filter(contents, lambda c: c.isNotNull()), F.lit(0))
 
 
 def lead_image_per_page(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

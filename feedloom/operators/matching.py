@@ -5,13 +5,11 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.urls import host_suffixes, url_host
 
-MAX_LITERAL_RULES = 1000
-
 
 def rules_by_domain(rules: Sequence[tuple[str, str]]) -> dict[str, str]:
     """Domain -> value; a later rule of the same domain overrides an earlier one."""
@@ -26,8 +24,6 @@ def rules_by_domain(rules: Sequence[tuple[str, str]]) -> dict[str, str]:
 def match_rules(url: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Domain of the most specific rule for a URL, NULL when none matches. For short rule lists: no join, no shuffle."""
     known = rules_by_domain(rules)
-    if len(known) > MAX_LITERAL_RULES:
-        raise ValueError("too many rules for literals; put them into a table and use domain_rule_match")
     if not known:
         return F.lit(None).cast("string")
     table = F.array(*[F.lit(d) for d in known])
@@ -79,20 +75,15 @@ ALWAYS_BLOCKED_V6 = ("::/96", "64:ff9b:1::/48")
 GLOBAL_UNICAST = "2000::/3"
 
 
-def block_table(spark: SparkSession, blocks: Sequence[str] = IPV4_BLOCKS) -> DataFrame:
-    nets = [ipaddress.IPv4Network(b) for b in blocks]
-    rows = [(str(n), int(n.network_address), int(n.broadcast_address)) for n in nets]
-    return spark.createDataFrame(rows, "block string, lo bigint, hi bigint")
-
-
 def cidr_block_match(addresses: DataFrame, ip: str, allow_fake: bool = False) -> DataFrame:
     """Addresses (as numbers) with the blocked range they fall into, NULL when reachable.
 
-    The blocks are a fixed list of 15 disjoint ranges, hence the broadcast range join."""
-    blocks = [b for b in IPV4_BLOCKS if not (allow_fake and b == FAKE_IP_RANGE)]
-    table = block_table(addresses.sparkSession, blocks)
-    inside = F.col(ip).between(F.col("lo"), F.col("hi"))
-    return addresses.join(F.broadcast(table), inside, "left").drop("lo", "hi")
+    The blocks are a fixed list of 15 disjoint ranges: a chain of comparisons, no join."""
+    block = F.lit(None).cast("string")
+    for net in (ipaddress.IPv4Network(b) for b in IPV4_BLOCKS if not (allow_fake and b == FAKE_IP_RANGE)):
+        inside = F.col(ip).between(int(net.network_address), int(net.broadcast_address))
+        block = F.when(inside, F.lit(str(net))).otherwise(block)
+    return addresses.withColumn("block", block)
 
 
 DOTTED_TAIL = r"\d{1,3}(?:\.\d{1,3}){3}$"

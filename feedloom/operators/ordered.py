@@ -135,7 +135,11 @@ def nearest_rank(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = running(counts, keys, [value], {"_upto": ("sum", F.col("_n"))}, parts=parts)
     totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
-    ranked = upto.join(totals, list(keys))
+    renamed = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ranked = upto.join(renamed, same).select(*upto.columns, "_total")
     picks = [
         F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_total") * F.lit(q)), F.lit(1)), F.col(value))).alias(name)
         for name, q in quantiles.items()

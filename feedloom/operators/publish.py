@@ -110,27 +110,24 @@ def publish_diff(published: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("feed_name", state.alias("state"))
 
 
-def outline_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def outline_paths(nodes: DataFrame) -> DataFrame:
     """Leaves of an outline tree with their folder path.
 
-    Only folders are walked, one level per round; a round joins the next folders to the paths found so far. The leaves,
-    which are most of the tree, join once. Each round is written, so a lost executor costs one level. Unlike a recursive
-    query this has no limit on rows; a tree deeper than `max_depth` is an error, not a cut."""
+    Only nodes that can have children are walked, one level per round: folders, and leaves that are somebody's parent,
+    which pass their own folder on. The other leaves, which are most of the tree, join once. Each round is written, so a
+    lost executor costs one level. A node that no root leads to, of a missing parent or a cycle, stays without a folder."""
     is_leaf = tx.blank_to_null(tx.trim_space(F.coalesce("xml_url", F.lit("")))).isNotNull()
-    folders = nodes.filter(~is_leaf).select("node_id", "parent_id", tx.normalize_ws(F.col("text")).alias("text"))
-    level = folders.filter("parent_id IS NULL").select("node_id", ul.normalize_folder(F.col("text")).alias("folder"))
+    parents = nodes.select(F.col("parent_id").alias("node_id")).filter("node_id IS NOT NULL").distinct()
+    inner = nodes.withColumn("_leaf", is_leaf).join(parents.withColumn("_parent", F.lit(True)), "node_id", "left").filter("_parent OR NOT _leaf")
+    walked = inner.select("node_id", "parent_id", F.when(~F.col("_leaf"), tx.normalize_ws(F.col("text"))).alias("text"))
+    level = walked.filter("parent_id IS NULL").select("node_id", ul.normalize_folder(F.coalesce("text", F.lit(""))).alias("folder"))
     paths = level = cut(level)
-    for _ in range(max_depth):
-        step = folders.join(level.select(F.col("node_id").alias("parent_id"), F.col("folder").alias("above")), "parent_id")
+    while not level.isEmpty():
+        step = walked.join(level.select(F.col("node_id").alias("parent_id"), F.col("folder").alias("above")), "parent_id")
         level = cut(step.select("node_id", ul.normalize_folder(F.concat_ws("/", "above", "text")).alias("folder")))
-        if level.isEmpty():
-            break
         paths = paths.unionByName(level)
-    else:
-        raise ValueError("outline is deeper than max_depth, or has a cycle")
     leaves = nodes.filter(is_leaf).select(
         tx.trim_space(F.col("xml_url")).alias("source_url"), tx.normalize_ws(F.col("text")).alias("title"), "parent_id"
     )
     placed = paths.select(F.col("node_id").alias("parent_id"), "folder")
-    inside = leaves.filter("parent_id IS NOT NULL").join(placed, "parent_id").select("source_url", "title", "folder")
-    return inside.unionByName(leaves.filter("parent_id IS NULL").select("source_url", "title", F.lit("").alias("folder")))
+    return leaves.join(placed, "parent_id", "left").select("source_url", "title", F.coalesce("folder", F.lit("")).alias("folder"))

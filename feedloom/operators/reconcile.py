@@ -12,6 +12,7 @@ from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
 from feedloom.functions.values import base_provider
 from feedloom.operators.lists import top_per_group
+from feedloom.session import cut
 
 KEY = ["feed_name", "source_guid"]
 VERSION_COLUMNS = (
@@ -25,9 +26,25 @@ def same_text(a: str, b: str) -> Column:
     return F.coalesce(F.col(a), F.lit("")) == F.coalesce(F.col(b), F.lit(""))
 
 
+def last_per_key(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("refreshed_at", "last_refreshed_at", "id")) -> DataFrame:
+    """One row per key, the last by those of the `order` columns that exist; ties go by the row itself.
+
+    A NULL key equals no other key, so its rows stay as they are."""
+    values = [c for c in rows.columns if c not in keys]
+    by = F.struct(*[F.col(c) for c in order if c in rows.columns], F.xxhash64(*rows.columns).alias("_tie"))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    folded = rows.filter(whole).groupBy(*keys).agg(F.max_by(F.struct(*values), by).alias("_r"))
+    last = folded.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in rows.columns])
+    return last.unionByName(rows.filter(~whole))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], keep: list[str] = (), fill: list[str] = ()) -> DataFrame:
     """Stored rows with incoming rows laid over them. `keep` columns stay as stored, `fill` columns take the incoming
-    value only where it is not NULL, all others are replaced. Columns the incoming side lacks stay as stored."""
+    value only where it is not NULL, all others are replaced. Columns the incoming side lacks stay as stored. Of several
+    incoming rows of one key the last one counts."""
+    incoming = last_per_key(incoming, keys)
     new = incoming.select(*[F.col(c).alias(f"_new_{c}") for c in incoming.columns], F.lit(True).alias("_hit"))
     old = stored.withColumn("_had", F.lit(True))
     on = [F.col(k) == F.col(f"_new_{k}") for k in keys]
@@ -57,8 +74,9 @@ def upsert_feeds(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def touch_entries(stored: DataFrame, touched: DataFrame) -> DataFrame:
-    """Refresh metadata of unchanged rows: status, error and time replaced, fetch time only when given."""
-    new = touched.select(
+    """Refresh metadata of unchanged rows: status, error and time replaced, fetch time only when given. Of several
+    rows of one key the last one counts."""
+    new = last_per_key(touched, KEY).select(
         *KEY, F.col("refresh_status").alias("_status"), F.col("refresh_error").alias("_error"),
         F.col("refreshed_at").alias("_at"), F.col("source_fetched_at").alias("_fetched"), F.lit(True).alias("_hit"),
     )
@@ -184,8 +202,13 @@ def saved_item_reconcile(imported: DataFrame, stored: DataFrame, now: str) -> Da
 
 
 def version_check(expected: DataFrame, current: DataFrame, columns: tuple[str, ...] = VERSION_COLUMNS) -> DataFrame:
-    """same | superseded per expected row, comparing id and every version column, NULL equal to NULL."""
-    use = [c for c in columns if c in expected.columns and c in current.columns]
+    """same | superseded per expected row, comparing id and every version column, NULL equal to NULL.
+
+    A column that only one side has is an error: its rows could not be told apart."""
+    use = [c for c in columns if c in expected.columns or c in current.columns]
+    absent = [c for c in use if c not in expected.columns or c not in current.columns]
+    if absent:
+        raise ValueError(f"version columns on one side only: {absent}")
     probe = lambda df, name: df.select("id", tx.hash_text(F.to_json(F.struct(*use), {"ignoreNullFields": "false"})).alias(name))
     both = probe(expected, "_want").join(probe(current, "_have"), "id", "left")
     verdict = F.when(F.col("_want").eqNullSafe(F.col("_have")), F.lit("same")).otherwise(F.lit("superseded"))
@@ -195,7 +218,9 @@ def version_check(expected: DataFrame, current: DataFrame, columns: tuple[str, .
 def import_feeds(outline: DataFrame, stored: DataFrame, folder_override: str = "") -> DataFrame:
     """One row per distinct usable URL of an outline: created or updated, its folder and title, and the rows it had."""
     override = ul.normalize_folder(F.lit(folder_override))
+    named = F.col("name") if "name" in outline.columns else F.lit(None).cast("string")
     rows = outline.withColumns({
+        "wanted_name": tx.blank_to_null(tx.trim_space(named)),
         "source_url": ul.http_url(F.col("source_url")),
         "title": tx.blank_to_null(tx.trim_space(F.col("title"))),
         "folder": F.coalesce(tx.blank_to_null(override), ul.normalize_folder(F.col("folder"))),
@@ -204,17 +229,21 @@ def import_feeds(outline: DataFrame, stored: DataFrame, folder_override: str = "
         F.count(F.lit(1)).alias("rows"),
         F.max_by("folder", "pos").alias("folder"),
         F.min_by("title", F.when(F.col("title").isNotNull(), F.col("pos"))).alias("new_title"),
+        F.min_by("wanted_name", F.when(F.col("wanted_name").isNotNull(), F.col("pos"))).alias("wanted_name"),
     )
     old = stored.select("source_url", F.col("feed_name"), F.col("title").alias("old_title"))
     joined = per_url.join(old, "source_url", "left")
     fillable = tx.blank_to_null(F.col("old_title")).isNull() | (F.col("old_title") == F.col("feed_name"))
-    return joined.select(
-        "source_url",
-        F.coalesce("feed_name", ul.feed_name_from_url(F.col("source_url"))).alias("feed_name"),
-        "folder",
+    known = joined.filter(F.col("feed_name").isNotNull()).withColumn("action", F.lit("updated"))
+    fresh = joined.filter(F.col("feed_name").isNull())
+    explicit = F.nullif(F.regexp_replace(F.regexp_replace(F.lower("wanted_name"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
+    wanted = fresh.select(F.coalesce(F.substring(explicit, 1, 64), ul.feed_name_from_url(F.col("source_url"))).alias("feed_name"), "source_url")
+    names = resolve_feed_name(wanted, stored.select("feed_name", "source_url")).select("source_url", F.col("resolved_name").alias("feed_name"))
+    created = fresh.drop("feed_name").join(names, "source_url").withColumn("action", F.lit("created"))
+    return known.unionByName(created).select(
+        "source_url", "feed_name", "folder",
         F.when(fillable, F.coalesce("new_title", "old_title")).otherwise(F.col("old_title")).alias("title"),
-        F.when(F.col("feed_name").isNull(), F.lit("created")).otherwise(F.lit("updated")).alias("action"),
-        "rows",
+        "action", "rows",
     )
 
 
@@ -229,26 +258,26 @@ def import_summary(imported: DataFrame) -> DataFrame:
 
 def resolve_feed_name(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """A free feed name per (feed_name, source_url): the name itself, else the name with 8, 12 or 16 hex digits of the
-    URL's hash. A name that is taken by the same URL counts as free."""
-    candidates = F.array(
-        F.struct(F.lit(0).alias("size"), F.col("feed_name").alias("candidate")),
-        *[
-            F.struct(
-                F.lit(size).alias("size"),
-                F.concat(
-                    F.substring("feed_name", 1, 63 - size), F.lit("-"),
-                    F.substring(tx.hash_text(F.col("source_url")), 1, size),
-                ).alias("candidate"),
-            )
-            for size in (8, 12, 16)
-        ],
-    )
-    offered = wanted.select("feed_name", "source_url", F.inline(candidates))
+    URL's hash. A name that is taken by the same URL counts as free. Of several wanted rows that are offered the same
+    name the first URL gets it, and the others are offered the next one. Who finds all names taken keeps a row with a
+    NULL name."""
     used = taken.select(F.col("feed_name").alias("candidate"), F.col("source_url").alias("taken_by"))
-    free = offered.join(used, "candidate", "left").filter(
-        F.col("taken_by").isNull() | (F.col("taken_by") == F.col("source_url"))
-    )
-    return free.groupBy("feed_name", "source_url").agg(F.min_by("candidate", "size").alias("resolved_name"))
+    left = wanted.select("feed_name", "source_url").distinct()
+    done = None
+    for size in (0, 8, 12, 16):
+        digits = F.substring(tx.hash_text(F.col("source_url")), 1, size)
+        candidate = F.concat(F.substring("feed_name", 1, 63 - size), F.lit("-"), digits) if size else F.col("feed_name")
+        offered = left.withColumn("candidate", candidate).join(used, "candidate", "left")
+        free = offered.filter(F.col("taken_by").isNull() | (F.col("taken_by") == F.col("source_url")))
+        owner = F.min(F.struct(F.col("taken_by").isNull().alias("new"), "source_url", "feed_name")).alias("w")
+        won = cut(free.groupBy("candidate").agg(owner).select(
+            F.col("w.feed_name").alias("feed_name"), F.col("w.source_url").alias("source_url"), F.col("candidate").alias("resolved_name")))
+        done = won if done is None else done.unionByName(won)
+        left = cut(left.join(won, ["feed_name", "source_url"], "left_anti"))
+        if left.isEmpty():
+            break
+        used = used.unionByName(won.select(F.col("resolved_name").alias("candidate"), F.col("source_url").alias("taken_by")))
+    return done.unionByName(left.withColumn("resolved_name", F.lit(None).cast("string")))
 
 
 def feed_metadata_changed(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def usage_summary(usage: DataFrame, newest: int = 20) -> DataFrame:
     order = [F.col("created_at").desc(), F.col("id").desc()]
     recent = top_per_group(usage.select("provider", "id", "created_at", "status", "total_tokens"), ["provider"], order, newest)
     totals = usage_totals(usage).select(
-        "provider", "request_count", *[F.col(t).alias(f"sum_{t}") for t in TOKENS]
+        F.col("provider").alias("_provider"), "request_count", *[F.col(t).alias(f"sum_{t}") for t in TOKENS]
     )
-    return recent.join(totals, "provider")
+    return recent.join(totals, F.col("provider").eqNullSafe(F.col("_provider"))).drop("_provider")
 
 
 def usage_by_kind_status(usage: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def latency_percentiles(samples: DataFrame) -> DataFrame:
         (F.sum("latency_ms") / F.count(F.lit(1))).alias("mean_ms"), (F.sum("calls") / F.count(F.lit(1))).alias("mean_calls"),
         F.sum("aborted").cast("bigint").alias("aborted"),
     )
-    return sums.join(ranks, "scenario")
+    same = F.col("scenario").eqNullSafe(F.col("_scenario"))
+    return sums.join(ranks.withColumnRenamed("scenario", "_scenario"), same, "left").drop("_scenario")
 
 
 def distinct_first_seen(rows: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:

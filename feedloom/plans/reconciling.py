@@ -262,18 +262,30 @@ def import_summary(spark, folder):
     return rc.import_summary(rc.import_feeds(outline_rows(spark, folder), feeds(spark, folder)))
 
 
-@query("resolve_feed_name", """
+def resolved_names() -> str:
+    """Names offered size after size; the first URL that finds a candidate free gets it."""
+    ctes, won = [], []
+    for n, size in enumerate((0, 8, 12, 16)):
+        candidate = "feed_name" if not size else f"concat(substring(feed_name, 1, {63 - size}), '-', substring(sha256(source_url), 1, {size}))"
+        rest = "wanted" if not n else f"l{n - 1} ANTI JOIN w{n - 1} USING (feed_name, source_url)"
+        used = "taken" if not n else f"(SELECT feed_name, source_url FROM taken {' '.join(won)})"
+        ctes.append(f"""l{n} AS (SELECT feed_name, source_url, {candidate} AS candidate FROM {rest}),
+    w{n} AS (SELECT l.feed_name, l.source_url, l.candidate FROM l{n} l LEFT JOIN {used} t ON t.feed_name = l.candidate
+      WHERE t.source_url IS NULL OR t.source_url = l.source_url
+      QUALIFY row_number() OVER (PARTITION BY l.candidate ORDER BY t.source_url IS NULL, l.source_url, l.feed_name) = 1)""")
+        won.append(f"UNION ALL SELECT candidate, source_url FROM w{n}")
+    every = " UNION ALL ".join(f"SELECT feed_name, source_url, candidate AS resolved_name FROM w{n}" for n in range(4))
+    return ",\n    ".join(ctes) + f"\n    {every} UNION ALL SELECT feed_name, source_url, NULL FROM l3 ANTI JOIN w3 USING (feed_name, source_url)"
+
+
+@query("resolve_feed_name", f"""
     WITH wanted AS (SELECT DISTINCT concat('src', CAST(doc_id % 40 AS VARCHAR)) AS feed_name,
         concat('https://src', CAST(doc_id % 30 AS VARCHAR), '.example.org/feed.xml') AS source_url FROM documents),
     taken AS (SELECT feed_name, source_url FROM v_feeds UNION ALL
         SELECT concat(feed_name, '-', substring(sha256(concat('https://src', CAST(k AS VARCHAR), '.example.org/feed.xml')), 1, 8)),
           'https://other.example.org/' FROM (SELECT feed_name, (CAST(substring(feed_name, 4) AS INT) + 20) % 30 AS k FROM v_feeds) t
           WHERE k % 2 = 0),
-    offered AS (SELECT w.*, s.size, CASE WHEN s.size = 0 THEN feed_name
-        ELSE concat(substring(feed_name, 1, 63 - s.size), '-', substring(sha256(source_url), 1, s.size)) END AS candidate
-      FROM wanted w, (VALUES (0), (8), (12), (16)) s(size))
-    SELECT o.feed_name, o.source_url, arg_min(o.candidate, o.size) AS resolved_name FROM offered o
-    LEFT JOIN taken t ON t.feed_name = o.candidate WHERE t.source_url IS NULL OR t.source_url = o.source_url GROUP BY 1, 2""")
+    {resolved_names()}""")
 def resolve_feed_name(spark, folder):
     def feed_url(k):
         return F.concat(F.lit("https://src"), k.cast("string"), F.lit(".example.org/feed.xml"))

@@ -11,8 +11,6 @@ from feedloom.streaming import stateful, upserts
 from feedloom.streaming.runs import stream_table
 
 
-STATE_BATCH = str(1 << 30)
-
 
 def usage_stream(spark, folder):
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -70,8 +68,8 @@ def stream_usage_windows(spark, folder):
     WITH RECURSIVE {RATE} SELECT CAST(user_id AS VARCHAR) AS client, event_id AS id, epoch_us(anchor) AS anchor, number, number > 3 AS rejected FROM walk""")
 def stream_rate_limit(spark, folder):
     return stateful.stream_rate_limit(
-        stream_table(spark, folder, "events", bytes_per_batch=STATE_BATCH), "user_id", "ts", "event_id", limit=3, window_seconds=86400
-    )
+        stream_table(spark, folder, "events"), "user_id", "ts", "event_id", limit=3, window_seconds=86400
+    ).drop("late")
 
 
 @query("stream_recheck_gate", """
@@ -87,8 +85,8 @@ def stream_rate_limit(spark, folder):
       FROM walk w JOIN ranked r ON r.user_id = w.user_id AND r.rn = w.rn + 1)
     SELECT CAST(user_id AS VARCHAR) AS item, event_id AS id FROM walk WHERE passed""")
 def stream_recheck_gate(spark, folder):
-    items = stream_table(spark, folder, "events", bytes_per_batch=STATE_BATCH).withColumn("content", (F.col("event_id") % 2).cast("string"))
-    return stateful.stream_recheck_gate(items, "user_id", "ts", "event_id", "content")
+    items = stream_table(spark, folder, "events").withColumn("content", (F.col("event_id") % 2).cast("string"))
+    return stateful.stream_recheck_gate(items, "user_id", "ts", "event_id", "content").drop("late")
 
 
 CIRCUIT = """
@@ -127,12 +125,12 @@ def stream_circuit(spark, folder):
     kinds = F.create_map(*[F.lit(x) for x in ("error", "limit", "signup", "claim", "click", "ok", "view", "claim", "purchase", "fail")])
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     hint = us + F.get_json_object("props", "$.k").cast("bigint") * 60_000_000
-    events = stream_table(spark, folder, "events", bytes_per_batch=STATE_BATCH).select(
+    events = stream_table(spark, folder, "events").select(
         F.concat(F.lit("p"), F.col("user_id") % 50).alias("provider"), us.alias("us"), F.col("event_id").alias("id"),
         F.try_element_at(kinds, F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 3 == 0, hint).alias("hint"),
         F.when(F.col("event_id") % 5 == 0, F.lit(0).cast("bigint")).alias("claim"),
     )
-    return stateful.stream_circuit(events)
+    return stateful.stream_circuit(events).drop("late")
 
 
 @query("stream_job_status", """

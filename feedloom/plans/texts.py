@@ -144,7 +144,7 @@ def text_clean_totals(spark, folder):
     return corpus.clean_totals(cleaned, ul.url_host(F.col("url")))
 
 
-SAMPLE = f"substring({norm('concat(doc_id::VARCHAR, chr(10), ' + strip('text') + ')')}, 1, 6000)"
+SAMPLE = norm('concat(doc_id::VARCHAR, chr(10), ' + strip('text') + ')')
 ROUTED = rf"""
     counted AS (SELECT doc_id, lang, source, CAST(len(regexp_extract_all(s, '[A-Za-z]')) AS BIGINT) AS letters,
         CAST(len(regexp_extract_all(s, '\b[A-Za-z][A-Za-z''-]{{1,}}\b')) AS BIGINT) AS words,

@@ -27,7 +27,9 @@ def build_session(app: str = "feedloom", master: str | None = None, **settings:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where the setting is absent (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a local session may do without: it gets a private folder.
+
+    On a cluster the executors would write a private folder to their own disks, so that is an error."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -35,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if not context.getCheckpointDir():
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-"))
     return context.getCheckpointDir()
 

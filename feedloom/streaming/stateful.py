@@ -1,7 +1,12 @@
 """Keyed state over streams: rate limits, circuits and the recheck gate.
 
-Rows of a key are taken in event order within a micro-batch; the batch size bounds what a key brings at once. Only a
-small state per key lives on between batches."""
+What a row gives depends on all rows of its key before it, and rows arrive in any order. So the recent rows of a key
+are part of its state: when a row arrives, the rows from it on are folded again, and their new results replace the ones
+given before (the last batch counts). Any arrival order and any cut into batches thus end in the same rows.
+
+`keep_hours` bounds the state: rows that are older than that, seen from the key's newest row, are folded into a small
+settled state and dropped. A row that comes after its time was settled is judged by the settled state and marked late.
+Without `keep_hours` all rows are kept, and no row is late."""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from feedloom.functions.values import PROBE_MINUTES
 from feedloom.session import ROCKSDB
-from feedloom.streaming.runs import write_batches
+from feedloom.streaming.runs import last_update, write_batches
 
 MINUTE = 60_000_000
 
@@ -29,74 +34,115 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns, dtype=object)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["us", "id"], kind="stable")
+def _plain(value):
+    """Python's own number or None for a cell of a frame."""
+    if value is None or isinstance(value, str):
+        return value
+    return None if pd.isna(value) else int(value)
 
 
-class FixedWindow(StatefulProcessor):
-    """A window opens at a client's first event and closes after its span; the timer of a closed window clears it."""
+class Replay(StatefulProcessor):
+    """Folds the rows of a key in event order, whatever the order in which they come.
 
-    STATE = StructType([_long("anchor"), _long("count")])
-    OUTPUT = "client STRING, id BIGINT, anchor BIGINT, number BIGINT"
+    A subclass has STATE (what the fold carries), EVENT (us, id and what else it reads), OUTPUT, `start` and
+    `step(state, event) -> (state, results)`."""
 
-    def __init__(self, span_us: int):
-        self.span = span_us
+    STATE: StructType
+    EVENT: StructType
+    RESULTS: str
+
+    def __init__(self, keep_us: int | None):
+        self.keep = keep_us
+
+    @property
+    def OUTPUT(self) -> str:  # noqa: N802
+        return f"key STRING, id BIGINT, {self.RESULTS}, late BOOLEAN"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.window = handle.getValueState("window", self.STATE)
+        self.settled = handle.getValueState("settled", StructType([*self.STATE.fields, _long("us"), _long("last")]))
+        self.recent = handle.getListState("recent", self.EVENT)
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, state: tuple, event: tuple) -> tuple[tuple, tuple]:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues):
-        anchor, count = self.window.get() if self.window.exists() else (None, 0)
-        before, out = anchor, []
-        for us, event in _in_order(rows)[["us", "id"]].itertuples(index=False):
-            if anchor is None or us >= anchor + self.span:
-                anchor, count = us, 0
-            count += 1
-            out.append((key[0], event, anchor, count))
-        self.window.update((anchor, count))
-        if anchor != before:
-            self.handle.registerTimer((anchor + self.span) // 1000 + 1)
-        yield _frame(out, ["client", "id", "anchor", "number"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.window.exists():
-            anchor = self.window.get()[0]
-            if (anchor + self.span) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.window.clear()
-        yield _frame([], ["client", "id", "anchor", "number"])
+        names = self.EVENT.names
+        fresh = [tuple(_plain(v) for v in r) for frame in rows for r in frame[names].itertuples(index=False)]
+        stored = self.settled.get() if self.settled.exists() else None
+        settled, upto = (tuple(stored[:-2]), tuple(stored[-2:])) if stored else (self.start(), None)
+        late = [e for e in fresh if upto is not None and e[:2] <= upto]
+        new = [e for e in fresh if upto is None or e[:2] > upto]
+        out = [(key[0], e[1], *self.step(settled, e)[1], True) for e in late]
+        if new:
+            events = sorted([*(tuple(e) for e in self.recent.get()), *new], key=lambda e: e[:2])
+            first, state = min(e[:2] for e in new), settled
+            edge = None if self.keep is None else events[-1][0] - self.keep
+            kept, before = [], upto
+            for e in events:
+                state, results = self.step(state, e)
+                if e[:2] >= first:
+                    out.append((key[0], e[1], *results, False))
+                if edge is not None and e[0] < edge:
+                    settled, before = state, e[:2]
+                else:
+                    kept.append(e)
+            if before != upto:
+                self.settled.update((*settled, *before))
+            self.recent.put(kept)
+        yield _frame(out, [c.split()[0] for c in self.OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-class RecheckGate(StatefulProcessor):
+EVENT = [_long("us"), _long("id")]
+
+
+class FixedWindow(Replay):
+    """A window opens at a client's first event and closes after its span."""
+
+    STATE = StructType([_long("anchor"), _long("count")])
+    EVENT = StructType(EVENT)
+    RESULTS = "anchor BIGINT, number BIGINT"
+
+    def __init__(self, span_us: int, keep_us: int | None = None):
+        super().__init__(keep_us)
+        self.span = span_us
+
+    def start(self):
+        return None, 0
+
+    def step(self, state, event):
+        anchor, count = state
+        if anchor is None or event[0] >= anchor + self.span:
+            anchor, count = event[0], 0
+        return (anchor, count + 1), (anchor, count + 1)
+
+
+class RecheckGate(Replay):
     """Lets an item pass when it is new, when its content changed, or when the last fetch is old enough."""
 
     STATE = StructType([StructField("hash", StringType()), _long("fetched")])
-    OUTPUT = "item STRING, id BIGINT"
+    EVENT = StructType([*EVENT, StructField("hash", StringType())])
+    RESULTS = "passed BOOLEAN"
 
-    def __init__(self, recheck_us: int):
+    def __init__(self, recheck_us: int, keep_us: int | None = None):
+        super().__init__(keep_us)
         self.recheck = recheck_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.STATE)
-
-    def handleInputRows(self, key, rows, timerValues):
-        known, fetched = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for us, event, content in _in_order(rows)[["us", "id", "hash"]].itertuples(index=False):
-            if fetched is None or content != known or us >= fetched + self.recheck:
-                known, fetched = content, us
-                out.append((key[0], event))
-        self.last.update((known, fetched))
-        yield _frame(out, ["item", "id"])
+    def start(self):
+        return None, None
 
-    def close(self) -> None:
-        pass
+    def step(self, state, event):
+        known, fetched = state
+        passed = fetched is None or event[2] != known or event[0] >= fetched + self.recheck
+        return ((event[2], event[0]) if passed else state), (passed,)
 
 
-class Circuit(StatefulProcessor):
+class Circuit(Replay):
     """closed -> open on a usage limit; -> half-open when a due probe is claimed; -> closed when that probe succeeds.
 
     Event kinds: limit (usage limit reached), claim and force (ask for a probe), ok and fail (result of the probe claimed
@@ -106,15 +152,15 @@ class Circuit(StatefulProcessor):
         StructField("state", StringType()), _long("failures"), _long("opened"), _long("next_probe"), _long("last_probe"),
         StructField("probing", BooleanType()),
     ])
-    OUTPUT = (
-        "provider STRING, id BIGINT, kind STRING, accepted BOOLEAN, state STRING, failures BIGINT, next_probe BIGINT"
-    )
+    EVENT = StructType([*EVENT, StructField("kind", StringType()), _long("hint"), _long("claim")])
+    RESULTS = "kind STRING, accepted BOOLEAN, state STRING, failures BIGINT, next_probe BIGINT"
 
-    def __init__(self, lease_us: int):
+    def __init__(self, lease_us: int, keep_us: int | None = None):
+        super().__init__(keep_us)
         self.lease = lease_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.circuit = handle.getValueState("circuit", self.STATE)
+    def start(self):
+        return "closed", 0, None, None, None, False
 
     def _open(self, c: dict, now: int, hint: int | None) -> bool:
         if c["state"] == "open":
@@ -154,55 +200,55 @@ class Circuit(StatefulProcessor):
             c["probing"] = False
         return accepted
 
-    def handleInputRows(self, key, rows, timerValues):
-        names = self.STATE.names
-        stored = self.circuit.get() if self.circuit.exists() else ("closed", 0, None, None, None, False)
-        c, out = dict(zip(names, stored)), []
-        for row in _in_order(rows).itertuples(index=False):
-            now, hint, claim = row.us, *(None if pd.isna(v) else int(v) for v in (row.hint, row.claim))
-            if row.kind == "limit":
-                accepted = self._open(c, now, hint)
-            elif row.kind in ("claim", "force"):
-                accepted = self._claim(c, now, row.kind == "force")
-            else:
-                accepted = self._result(c, now, row.kind == "ok", claim, hint)
-            out.append((key[0], row.id, row.kind, accepted, c["state"], c["failures"], c["next_probe"]))
-        self.circuit.update(tuple(c[n] for n in names))
-        yield _frame(out, ["provider", "id", "kind", "accepted", "state", "failures", "next_probe"])
-
-    def close(self) -> None:
-        pass
+    def step(self, state, event):
+        c = dict(zip(self.STATE.names, state))
+        now, _, kind, hint, claim = event
+        if kind == "limit":
+            accepted = self._open(c, now, hint)
+        elif kind in ("claim", "force"):
+            accepted = self._claim(c, now, kind == "force")
+        else:
+            accepted = self._result(c, now, kind == "ok", claim, hint)
+        return tuple(c[n] for n in self.STATE.names), (kind, accepted, c["state"], c["failures"], c["next_probe"])
 
 
-def _keyed(stream: DataFrame, key: str, processor, time_mode: str = "None") -> DataFrame:
+def _keyed(stream: DataFrame, key: str, processor: Replay, options: dict) -> DataFrame:
+    """The last result per key and row."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(key).transformWithStateInPandas(processor, processor.OUTPUT, "update", time_mode)
+    results = stream.groupBy(key).transformWithStateInPandas(processor, processor.OUTPUT, "update", "None")
+    return last_update(write_batches(results, "update", **options), ["key", "id"]).withColumnRenamed("key", key)
+
+
+def _micros(hours: float | None) -> int | None:
+    return None if hours is None else int(hours * 60 * MINUTE)
 
 
 def stream_rate_limit(
     events: DataFrame, client: str, ts: str, event_id: str, limit: int = 20, window_seconds: int = 60,
-    delay: str = "1 hour", **options,
+    keep_hours: float | None = None, **options,
 ) -> DataFrame:
     """The live form of `rate_limit_fixed`."""
     rows = events.select(
-        F.col(client).cast("string").alias("client"), F.col(ts).cast("timestamp").alias("at"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(event_id).alias("id"),
-    ).withWatermark("at", delay)
-    counted = _keyed(rows, "client", FixedWindow(window_seconds * 1_000_000), "EventTime")
-    out = write_batches(counted, "update", **options).drop("batch").filter("id IS NOT NULL")
-    return out.withColumn("rejected", F.col("number") > limit)
+        F.col(client).cast("string").alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        F.col(event_id).alias("id"),
+    )
+    counted = _keyed(rows, "client", FixedWindow(window_seconds * 1_000_000, _micros(keep_hours)), options)
+    return counted.withColumn("rejected", F.col("number") > limit)
 
 
 def stream_recheck_gate(
-    items: DataFrame, item: str, ts: str, event_id: str, content: str, recheck_hours: int = 24, **options
+    items: DataFrame, item: str, ts: str, event_id: str, content: str, recheck_hours: int = 24,
+    keep_hours: float | None = None, **options,
 ) -> DataFrame:
+    """Items that pass, with whether they came too late to be judged by their own time."""
     rows = items.select(
         F.col(item).cast("string").alias("item"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(event_id).alias("id"), F.col(content).alias("hash"),
     )
-    return write_batches(_keyed(rows, "item", RecheckGate(recheck_hours * 60 * MINUTE)), "update", **options).drop("batch")
+    judged = _keyed(rows, "item", RecheckGate(recheck_hours * 60 * MINUTE, _micros(keep_hours)), options)
+    return judged.filter("passed").drop("passed")
 
 
-def stream_circuit(events: DataFrame, lease_seconds: int = 245, **options) -> DataFrame:
+def stream_circuit(events: DataFrame, lease_seconds: int = 245, keep_hours: float | None = None, **options) -> DataFrame:
     """Circuit after each event; `events` has provider, us, id, kind, hint, claim."""
-    return write_batches(_keyed(events, "provider", Circuit(lease_seconds * 1_000_000)), "update", **options).drop("batch")
+    return _keyed(events, "provider", Circuit(lease_seconds * 1_000_000, _micros(keep_hours)), options)

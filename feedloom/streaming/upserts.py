@@ -42,9 +42,13 @@ def stream_upsert(stream: DataFrame, stored: DataFrame, out: str | None = None,
     return spark.read.schema(schema).parquet(f"{out}/after={last}")
 
 
-def stream_dedupe(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour", **options) -> DataFrame:
-    """Rows without repeats of a key that arrive within the delay; the state of older keys is dropped."""
-    once = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def stream_dedupe(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str | None = None, **options) -> DataFrame:
+    """Rows without repeats of a key, whatever the order in which they arrive.
+
+    Without a `delay` the state holds every key. With one it forgets keys that are older than the delay, and rows that
+    come later than it are lost: an explicit choice for sources that promise the delay."""
+    zoned = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    once = zoned.dropDuplicates(keys) if delay is None else zoned.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
     out = write_batches(once, **options).drop("batch")
     return out.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
 
@@ -56,9 +60,12 @@ def stream_usage_totals(usage: DataFrame, **options) -> DataFrame:
     return last_update(write_batches(totals, "update", **options), ["provider"])
 
 
-def stream_usage_windows(usage: DataFrame, width: str = "1 day", delay: str = "1 hour", **options) -> DataFrame:
-    """Totals per provider and clock window, kept until the watermark passes the window."""
-    timed = usage.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
+def stream_usage_windows(usage: DataFrame, width: str = "1 day", delay: str | None = None, **options) -> DataFrame:
+    """Totals per provider and clock window. All that arrives counts, however late: a window is one small row of state.
+
+    With a `delay` windows are forgotten once the watermark has passed them, and later rows are lost."""
+    timed = usage.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    timed = timed if delay is None else timed.withWatermark("created_at", delay)
     totals = timed.groupBy("provider", F.window("created_at", width)).agg(
         F.count(F.lit(1)).alias("request_count"), zero_sum("total_tokens")
     ).select("provider", F.col("window.start").alias("window_start"), "request_count", "total_tokens")

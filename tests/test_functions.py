@@ -81,6 +81,21 @@ def test_urls(spark):
     assert values(spark, ul.host_under(L("a.x.com"), "x.com"), ul.host_under(L("ax.com"), "x.com")) == (True, False)
 
 
+def test_canonical_urls(spark):
+    cases = {
+        "HTTPS://EXAMPLE.org:443": "https://example.org/", "http://a.org:80/x": "http://a.org/x", "http://a.org:8080/": "http://a.org:8080/",
+        "https://a.org/p/q/../a/./b.html?u=../v#../w": "https://a.org/p/a/b.html?u=../v#../w", "https://a.org/../..": "https://a.org/",
+        "https://a.org/p/..": "https://a.org/", "https://a.org/p/.": "https://a.org/p/", "https://a.org/a..b/...": "https://a.org/a..b/...",
+        "mailto:X@y.org": "mailto:X@y.org", "not a url": "not a url",
+    }
+    from feedloom.functions.urls import canonical_url, resolve_url
+
+    df = spark.createDataFrame([(c,) for c in cases], "u string")
+    assert {r.u: r.c for r in df.select("u", canonical_url(F.col("u")).alias("c")).collect()} == cases
+    base = F.lit("https://EXAMPLE.org:443/p/q/r.html")
+    assert values(spark, resolve_url(F.lit("../a/b.html"), base), resolve_url(F.lit("//CDN.x:443/i"), base)) == ("https://example.org/p/a/b.html", "https://cdn.x/i")
+
+
 def test_names_and_folders(spark):
     assert one(spark, ul.feed_name_from_url(L("https://Example.COM/path/to/feed.xml"))) == "example-com-path-to-feed-xml"
     assert len(one(spark, ul.feed_name_from_url(L("https://e.com/" + "a" * 90)))) == 64

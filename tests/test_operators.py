@@ -167,12 +167,12 @@ def markdown(spark, text, budget):
 
 def test_markdown_chunks(spark):
     assert markdown(spark, "", 5) == [] and markdown(spark, "   ", 5) == []
-    assert markdown(spark, "﻿# One\r\n\r\none two three\r\n\r\n## Two\r\n\r\nfour five six", 5) == [
-        (5, "# One\n\none two three"), (5, "## Two\n\nfour five six")]
-    assert markdown(spark, "line one two\nline three four\nline five six", 4) == [(3, "line one two"), (3, "line three four"), (3, "line five six")]
-    assert markdown(spark, "one two. three four. five six.", 4) == [(4, "one two. three four."), (2, "five six.")]
-    nine = "one two three four five six seven eight nine"
-    assert markdown(spark, nine, 4) == [(4, "one two three four"), (4, "five six seven eight"), (1, "nine")]
+    assert markdown(spark, "﻿# Pond\r\n\r\nducks swim there\r\n\r\n## Hill\r\n\r\ngoats climb up", 5) == [
+        (5, "# Pond\n\nducks swim there"), (5, "## Hill\n\ngoats climb up")]
+    assert markdown(spark, "red oak leaf\nold elm bark\nwet ash twig", 4) == [(3, "red oak leaf"), (3, "old elm bark"), (3, "wet ash twig")]
+    assert markdown(spark, "rain falls. snow melts. wind turns.", 4) == [(4, "rain falls. snow melts."), (2, "wind turns.")]
+    seven = "lime plum pear fig date kiwi sloe"
+    assert markdown(spark, seven, 3) == [(3, "lime plum pear"), (3, "fig date kiwi"), (1, "sloe")]
     assert markdown(spark, "甲乙丙丁戊己庚辛壬癸", 5) == [(5, "甲乙丙丁戊己庚辛壬癸")]
 
 
@@ -229,7 +229,55 @@ def test_outline(spark):
     data = [("1", None, "  Tech  ", None), ("2", "1", " Daily   News ", None), ("3", "2", "Feed A", " https://a.example/f "),
             ("4", None, "Root", "https://b.example/f"), ("5", "9", "Lost", "https://c.example/f")]
     out = publish.outline_paths(spark.createDataFrame(data, "node_id string, parent_id string, text string, xml_url string"))
-    assert sorted(rows(out)) == [("https://a.example/f", "Feed A", "Tech/Daily News"), ("https://b.example/f", "Root", "")]
+    assert sorted(rows(out)) == [
+        ("https://a.example/f", "Feed A", "Tech/Daily News"), ("https://b.example/f", "Root", ""), ("https://c.example/f", "Lost", "")]
+    deep = [(str(k), str(k - 1) if k else None, f"n{k}", "https://leaf.example/f" if k in (5, 7) else None) for k in range(8)] + [("x", "y", "x", None), ("y", "x", "y", None), ("z", "x", "Ring", "https://ring.example/f")]
+    out = publish.outline_paths(spark.createDataFrame(deep, "node_id string, parent_id string, text string, xml_url string"))
+    assert sorted(rows(out, "title", "folder")) == [("Ring", ""), ("n5", "n0/n1/n2/n3/n4"), ("n7", "n0/n1/n2/n3/n4/n6")]
+
+
+def test_upserts_give_one_row_per_key(spark):
+    stored = spark.createDataFrame([(1, "f", "a", "old", "2024-01-01")], "id int, feed_name string, source_guid string, title string, refreshed_at string")
+    new = spark.createDataFrame([(7, "f", "a", "second", "2024-01-03"), (8, "f", "a", "first", "2024-01-02"), (9, "f", "b", "x", "2024-01-02"), (9, "f", "b", "x", "2024-01-02")], stored.schema)
+    out = reconcile.upsert(stored, new, ["feed_name", "source_guid"], keep=["id"])
+    assert sorted(rows(out, "id", "source_guid", "title")) == [(1, "a", "second"), (9, "b", "x")]
+
+
+def test_names_that_clash_inside_a_batch(spark):
+    schema = "feed_name string, source_url string"
+    out = reconcile.resolve_feed_name(spark.createDataFrame([("n", "https://b"), ("n", "https://a"), ("m", "https://c")], schema), spark.createDataFrame([("m", "https://c")], schema))
+    got = {r.source_url: r.resolved_name for r in out.collect()}
+    assert got["https://a"] == "n" and got["https://b"].startswith("n-") and len(got["https://b"]) == 10 and got["https://c"] == "m"
+    import hashlib
+
+    digits = hashlib.sha256(b"https://z").hexdigest()
+    full = spark.createDataFrame([("n", "https://q")] + [(f"n-{digits[:k]}", "https://q") for k in (8, 12, 16)], schema)
+    assert rows(reconcile.resolve_feed_name(spark.createDataFrame([("n", "https://z")], schema), full)) == [("n", "https://z", None)]
+
+
+def test_imports_use_canonical_addresses_and_free_names(spark):
+    outline = spark.createDataFrame(
+        [(0, "HTTPS://A.org", "A", "", None), (1, "https://b.org/x?y=1", "B", "", None), (2, "https://b.org/x?y=2", "C", "", None), (3, "https://c.org/", "D", "", "My Own Name")],
+        "pos int, source_url string, title string, folder string, name string")
+    stored = spark.createDataFrame([("a-feed", "https://a.org/", "a-feed")], "feed_name string, source_url string, title string")
+    got = {r.source_url: (r.feed_name, r.action) for r in reconcile.import_feeds(outline, stored).collect()}
+    assert got["https://a.org/"] == ("a-feed", "updated") and got["https://c.org/"] == ("my-own-name", "created")
+    names = {got["https://b.org/x?y=1"][0], got["https://b.org/x?y=2"][0]}
+    assert "b-org-x" in names and len(names) == 2
+
+
+def test_null_groups_stay(spark):
+    samples = spark.createDataFrame([(None, 5, 1, False), (None, 7, 1, True), ("s", None, 2, False)], "scenario string, latency_ms int, calls int, aborted boolean")
+    out = rollups.latency_percentiles(samples.withColumn("aborted", F.col("aborted").cast("int")))
+    assert sorted(map(str, rows(out, "scenario", "p50", "mean_ms"))) == sorted(map(str, [(None, 5, 6.0), ("s", None, None)]))
+
+
+def test_markup_in_any_quotes(spark):
+    page = spark.createDataFrame([(1, "https://n.example/", "<a href=javascript:x><a href='java&Tab;script:y'><a href=\"javascript&colon;z\"><a href='it\"s'>"
+                                   "<META content='https://i.example/o.png' property=og:image>")], "page_id int, url string, html string")
+    links = markup.html_link_audit(page).first()
+    assert (links.links, links.unsafe_links) == (4, 3)
+    assert rows(markup.lead_image_per_page(page), "src", "origin") == [("https://i.example/o.png", "meta")]
 
 
 def test_thread_cap_and_text(spark):

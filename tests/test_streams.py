@@ -10,6 +10,45 @@ from feedloom.streaming import stateful, upserts
 from feedloom.streaming.runs import stream_table
 
 
+def out_of_order(spark, small, folder, n=3):
+    """events dealt to n files by a hash, so that every file holds all times, and the last file has the first rows."""
+    folder.mkdir()
+    events = table(spark, small, "events").withColumn("_n", F.pmod(F.xxhash64("event_id"), F.lit(n)))
+    for i in range(n):
+        events.filter(F.col("_n") == i).drop("_n").coalesce(1).write.parquet(f"{folder}/p{i}")
+        shutil.copy(next((folder / f"p{i}").glob("part-*.parquet")), folder / f"events-{i}.parquet")
+    return str(folder)
+
+
+def test_any_arrival_order_gives_the_rows_of_one_batch(spark, small, tmp_path):
+    folder = out_of_order(spark, small, tmp_path / "in")
+    one = lambda: stream_table(spark, small, "events")
+    many = lambda: stream_table(spark, folder, "events", files_per_batch=1)
+    content = lambda df: df.withColumn("content", (F.col("event_id") % 2).cast("string"))
+    kinds = F.create_map(*[F.lit(x) for x in ("error", "limit", "signup", "claim", "click", "ok", "view", "claim", "purchase", "fail")])
+    calls = lambda df: df.select(
+        F.concat(F.lit("p"), F.col("user_id") % 9).alias("provider"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.col("event_id").alias("id"), F.try_element_at(kinds, F.col("event_type")).alias("kind"),
+        F.lit(None).cast("bigint").alias("hint"), F.lit(None).cast("bigint").alias("claim"))
+    usage = lambda df: df.select(F.col("event_type").alias("provider"), F.col("ts").alias("created_at"), F.lit(1).alias("total_tokens"))
+    jobs = [
+        lambda df: stateful.stream_rate_limit(df, "user_id", "ts", "event_id", 3, 86400),
+        lambda df: stateful.stream_recheck_gate(content(df), "user_id", "ts", "event_id", "content"),
+        lambda df: stateful.stream_circuit(calls(df)),
+        lambda df: upserts.stream_dedupe(df.select("event_id", "ts"), ["event_id"]),
+        lambda df: upserts.stream_usage_windows(usage(df)),
+    ]
+    for job in jobs:
+        assert sorted(map(str, job(many()).collect())) == sorted(map(str, job(one()).collect()))
+
+
+def test_settled_rows_bound_the_state_and_late_ones_are_marked(spark, small, tmp_path):
+    folder = out_of_order(spark, small, tmp_path / "in")
+    out = stateful.stream_rate_limit(stream_table(spark, folder, "events", files_per_batch=1), "user_id", "ts", "event_id", 3, 86400, keep_hours=48)
+    events = table(spark, small, "events")
+    assert sorted(rows(out, "id")) == sorted(rows(events, "event_id")) and out.filter("late").count()
+
+
 def in_files(spark, small, folder, n=4):
     """events split by time into n files, so that a stream sees several batches in order."""
     folder.mkdir()
