@@ -16,9 +16,12 @@ from feedloom.llm.storage import saved
 ROUNDS = 100
 
 
-def _mark(edges: DataFrame) -> tuple[int, int | None]:
-    found = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return found.n, found.x
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other node, and that one on none."""
+    found = edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("nodes")).first()
+    if found.n != found.nodes:
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -28,9 +31,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """
     a, b = F.col(left), F.col(right)
     edges = saved(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    before = _mark(edges)
     for _ in range(ROUNDS):
-        if before[0] == 0:
+        if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -42,10 +44,6 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         smaller = larger.join(below, "u").select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u <> v")
         edges = saved(smaller.distinct(), "smaller")
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
