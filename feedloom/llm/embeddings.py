@@ -27,7 +27,7 @@ from feedloom.llm.storage import quoted, saved
 THRESHOLD = 0.98
 SAMPLE = 20_000
 PER_CENTROID = 8
-SHARD = 1500
+SHARD = 400
 DEGREE = 24
 NEAREST = 64
 RANDOM = 32
@@ -148,41 +148,61 @@ def _entries(units: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
 
 
 def range_search(units: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, node) with a similarity of at least `least` that greedy search from the medoids meets."""
+    """Pairs (query, node) with a similarity of at least `least` that greedy search from the medoids meets.
+
+    Each query keeps a beam of its nearest nodes so far. Open ones among the BEAM nearest, and all in range, are expanded; a
+    beam that cannot hold all nodes in range grows.
+    """
     n = len(units)
     entries = _entries(units, neighbours)
     step = max(1, min(256, CELLS // n))
-    kept = min(BEAM, n)
-    expand = min(EXPAND, n)
     for low in range(0, len(queries), step):
         own = queries[low:low + step]
-        seen = np.full((len(own), n), -np.inf)
-        seen[:, entries] = units[own] @ units[entries].T
-        open_ = np.isfinite(seen)
-        active = np.arange(len(own))
-        while len(active):
-            now = np.where(open_[active], seen[active], -np.inf)
-            best = np.argpartition(-now, expand - 1, axis=1)[:, :expand]
+        rows = np.arange(len(own))
+        width = max(2 * BEAM, len(entries))
+        ids, open_ = np.zeros((len(own), width), np.int64), np.zeros((len(own), width), bool)
+        near = np.full((len(own), width), -np.inf)
+        seen = np.zeros((len(own), n), bool)
+        seen[:, entries] = True
+        ids[:, :len(entries)], open_[:, :len(entries)] = entries, True
+        near[:, :len(entries)] = units[own] @ units[entries].T
+        hits = [(rows.repeat(len(entries)), np.tile(entries, len(own)), near[:, :len(entries)].ravel())]
+        while True:
+            now = np.where(open_, near, -np.inf)
+            best = np.argpartition(-now, EXPAND - 1, axis=1)[:, :EXPAND]
             score = np.take_along_axis(now, best, 1)
-            bar = np.minimum(least, np.partition(seen[active], n - kept, axis=1)[:, n - kept])
-            good = np.isfinite(score) & (score >= bar[:, None])
-            row, column = np.nonzero(good)
+            bar = np.partition(near, width - BEAM, axis=1)[:, width - BEAM]
+            row, column = np.nonzero(np.isfinite(score) & (score >= np.minimum(least, bar)[:, None]))
             if not len(row):
                 break
-            query, node = active[row], best[row, column]
-            open_[query, node] = False
-            reach = neighbours[node]
+            place = best[row, column]
+            open_[row, place] = False
+            reach = neighbours[ids[row, place]]
             r, c = np.nonzero(reach >= 0)
-            q, m = query[r], reach[r, c]
-            fresh = ~np.isfinite(seen[q, m])
-            q, m = q[fresh], m[fresh]
-            key = np.unique(q * n + m)
+            q, m = row[r], reach[r, c]
+            fresh = ~seen[q, m]
+            key = np.unique(q[fresh] * n + m[fresh])
+            if not len(key):
+                continue
             q, m = key // n, key % n
-            seen[q, m] = np.einsum("ij,ij->i", units[own[q]], units[m])
-            open_[q, m] = True
-            active = np.unique(query)
-        row, node = np.nonzero(seen >= least)
-        yield own[row], node
+            seen[q, m] = True
+            similar = np.einsum("ij,ij->i", units[own[q]], units[m])
+            hits.append((q, m, similar))
+            counts = np.bincount(q, minlength=len(own))
+            at = np.arange(len(q)) - (np.cumsum(counts) - counts)[q]
+            shape = (len(own), int(counts.max()))
+            more_ids, more_near, more_open = np.zeros(shape, np.int64), np.full(shape, -np.inf), np.zeros(shape, bool)
+            more_ids[q, at], more_near[q, at], more_open[q, at] = m, similar, True
+            ids, near, open_ = (np.concatenate(x, axis=1) for x in ((ids, more_ids), (near, more_near), (open_, more_open)))
+            width = max(width, int((near >= least).sum(axis=1).max()) + BEAM)
+            if near.shape[1] > width:
+                kept = np.argpartition(-near, width - 1, axis=1)[:, :width]
+                ids, near, open_ = (np.take_along_axis(x, kept, 1) for x in (ids, near, open_))
+            else:
+                width = near.shape[1]
+        q, m, similar = (np.concatenate(x) for x in zip(*hits))
+        true = similar >= least
+        yield own[q[true]], m[true]
 
 
 def _assign(centres: dict[tuple, tuple[int, np.ndarray]], overlap: int):
