@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard, union-find over lines.
 
 DataFrame operations only. A line's shingles are hashed once; the signature's k-th value is the minimum of hash XOR
-mask k, which any element of the union takes with the same chance, as for k hash functions. Lines with many
-shingles use the quarter of them whose hash ends in two zero bits; minima over that sample agree as often. Equal lines
+mask k, which any element of the union takes with the same chance, as for k hash functions. Lines of every length take
+their minima over all shingles, so lines of any two lengths are compared by the same rule. Equal lines
 are one row from the start (pre-aggregated before the shuffle), so a line's frequency never matters.
 
 Lines that share a band are candidates. Each meets the first line of its bucket; after that only lines that are not
@@ -25,7 +25,6 @@ SHINGLE = 12
 BANDS = 8
 ROWS = 4
 SIMILARITY = 0.8
-SAMPLE_FROM = 128
 SMALL_BUCKET = 16
 GROWTH = 8
 GOLDEN = 0x9E3779B97F4A7C15
@@ -84,11 +83,9 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
     """(id, h1, h2, bands) of every different line that is not blank."""
     units = _lines(docs, text).select("h1", "h2", F.encode("line", "UTF-16BE").alias("units"))
     places = units.withColumn("n", F.expr(_count("units", SHINGLE))).select(
-        "h1", "h2", "units", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    hashed = places.select("h1", "h2", "n", F.expr(_piece("units", "i", SHINGLE)).alias("h"))
-    # a line all of whose hashes are left out would have no signature; its first places always count
-    used = hashed.filter((F.col("n") < SAMPLE_FROM) | (F.col("h").bitwiseAND(F.lit(3)) == 0))
-    minima = used.groupBy("h1", "h2").agg(*[
+        "h1", "h2", "units", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    hashed = places.select("h1", "h2", F.expr(_piece("units", "i", SHINGLE)).alias("h"))
+    minima = hashed.groupBy("h1", "h2").agg(*[
         F.min(F.col("h").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
     bands = F.array(*[
         F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])

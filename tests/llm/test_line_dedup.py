@@ -88,3 +88,13 @@ def test_texts_keep_columns_blank_lines_and_order(make):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ("same line of some length", 24), 2: ("\nown line two", 13), 3: (None, None), 4: ("own line four\n", 14)}
     assert drop_duplicate_lines(docs.limit(0)).count() == 0 and duplicate_lines(docs.limit(0)).count() == 0
+
+
+def test_near_equal_lines_of_120_to_140_characters(make):
+    r = random.Random(8)
+    lines = [prose(2000 + k, 60, 60)[:r.randint(134, 138)].replace("\n", " ") for k in range(40)]
+    pairs = [(a, a + " and"[:r.randint(2, 4)]) for a in lines] + [(a[:125], changed(a[:125], r, 1)) for a in lines[:10]]
+    rows = [(2 * k + i, pair[i]) for k, pair in enumerate(pairs) for i in (0, 1)]
+    found = duplicate_lines(make(rows).coalesce(1)).collect()
+    assert {(x.row, pos) for x in found for pos in x.removed} == brute(rows)
+    assert all(x.removed for x in found if x.doc_id % 2)
