@@ -9,6 +9,10 @@ Lines that share a band are candidates. Each meets the first line of its bucket;
 connected yet have to meet, so a large group of copies needs little more. In a small bucket the unconnected lines meet all
 others; in a large one they become pivots, eight times as many in each round, that meet all others, until each line is
 connected to the first or was a pivot. No bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
+
+Each line has a sketch of 64 * SKETCH bits, one set by each shingle. Bits that differ are at most as many as shingles that
+differ, so a pair with too many of them is below the threshold for certain; the others are compared by their sets, which
+are computed once for each line.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from pyspark.sql import functions as F
 from feedloom.llm.components import components
 from feedloom.llm.storage import free_name, quoted, saved
 
-SHINGLE = 12
-BANDS = 8
-ROWS = 4
+SHINGLE = 8
+BANDS = 7
+ROWS = 3
 SIMILARITY = 0.8
 SMALL_BUCKET = 16
 GROWTH = 8
+SKETCH = 4
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -49,9 +54,9 @@ def shingle_set(line: Column, shingle: int = SHINGLE) -> Column:
 
     def of(units: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - (2 * shingle - 1)), F.lit(2))
-        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(units, i, 2 * shingle))))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(units, i, 2 * shingle)))
 
-    return _bound(F.encode(line, "UTF-16BE"), of)
+    return F.array_distinct(_bound(F.encode(line, "UTF-16BE"), of))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -80,27 +85,38 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """(id, h1, h2, bands) of every different line that is not blank."""
+    """(id, h1, h2, n, s0.., bands) of every different line that is not blank; n places of shingles, s0.. their sketch."""
     units = _lines(docs, text).select("h1", "h2", F.encode("line", "UTF-16BE").alias("units"))
     places = units.withColumn("n", F.expr(_count("units", SHINGLE))).select(
-        "h1", "h2", "units", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    hashed = places.select("h1", "h2", F.expr(_piece("units", "i", SHINGLE)).alias("h"))
-    minima = hashed.groupBy("h1", "h2").agg(*[
+        "h1", "h2", "units", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    hashed = places.select("h1", "h2", "n", F.expr(_piece("units", "i", SHINGLE)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.expr(f"pmod(h >> 6, {SKETCH})")
+    sketch = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
+    minima = hashed.groupBy("h1", "h2").agg(F.max("n").alias("n"), *sketch, *[
         F.min(F.col("h").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
     bands = F.array(*[
         F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands"))
+    return minima.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n", *[f"s{k}" for k in range(SKETCH)], bands.alias("bands"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of at least SIMILARITY."""
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    sets = F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
-    sizes = _bound(sets, lambda s: F.struct(
-        F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("both")))
-    return both.filter(_bound(sizes, lambda n: n["common"] >= SIMILARITY * (n["both"] - n["common"]))).select("a", "b")
+
+    def sketches(side: str) -> DataFrame:
+        return lines.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *(f"s{k}" for k in range(SKETCH)))])
+
+    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
+    # of sizes x + y, (1 - s) / (1 + s) may differ; places are as many as shingles or more, and a rounded product loses none
+    bound = (1 + SIMILARITY) * apart <= (1 - SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    near = saved(pairs.join(sketches("a"), "a").join(sketches("b"), "b").filter(bound).select("a", "b"), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = saved(texts.join(ends, "id").select("id", shingle_set(F.col("line")).alias("set")), "sets")
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = near.join(left, "a").join(right, "b").select(
+        "a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("both"))
+    return both.filter(F.col("common") >= SIMILARITY * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def _unconnected(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +128,7 @@ def _unconnected(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 
 def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """The stored different lines (id, h1, h2, bands), and links (a, b) between their ids."""
+    """The stored different lines (see `signatures`), and links (a, b) between their ids."""
     lines = saved(signatures(docs, text), "lines")
     dealt = lines.select("id", F.explode("bands").alias("band"))
     sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -124,14 +140,14 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     # every member meets the first of its bucket; lines of one component need not meet each other
     first = members.groupBy("band").agg(F.min("id").alias("pivot"))
     met = members.join(first, "band").filter("id <> pivot")
-    links = saved(_verified(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts), "links")
+    links = saved(_verified(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), lines, texts), "links")
     placed, left = _unconnected(members.filter("n > 2"), links)
 
     small = left.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("x"), F.col("root").alias("root_x"))
     other = placed.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("y"), F.col("root").alias("root_y"))
     both = small.join(other, "band").filter("root_x <> root_y")
     pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(saved(_verified(pairs, texts), "links"))
+    links = links.unionByName(saved(_verified(pairs, lines, texts), "links"))
 
     large = members.filter(F.col("n") > SMALL_BUCKET)
     left, turn = left.filter(F.col("n") > SMALL_BUCKET), 0
@@ -142,7 +158,7 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
         pivots = chosen.join(placed, ["band", "id"]).select("band", F.col("id").alias("pivot"), F.col("root").alias("root_p"))
         met = placed.filter(F.col("n") > SMALL_BUCKET).join(pivots, "band").filter("root <> root_p")
         tried = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = links.unionByName(saved(_verified(tried, texts), "links"))
+        links = links.unionByName(saved(_verified(tried, lines, texts), "links"))
         placed, again = _unconnected(large, links)
         left = saved(again.join(left.join(chosen, ["band", "id"], "left_anti").select("band", "id"), ["band", "id"]).select(*again.columns), "left")
         turn += 1

@@ -98,3 +98,15 @@ def test_near_equal_lines_of_120_to_140_characters(make):
     found = duplicate_lines(make(rows).coalesce(1)).collect()
     assert {(x.row, pos) for x in found for pos in x.removed} == brute(rows)
     assert all(x.removed for x in found if x.doc_id % 2)
+
+
+def test_near_copies_by_shingles_of_eight_characters(make):
+    lines = [prose(3000 + k, 60, 60)[:100].replace(".", "x") for k in range(30)]
+    rows = [(2 * k + i, text) for k, a in enumerate(lines) for i, text in enumerate((a, a[:50] + "#" + a[51:]))]
+
+    def eight(line):
+        return {line[i:i + 8] for i in range(len(line) - 7)}
+
+    assert all(len(eight(a) & eight(b)) >= 0.8 * len(eight(a) | eight(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    out = {x.doc_id: x.removed for x in duplicate_lines(make(rows)).collect()}
+    assert all(out[k] == ([0] if k % 2 else []) for k in range(60))
