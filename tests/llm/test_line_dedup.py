@@ -110,3 +110,11 @@ def test_near_copies_by_shingles_of_eight_characters(make):
     assert all(len(eight(a) & eight(b)) >= 0.8 * len(eight(a) | eight(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
     out = {x.doc_id: x.removed for x in duplicate_lines(make(rows)).collect()}
     assert all(out[k] == ([0] if k % 2 else []) for k in range(60))
+
+
+def test_long_rules_of_one_character(make):
+    rules = [(k, mark * n) for k, (mark, n) in enumerate((m, n) for m in "-=*_~.+#" for n in (150, 160, 40, 400))]
+    rules += [(100 + k, pair * n) for k, (pair, n) in enumerate((p, n) for p in ("-=", "*-", "=_~", "+-") for n in (80, 90, 200))]
+    found = duplicate_lines(make(rules).coalesce(1)).collect()
+    assert {(x.row, pos) for x in found for pos in x.removed} == brute(rules)
+    assert sum(len(x.removed) for x in found) == 24 + 8
