@@ -1,9 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut after sentence ends and at line ends; sentences of more than UNIT_WORDS words count as several, cut every so
-many words. From each sentence goes the shortest run of at least two that has MIN_WORDS words, so any repeated passage of
-MIN_WORDS + 2 * UNIT_WORDS words (50) that begins with a sentence holds a whole run. Runs are joined by their hashes over
-all documents, and sentences covered by a run that also stands earlier are removed.
+A text is cut after sentence ends and at line ends. Sentences of more than UNIT_WORDS words are also cut by what they say: after
+the word of the smallest hash of every WINDOW words in a row. Such a cut depends on less than WINDOW words on either side, so a
+passage is cut at the same places wherever it stands. From each unit goes the shortest run of at least two that has
+MIN_WORDS words. A repeated passage of more than MIN_WORDS + 2 * UNIT_WORDS words (50) with the same line ends holds a whole run, from
+whatever place it begins: up to UNIT_WORDS words to the first shared cut, MIN_WORDS + WINDOW - 1 at most to the end of a run (or a short
+sentence's end), and WINDOW until that cut is sure. Runs are joined by their hashes over all documents, and units covered
+by a run that also stands earlier are removed.
 
 Runs that occur once are told by their counts first, which are added up before the shuffle; only repeated ones travel
 with their places. A run that stands in a third of all documents is one row of the table of first places, and the join
@@ -13,6 +16,7 @@ with it has nothing above that needs its rows together, so adaptive execution sp
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +29,33 @@ from feedloom.llm.storage import free_name, quoted, saved
 
 MIN_WORDS = 30
 UNIT_WORDS = 10
+WINDOW = 5
 SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-UNIT = re.compile(r"(?:\S+\s+){0,%d}\S+" % (UNIT_WORDS - 1))
+WORD = re.compile(r"\S+")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Numbers of words before each cut of a long sentence, its end among them; of equal hashes the last counts."""
+    last = (1 << 32) - 1
+    keys = [zlib.crc32(w.encode()) << 32 | last - at for at, w in enumerate(words, 1)]
+    chosen = {last - (min(keys[low:low + WINDOW]) & last) for low in range(len(keys) - WINDOW + 1)}
+    return sorted(chosen | {len(words)})
 
 
 def units(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each sentence or part of a long one; white space inside does not count."""
     found = []
     for sentence in SENTENCE.finditer(text):
-        for part in UNIT.finditer(text, sentence.start(), sentence.end()):
-            words = part.group().split()
-            found.append((part.start(), part.end(), len(words), xxhash.xxh3_64_digest(" ".join(words).encode())))
+        words = sentence.group().split()
+        if len(words) <= UNIT_WORDS:
+            end = sentence.start() + len(sentence.group().rstrip())
+            found.append((sentence.start(), end, len(words), xxhash.xxh3_64_digest(" ".join(words).encode())))
+            continue
+        places, low = [m.span() for m in WORD.finditer(text, sentence.start(), sentence.end())], 0
+        for high in _cuts(words):
+            digest = xxhash.xxh3_64_digest(" ".join(words[low:high]).encode())
+            found.append((places[low][0], places[high - 1][1], high - low, digest))
+            low = high
     return found
 
 

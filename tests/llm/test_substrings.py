@@ -83,3 +83,30 @@ def test_runs_and_odd_tables(make):
     docs = make(corpus()).withColumn("row", F.lit("x")).withColumn("start", F.lit(1))
     assert drop_repeated_spans(docs).count() == docs.count()
     assert drop_repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_passages_from_any_place_against_word_windows(make):
+    r = random.Random(12)
+    passages = [prose(4000 + k, r.randint(51, 56), 400) for k in range(12)] + [prose(4100 + k, 51, 400).replace(".", "") for k in range(12)]
+    rows = []
+    for k in range(72):
+        before, after = prose(5000 + k, r.randint(1, 40), 400), prose(6000 + k, r.randint(1, 40), 400)
+        if k % 2:
+            before, after = before.replace(".", ""), after.replace(".", "")
+        rows.append((k, f"{before} {passages[k % 24]} {after}"))
+    out = {x.doc_id: x.removed for x in drop_repeated_spans(make(rows)).collect()}
+    seen, met = set(), 0
+    for k, text in rows:
+        words, places, at = text.split(), [], 0
+        for w in words:
+            at = text.index(w, at)
+            places.append((at, at + len(w)))
+            at += len(w)
+        windows = [tuple(words[i:i + 51]) for i in range(len(words) - 50)]
+        for i, window in enumerate(windows):
+            if window in seen:
+                met += 1
+                gone = [w for w in places[i:i + 51] if any(s.start <= w[0] and w[1] <= s.end for s in out[k])]
+                assert len(gone) >= 30, (k, i, len(gone))
+        seen.update(windows)
+    assert met >= 48 and all(not out[k] for k in range(24))
