@@ -11,8 +11,7 @@ others; in a large one they become pivots, eight times as many in each round, th
 connected to the first or was a pivot. No bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
 
 Each line has a sketch of 64 * SKETCH bits, one set by each shingle. Bits that differ are at most as many as shingles that
-differ, so a pair with too many of them is below the threshold for certain; the others are compared by their sets, which
-are computed once for each line.
+differ, so a pair with too many of them is below the threshold for certain; the others are compared by their sets.
 """
 
 from __future__ import annotations
@@ -109,14 +108,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame
     apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
     # of sizes x + y, (1 - s) / (1 + s) may differ; places are as many as shingles or more, and a rounded product loses none
     bound = (1 + SIMILARITY) * apart <= (1 - SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    near = saved(pairs.join(sketches("a"), "a").join(sketches("b"), "b").filter(bound).select("a", "b"), "near")
-    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = saved(texts.join(ends, "id").select("id", shingle_set(F.col("line")).alias("set")), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = near.join(left, "a").join(right, "b").select(
-        "a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("both"))
-    return both.filter(F.col("common") >= SIMILARITY * (F.col("both") - F.col("common"))).select("a", "b")
+    near = pairs.join(sketches("a"), "a").join(sketches("b"), "b").filter(bound).select("a", "b")
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+    both = near.join(left, "a").join(right, "b")
+    sets = F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    sizes = _bound(sets, lambda s: F.struct(
+        F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("both")))
+    return both.filter(_bound(sizes, lambda n: n["common"] >= SIMILARITY * (n["both"] - n["common"]))).select("a", "b")
 
 
 def _unconnected(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
