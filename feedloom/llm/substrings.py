@@ -100,7 +100,7 @@ def repeated_spans(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str
     kinds = "row long, doc_id long, start array<int>, end array<int>, h1 array<long>, h2 array<long>"
     arrays = saved(inputs.mapInArrow(_run_arrays(least), kinds), "runs")
     counts = arrays.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.filter("n > 1").select("h1")
+    often = saved(counts.filter("n > 1").select("h1"), "often")  # the shuffle of all hashes is removed before the next
     spans = arrays.select("row", "doc_id", F.explode(F.arrays_zip("start", "end", "h1", "h2")).alias("s")).select("row", "doc_id", "s.*")
     hits = saved(spans.join(often, "h1"), "repeated")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "end")
