@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and the SQL that checks them."""
 
 import corpus_pipeline
-from feedloom.llm import chat, embeddings, gif, language_id, line_dedup, mixing, packing, secrets, simhash, substrings
+from feedloom.llm import chat, embeddings, gif, language_id, line_dedup, mixing, packing, secrets, simhash, spelling, substrings
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -14,9 +14,10 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_chat": chat.op9,
     "op10_language_id": language_id.op10,
+    "op11_spelling": spelling.op11,
     "pages_language": language_id.pages,
     "pipeline": corpus_pipeline.run,
 }
-CHECKS = {"op4_mixing": mixing.OP4_SQL, "op9_chat": chat.OP9_SQL}
+CHECKS = {"op4_mixing": mixing.OP4_SQL, "op9_chat": chat.OP9_SQL, "op11_spelling": spelling.OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
