@@ -33,7 +33,7 @@ def rows_of(rows, columns):
 def main():
     folder = os.environ.get("CHECK_DIR", "/root/testdata/sf0.01")
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()
