@@ -44,13 +44,11 @@ def quoted(name: str) -> Column:
 def spread_join(rows: DataFrame, few: DataFrame, key: str, by: Column, how: str = "left", parts: int = 16) -> DataFrame:
     """Join where one key may hold a third of `rows`: each key of `few`, one row per key, stands `parts` times, and `by` deals the rows out to these.
 
-    The value of `by` only decides where a row meets its partner. Null keys meet each other.
+    The value of `by` only decides where a row meets its partner. Null keys meet each other. Besides `key`, `few` must not share names with `rows`.
     """
-    salt, absent = free_name(rows, "salt_of_row"), free_name(rows, "key_is_null")
-    left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).withColumn(absent, quoted(key).isNull())
+    salt, part, same = (free_name(rows, n) for n in ("salt_of_row", "part_of_key", "key_again"))
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     right = few.select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), quoted(key).alias("same"), quoted(key).isNull().alias("none"),
-        *[c for c in few.columns if c != key],
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(part), quoted(key).alias(same), *[quoted(c) for c in few.columns if c != key],
     )
-    meet = (F.col(salt) == F.col("part")) & (F.col(absent) == F.col("none")) & quoted(key).eqNullSafe(F.col("same"))
-    return left.join(right, meet, how).drop(salt, absent, "part", "same", "none")
+    return left.join(right, (F.col(salt) == F.col(part)) & quoted(key).eqNullSafe(F.col(same)), how).drop(salt, part, same)
