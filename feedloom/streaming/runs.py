@@ -20,7 +20,7 @@ def stream_table(
 ) -> DataFrame:
     """Files of one table as an unbounded table; new files are picked up by later batches.
 
-    The batch bound matters for keyed state: the rows of one key in one batch are sorted in one task."""
+    The batch bound matters for keyed state: the rows that one key has in one batch are held by one task."""
     reader = spark.readStream.schema(TABLES[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))

@@ -1,12 +1,14 @@
 """Keyed state over streams: rate limits, circuits and the recheck gate.
 
-What a row gives depends on all rows of its key before it, and rows arrive in any order. So the recent rows of a key
-are part of its state: when a row arrives, the rows from it on are folded again, and their new results replace the ones
-given before (the last batch counts). Any arrival order and any cut into batches thus end in the same rows.
+What a row gives depends on all rows of its key before it, and rows arrive in any order. The recent rows of a key are therefore kept,
+in buckets of event time, and each bucket has the summary of the fold at its end. A row that arrives late is folded into its
+bucket from the summary of the bucket before; later buckets are folded again only as long as the summaries they start from change. The
+results given anew replace the ones before (the last batch counts), so any arrival order and any cut into batches end in the same rows.
 
-`keep_hours` bounds the state: rows that are older than that, seen from the key's newest row, are folded into a small
-settled state and dropped. A row that comes after its time was settled is judged by the settled state and marked late.
-Without `keep_hours` all rows are kept, and no row is late."""
+The state is bounded: event-time timers settle a bucket once the watermark, `keep_hours` behind the newest row of the stream, has
+passed its end. Its rows go and its summary stays, one per key. A row that belongs before the settled place of its key is not lost: it is
+judged by the settled summary and marked late. The watermark runs beside the rows (they carry no event-time column into the
+operator), as Spark would drop late rows otherwise."""
 
 from __future__ import annotations
 
@@ -16,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from feedloom.functions.values import PROBE_MINUTES
 from feedloom.session import ROCKSDB
 from feedloom.streaming.runs import last_update, write_batches
 
 MINUTE = 60_000_000
+KEEP_HOURS = 72.0
+BUCKETS = 24
 
 
 def _long(name: str) -> StructField:
@@ -41,26 +45,37 @@ def _plain(value):
     return None if pd.isna(value) else int(value)
 
 
+def _bare(value):
+    """Rows of the state API as plain tuples and lists."""
+    if isinstance(value, (list, tuple)):
+        return tuple(_bare(v) for v in value) if isinstance(value, tuple) else [_bare(v) for v in value]
+    return value
+
+
 class Replay(StatefulProcessor):
     """Folds the rows of a key in event order, whatever the order in which they come.
 
-    A subclass has STATE (what the fold carries), EVENT (us, id and what else it reads), OUTPUT, `start` and
-    `step(state, event) -> (state, results)`."""
+    A subclass has STATE (what the fold carries), EVENT (us, id and what else it reads), RESULTS, `start` and
+    `step(state, event) -> (state, results)`. Rows of one key must differ in (us, id); a row that comes twice counts once while
+    its bucket is kept."""
 
     STATE: StructType
     EVENT: StructType
     RESULTS: str
 
-    def __init__(self, keep_us: int | None):
-        self.keep = keep_us
+    def __init__(self, keep_us: int, buckets: int = BUCKETS):
+        self.width = max(1, keep_us // buckets)
 
     @property
     def OUTPUT(self) -> str:  # noqa: N802
         return f"key STRING, id BIGINT, {self.RESULTS}, late BOOLEAN"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.settled = handle.getValueState("settled", StructType([*self.STATE.fields, _long("us"), _long("last")]))
-        self.recent = handle.getListState("recent", self.EVENT)
+        self.handle = handle
+        summary = [*self.STATE.fields]
+        self.settled = handle.getValueState("settled", StructType([*summary, _long("edge")]))
+        self.ends = handle.getMapState("ends", StructType([_long("bucket")]), StructType([*summary, _long("rows")]))
+        self.rows = handle.getMapState("rows", StructType([_long("bucket")]), StructType([StructField("rows", ArrayType(self.EVENT))]))
 
     def start(self) -> tuple:
         raise NotImplementedError
@@ -68,32 +83,77 @@ class Replay(StatefulProcessor):
     def step(self, state: tuple, event: tuple) -> tuple[tuple, tuple]:
         raise NotImplementedError
 
+    def _settled(self) -> tuple[tuple, int | None]:
+        if not self.settled.exists():
+            return self.start(), None
+        stored = _bare(tuple(self.settled.get()))
+        return stored[:-1], stored[-1]
+
+    def _live(self) -> list[int]:
+        return sorted(k[0] for k in self.ends.keys())
+
+    def _end(self, bucket: int) -> tuple:
+        return _bare(tuple(self.ends.getValue((bucket,))))[:-1]
+
+    def _fold(self, bucket: int, known: bool, state: tuple, as_before: bool, fresh: list[tuple], key: str, out: list[tuple]) -> tuple:
+        """The summary at the end of a bucket, whose new rows are added; gives the results that may have changed."""
+        events = [_bare(tuple(e)) for e in self.rows.getValue((bucket,))[0]] if known else []
+        first = min(fresh)[:2] if fresh else None
+        if fresh:
+            events = sorted({e[:2]: e for e in [*fresh, *events]}.values(), key=lambda e: e[:2])
+            self.rows.updateValue((bucket,), (events,))
+        for e in events:
+            state, results = self.step(state, e)
+            if not as_before or e[:2] >= first:
+                out.append((key, e[1], *results, False))
+        self.ends.updateValue((bucket,), (*state, len(events)))
+        return state
+
     def handleInputRows(self, key, rows, timerValues):
         names = self.EVENT.names
-        fresh = [tuple(_plain(v) for v in r) for frame in rows for r in frame[names].itertuples(index=False)]
-        stored = self.settled.get() if self.settled.exists() else None
-        settled, upto = (tuple(stored[:-2]), tuple(stored[-2:])) if stored else (self.start(), None)
-        late = [e for e in fresh if upto is not None and e[:2] <= upto]
-        new = [e for e in fresh if upto is None or e[:2] > upto]
-        out = [(key[0], e[1], *self.step(settled, e)[1], True) for e in late]
-        if new:
-            events = sorted([*(tuple(e) for e in self.recent.get()), *new], key=lambda e: e[:2])
-            first, state = min(e[:2] for e in new), settled
-            edge = None if self.keep is None else events[-1][0] - self.keep
-            kept, before = [], upto
-            for e in events:
-                state, results = self.step(state, e)
-                if e[:2] >= first:
-                    out.append((key[0], e[1], *results, False))
-                if edge is not None and e[0] < edge:
-                    settled, before = state, e[:2]
+        settled, edge = self._settled()
+        fresh: dict[int, list[tuple]] = {}
+        out = []
+        for frame in rows:
+            for r in frame[names].itertuples(index=False):
+                event = tuple(_plain(v) for v in r)
+                if edge is not None and event[0] < edge:
+                    out.append((key[0], event[1], *self.step(settled, event)[1], True))
                 else:
-                    kept.append(e)
-            if before != upto:
-                self.settled.update((*settled, *before))
-            self.recent.put(kept)
+                    fresh.setdefault(event[0] // self.width, []).append(event)
+        live = self._live()
+        known = set(live)
+        before = [b for b in live if fresh and b < min(fresh)]
+        state = was = self._end(before[-1]) if before else settled  # the fold now, and as it was before these rows
+        for bucket in sorted(b for b in known | set(fresh) if fresh and b >= min(fresh)):
+            ended = self._end(bucket) if bucket in known else was
+            if bucket in fresh or state != was:
+                state = self._fold(bucket, bucket in known, state, state == was, fresh.get(bucket, []), key[0], out)
+            else:
+                state = ended
+            was = ended
+        if fresh and (not live or min(fresh) < live[0]):
+            self.handle.registerTimer(self._expiry(min(fresh)))
         yield _frame(out, [c.split()[0] for c in self.OUTPUT.split(", ")])
 
+    def _expiry(self, bucket: int) -> int:
+        """Milliseconds at which a bucket ends."""
+        return -(-(bucket + 1) * self.width // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Buckets that end before the watermark leave their last summary; the others wait for the next timer."""
+        now = timerValues.getCurrentWatermarkInMs()
+        live = self._live()
+        gone = [b for b in live if self._expiry(b) <= now]
+        if gone:
+            self.settled.update((*self._end(gone[-1]), (gone[-1] + 1) * self.width))
+        for b in gone:
+            self.ends.removeKey((b,))
+            self.rows.removeKey((b,))
+        if len(gone) < len(live):
+            self.handle.registerTimer(self._expiry(live[len(gone)]))
+        yield _frame([], [c.split()[0] for c in self.OUTPUT.split(", ")])
+
     def close(self) -> None:
         pass
 
@@ -108,7 +168,7 @@ class FixedWindow(Replay):
     EVENT = StructType(EVENT)
     RESULTS = "anchor BIGINT, number BIGINT"
 
-    def __init__(self, span_us: int, keep_us: int | None = None):
+    def __init__(self, span_us: int, keep_us: int):
         super().__init__(keep_us)
         self.span = span_us
 
@@ -129,7 +189,7 @@ class RecheckGate(Replay):
     EVENT = StructType([*EVENT, StructField("hash", StringType())])
     RESULTS = "passed BOOLEAN"
 
-    def __init__(self, recheck_us: int, keep_us: int | None = None):
+    def __init__(self, recheck_us: int, keep_us: int):
         super().__init__(keep_us)
         self.recheck = recheck_us
 
@@ -155,7 +215,7 @@ class Circuit(Replay):
     EVENT = StructType([*EVENT, StructField("kind", StringType()), _long("hint"), _long("claim")])
     RESULTS = "kind STRING, accepted BOOLEAN, state STRING, failures BIGINT, next_probe BIGINT"
 
-    def __init__(self, lease_us: int, keep_us: int | None = None):
+    def __init__(self, lease_us: int, keep_us: int):
         super().__init__(keep_us)
         self.lease = lease_us
 
@@ -212,43 +272,44 @@ class Circuit(Replay):
         return tuple(c[n] for n in self.STATE.names), (kind, accepted, c["state"], c["failures"], c["next_probe"])
 
 
-def _keyed(stream: DataFrame, key: str, processor: Replay, options: dict) -> DataFrame:
-    """The last result per key and row."""
+def _keyed(stream: DataFrame, key: str, processor: Replay, keep_hours: float, options: dict) -> DataFrame:
+    """The last result per key and row. The watermark is taken from `us`, the rows go on without it."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    results = stream.groupBy(key).transformWithStateInPandas(processor, processor.OUTPUT, "update", "None")
+    clock = stream.withColumn("_clock", F.timestamp_micros("us")).withWatermark("_clock", f"{int(keep_hours * 3600)} seconds")
+    results = clock.drop("_clock").groupBy(key).transformWithStateInPandas(processor, processor.OUTPUT, "update", "eventTime")
     return last_update(write_batches(results, "update", **options), ["key", "id"]).withColumnRenamed("key", key)
 
 
-def _micros(hours: float | None) -> int | None:
-    return None if hours is None else int(hours * 60 * MINUTE)
+def _micros(hours: float) -> int:
+    return int(hours * 60 * MINUTE)
 
 
 def stream_rate_limit(
     events: DataFrame, client: str, ts: str, event_id: str, limit: int = 20, window_seconds: int = 60,
-    keep_hours: float | None = None, **options,
+    keep_hours: float = KEEP_HOURS, **options,
 ) -> DataFrame:
     """The live form of `rate_limit_fixed`."""
     rows = events.select(
         F.col(client).cast("string").alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(event_id).alias("id"),
     )
-    counted = _keyed(rows, "client", FixedWindow(window_seconds * 1_000_000, _micros(keep_hours)), options)
+    counted = _keyed(rows, "client", FixedWindow(window_seconds * 1_000_000, _micros(keep_hours)), keep_hours, options)
     return counted.withColumn("rejected", F.col("number") > limit)
 
 
 def stream_recheck_gate(
     items: DataFrame, item: str, ts: str, event_id: str, content: str, recheck_hours: int = 24,
-    keep_hours: float | None = None, **options,
+    keep_hours: float = KEEP_HOURS, **options,
 ) -> DataFrame:
     """Items that pass, with whether they came too late to be judged by their own time."""
     rows = items.select(
         F.col(item).cast("string").alias("item"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(event_id).alias("id"), F.col(content).alias("hash"),
     )
-    judged = _keyed(rows, "item", RecheckGate(recheck_hours * 60 * MINUTE, _micros(keep_hours)), options)
+    judged = _keyed(rows, "item", RecheckGate(recheck_hours * 60 * MINUTE, _micros(keep_hours)), keep_hours, options)
     return judged.filter("passed").drop("passed")
 
 
-def stream_circuit(events: DataFrame, lease_seconds: int = 245, keep_hours: float | None = None, **options) -> DataFrame:
+def stream_circuit(events: DataFrame, lease_seconds: int = 245, keep_hours: float = KEEP_HOURS, **options) -> DataFrame:
     """Circuit after each event; `events` has provider, us, id, kind, hint, claim."""
-    return _keyed(events, "provider", Circuit(lease_seconds * 1_000_000, _micros(keep_hours)), options)
+    return _keyed(events, "provider", Circuit(lease_seconds * 1_000_000, _micros(keep_hours)), keep_hours, options)

@@ -1,6 +1,8 @@
 import random
 import shutil
 
+import pandas as pd
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def test_any_arrival_order_gives_the_rows_of_one_batch(spark, small, tmp_path):
         F.lit(None).cast("bigint").alias("hint"), F.lit(None).cast("bigint").alias("claim"))
     usage = lambda df: df.select(F.col("event_type").alias("provider"), F.col("ts").alias("created_at"), F.lit(1).alias("total_tokens"))
     jobs = [
-        lambda df: stateful.stream_rate_limit(df, "user_id", "ts", "event_id", 3, 86400),
-        lambda df: stateful.stream_recheck_gate(content(df), "user_id", "ts", "event_id", "content"),
-        lambda df: stateful.stream_circuit(calls(df)),
+        lambda df: stateful.stream_rate_limit(df, "user_id", "ts", "event_id", 3, 86400, keep_hours=5000),
+        lambda df: stateful.stream_recheck_gate(content(df), "user_id", "ts", "event_id", "content", keep_hours=5000),
+        lambda df: stateful.stream_circuit(calls(df), keep_hours=5000),
         lambda df: upserts.stream_dedupe(df.select("event_id", "ts"), ["event_id"]),
         lambda df: upserts.stream_usage_windows(usage(df)),
     ]
@@ -42,13 +44,146 @@ def test_any_arrival_order_gives_the_rows_of_one_batch(spark, small, tmp_path):
         assert sorted(map(str, job(many()).collect())) == sorted(map(str, job(one()).collect()))
 
 
-def test_settled_rows_bound_the_state_and_late_ones_are_marked(spark, small, tmp_path):
+def test_settled_rows_are_marked_and_none_is_lost(spark, small, tmp_path):
     folder = out_of_order(spark, small, tmp_path / "in")
     out = stateful.stream_rate_limit(stream_table(spark, folder, "events", files_per_batch=1), "user_id", "ts", "event_id", 3, 86400, keep_hours=48)
     events = table(spark, small, "events")
     assert sorted(rows(out, "id")) == sorted(rows(events, "event_id")) and out.filter("late").count()
 
 
+class Memory:
+    """A key's state in dictionaries, with the calls of Spark's state handle."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.writes = {}, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        store = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in store)
+            get = staticmethod(lambda: store[name])
+            update = staticmethod(lambda v: store.__setitem__(name, v))
+
+        return Value
+
+    def getMapState(self, name, key_schema, schema):
+        store, outer = self.maps.setdefault(name, {}), self
+
+        class Map:
+            keys = staticmethod(lambda: list(store))
+            getValue = staticmethod(lambda k: store[k])
+            removeKey = staticmethod(lambda k: store.pop(k))
+
+            @staticmethod
+            def updateValue(k, v):
+                outer.writes += 1
+                store[k] = v
+
+        return Map
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def drive(processor, batches, keep_us):
+    """Runs batches of events of one key as Spark does: input first, then timers below the new watermark. Gives the last result per id."""
+    memory, newest, got, sizes, folded = Memory(), 0, {}, [], 0
+    processor.init(memory)
+    step = processor.step
+
+    def counted(state, event):
+        nonlocal folded
+        folded += 1
+        return step(state, event)
+
+    processor.step, memory.watermark, work = counted, 0, []
+    for batch in batches:
+        before = folded
+        frame = pd.DataFrame(batch, columns=processor.EVENT.names, dtype=object)
+        for out in processor.handleInputRows(("k",), iter([frame]), memory):
+            for row in out.itertuples(index=False):
+                got[row[1]] = tuple(row[2:])
+        newest = max(newest, *(e[0] for e in batch))
+        memory.watermark = (newest - keep_us) // 1000
+        for at in sorted(t for t in memory.timers if t <= memory.watermark):
+            memory.timers.discard(at)
+            list(processor.handleExpiredTimer(("k",), memory, None))
+        sizes.append(sum(len(v[0]) for v in memory.maps["rows"].values()))
+        work.append(folded - before)
+    assert all(sum(v[-1] for v in memory.maps["ends"].values()) == n for n in sizes[-1:])
+    return got, sizes, work
+
+
+def plain(processor, events):
+    """Results of a plain loop over all events in order."""
+    state, got = processor.start(), {}
+    for e in sorted(events, key=lambda e: e[:2]):
+        state, results = processor.step(state, e)
+        got[e[1]] = (*results, False)
+    return got
+
+
+HOUR = 3_600_000_000
+
+
+def events_of(kind, n, rnd):
+    at, out = 0, []
+    for k in range(n):
+        at += rnd.randrange(HOUR // 2)
+        more = {"window": (), "gate": (rnd.choice("ab"),), "circuit": (rnd.choice(["limit", "claim", "ok", "fail"]), rnd.choice([None, at + 2 * HOUR]), None)}[kind]
+        out.append((at, k, *more))
+    return out
+
+
+MACHINES = {"window": lambda keep: stateful.FixedWindow(HOUR, keep), "gate": lambda keep: stateful.RecheckGate(HOUR, keep), "circuit": lambda keep: stateful.Circuit(HOUR // 10, keep)}
+
+
+@pytest.mark.parametrize("kind", MACHINES)
+def test_state_of_a_thousand_batches_is_bounded(kind):
+    """4000 events in 1000 batches, each up to two hours late: the rows of a loop, at every batch no more rows than the kept hours have, and
+    no batch that folds much more than these."""
+    rnd, keep = random.Random(7), 6 * HOUR
+    events = events_of(kind, 4000, rnd)
+    arriving = sorted(events, key=lambda e: e[0] + rnd.randrange(2 * HOUR))
+    got, sizes, work = drive(MACHINES[kind](keep), [arriving[k:k + 4] for k in range(0, 4000, 4)], keep)
+    assert got == plain(MACHINES[kind](keep), events)
+    most = max(sum(a <= e[0] < a + 9 * HOUR for e in events) for a in range(0, events[-1][0], HOUR))
+    assert len(sizes) == 1000 and max(sizes) <= most and max(work) <= 2 * most
+    assert sum(work) < 12 * len(events)
+
+
+@pytest.mark.parametrize("kind", MACHINES)
+def test_any_order_within_the_kept_time(kind):
+    rnd = random.Random(8)
+    events = events_of(kind, 300, rnd)
+    wanted = plain(MACHINES[kind](HOUR), events)
+    keep = events[-1][0] + HOUR
+    for _ in range(5):
+        rnd.shuffle(events)
+        cut = sorted(rnd.sample(range(1, 300), 20))
+        batches = [events[a:b] for a, b in zip([0, *cut], [*cut, 300])]
+        again = [batches[0], *batches, batches[3]]  # rows that come twice count once
+        assert drive(MACHINES[kind](keep), again, keep)[0] == wanted
+
+
+def test_late_rows_are_judged_by_the_settled_summary():
+    keep = 2 * HOUR
+    got, sizes, _ = drive(stateful.FixedWindow(HOUR, keep), [[(0, 1)], [(10 * HOUR, 2)], [(2, 3), (HOUR // 2, 6)], [(10 * HOUR + 5, 4)], [(2 * HOUR, 5)]], keep)
+    assert got == {1: (0, 1, False), 2: (10 * HOUR, 1, False), 3: (0, 2, True), 6: (0, 2, False), 4: (10 * HOUR, 2, False), 5: (2 * HOUR, 1, False)}
+    assert sizes[-1] <= 3
+
+
+def test_a_late_row_leaves_buckets_alone_that_start_as_before():
+    keep = 100 * HOUR
+    batches = [[(k * 5 * HOUR, k)] for k in range(19)] + [[(5 * HOUR + 1, 50)]]
+    got, _, work = drive(stateful.FixedWindow(HOUR, keep), batches, keep)
+    assert got[50] == (5 * HOUR, 2, False) and work[-1] <= 4
+
+
 def in_files(spark, small, folder, n=4):
     """events split by time into n files, so that a stream sees several batches in order."""
     folder.mkdir()
