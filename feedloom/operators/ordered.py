@@ -74,7 +74,7 @@ def running(
         carry = carry.withColumn(f"_out_{name}", merge[how](f"_end_{name}").over(in_group))
     carry = carry.select(*keys, CELL, *[F.lag(f"_out_{n}").over(by_cell).alias(f"_carry_{n}") for n in measures])
 
-    joined = _with_carry(local, carry, keys)
+    joined = with_carry(local, carry, keys)
     for name, (how, _) in measures.items():
         own, before = F.col(f"_own_{name}"), F.col(f"_carry_{name}")
         if how == "sum":
@@ -87,7 +87,7 @@ def running(
     return joined.select(*df.columns, *measures)
 
 
-def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fewer carry rows than range partitions exist, hence the broadcast."""
     renamed = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CELL).alias("_k_cell"),
                            *[c for c in carry.columns if c not in keys and c != CELL])
@@ -111,7 +111,7 @@ def previous(
     carry = crossing(ends, keys).select(
         *keys, CELL, *[F.lag(f"_end_{n}").over(by_cell).alias(f"_carry_{n}") for n in values]
     )
-    joined = _with_carry(local, carry, keys)
+    joined = with_carry(local, carry, keys)
     for name in values:
         joined = joined.withColumn(
             name, F.when(F.col("_first"), F.col(f"_carry_{name}")).otherwise(F.col(f"_own_{name}"))

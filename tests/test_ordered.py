@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -108,3 +109,38 @@ def test_circuit_backoff_never_shortens(spark):
     out = jobs.circuit_backoff(df, "p", ["ts", "id"], F.col("k") == "f", F.col("k") == "s")
     assert [(i, n, str(t)) for i, n, t in sorted(rows(out, "id", "failure_count", "next_probe_at"))] == [
         (1, 1, "2024-01-01 05:00:00"), (2, 2, "2024-01-01 05:00:00"), (4, 1, "2024-01-01 03:15:00")]
+
+
+def test_rate_limit_of_null_clients_and_many_batches(spark):
+    """Clients without a name are one client; partitions of several Arrow batches; equal times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rnd = random.Random(11)
+        plain = [(rnd.choice(["", "hot", "hot", "b"]), rnd.randrange(200) * 1_000_000, i) for i in range(1500)]
+        df = spark.createDataFrame(plain, "client string, us bigint, id bigint").withColumn("ts", F.timestamp_micros("us")).withColumn(
+            "client", F.when(F.col("client") != "", F.col("client")))
+        for parts in (1, 6):
+            got = limits.rate_limit_fixed(df, "client", "ts", "id", limit=4, window_seconds=7, parts=parts)
+            micros = F.unix_micros(F.col("window_start").cast("timestamp")).alias("w")
+            seen = {r[0]: tuple(r[1:]) for r in rows(got, "id", micros, "number", "rejected", "retry_after")}
+            assert seen == expected_windows(plain, 7_000_000, 4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert limits.rate_limit_fixed(df.limit(0), "client", "ts", "id").count() == 0
+
+
+def test_windows_of_arrays():
+    rnd = np.random.default_rng(1)
+    for _ in range(50):
+        sizes = rnd.integers(1, 12, 5)
+        group = np.repeat(np.arange(5), sizes)
+        times = np.concatenate([np.sort(rnd.integers(0, 40, n)) for n in sizes])
+        anchor, count = rnd.choice([limits.NO_ANCHOR, 0, -5], 5), rnd.integers(0, 3, 5)
+        got = limits.windows(group, times, anchor, count, 9)
+        for g in range(5):
+            a, n = anchor[g], count[g]
+            for k in np.flatnonzero(group == g):
+                if times[k] >= a + 9:
+                    a, n = times[k], 0
+                n += 1
+                assert (got[0][k], got[1][k]) == (a, n)
