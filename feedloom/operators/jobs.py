@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import hash_text
-from feedloom.functions.values import PROBE_MINUTES, RETRY_HOURS, step_delay, unzoned_micros
+from feedloom.functions.values import RETRY_HOURS, step_delay, unzoned_micros
 from feedloom.operators.ordered import running
 
 INTERRUPTED = "refresh interrupted by process restart"
@@ -28,24 +28,6 @@ def failure_streak(log: DataFrame, key: str, order: list[str], failed: Column, r
     return running(log, [key], order, {"failure_count": ("sum", failed.cast("bigint"))}, reset=reset)
 
 
-def circuit_backoff(log: DataFrame, key: str, order: list[str], failed: Column, reset: Column) -> DataFrame:
-    """When a circuit may be probed after each failure: the step of the failure count, or the latest provider hint of
-    the open episode when that is later, so that a later hint never shortens the wait.
-
-    Every row of `failed` counts as a failed probe, which opens the circuit anew; a usage limit that is met while the
-    circuit is open is no such row (`stream_circuit` keeps the whole state).
-
-    Step times grow within an episode, so the running maximum is needed for the hints only.
-    """
-    steps = running(
-        log, [key], order,
-        {"failure_count": ("sum", failed.cast("bigint")), "hint": ("max", F.when(failed, F.col("provider_retry_at")))},
-        reset=reset,
-    ).filter(failed)
-    own = F.col("ts") + step_delay(PROBE_MINUTES, F.col("failure_count"), 60)
-    return steps.withColumn("next_probe_at", later_of(own, F.col("hint"))).drop("hint")
-
-
 def job_lifecycle(log: DataFrame, restarted: bool = False) -> DataFrame:
     """Current job per key from its status log. A restart puts running jobs back into the queue."""
     at = F.struct("ts", "event_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.operators import jobs, limits, matching, rollups
+from feedloom.operators import circuits, jobs, limits, matching, rollups
 from feedloom.plans.dialect import host
 from feedloom.plans.registry import query
 from feedloom.sources.tables import view
@@ -106,14 +106,19 @@ def failure_streak(spark, folder):
     return streaks.select("event_id", "user_id", "failure_count")
 
 
-@query("circuit_backoff", f"""
-    WITH {STREAK.format(key='user_id % 3')},
-    hints AS (SELECT *, max(CASE WHEN event_type = 'error' AND event_id % 3 = 0
-        THEN ts + CAST(json_extract_string(props, '$.k') AS BIGINT) * INTERVAL '1' MINUTE END)
-        OVER (PARTITION BY user_id % 3, run ORDER BY ts, event_id) AS hint FROM streaks)
-    SELECT event_id, user_id % 3 AS provider, failure_count, greatest(ts + CASE least(failure_count, 4) WHEN 1 THEN 15
-        WHEN 2 THEN 30 WHEN 3 THEN 60 ELSE 120 END * INTERVAL '1' MINUTE, hint) AS next_probe_at
-    FROM hints WHERE event_type = 'error'""")
+@query("circuit_backoff", """
+    WITH RECURSIVE ev AS (SELECT event_id, user_id % 3 AS provider, epoch_us(ts) AS us, event_type = 'error' AS failed,
+        CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) + CAST(json_extract_string(props, '$.k') AS BIGINT) * 60000000 END AS hint,
+        row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'purchase')),
+    walk AS (
+      SELECT DISTINCT provider, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, false AS failed, false AS opened, CAST(0 AS BIGINT) AS fails, CAST(NULL AS BIGINT) AS probe FROM ev
+      UNION ALL
+      SELECT provider, rn, event_id, failed, opens, CASE WHEN NOT failed THEN 0 WHEN opens THEN fails + 1 ELSE fails END,
+        CASE WHEN NOT failed THEN NULL WHEN opens THEN greatest(us + CASE least(fails, 3) WHEN 0 THEN 15 WHEN 1 THEN 30 WHEN 2 THEN 60 ELSE 120 END * CAST(60000000 AS BIGINT), coalesce(hint, 0))
+          ELSE greatest(probe, coalesce(hint, 0)) END
+      FROM (SELECT w.provider, e.rn, e.event_id, e.failed, e.us, e.hint, w.fails, w.probe, e.failed AND (w.fails = 0 OR e.us >= w.probe) AS opens
+        FROM walk w JOIN ev e ON e.provider = w.provider AND e.rn = w.rn + 1) x)
+    SELECT event_id, provider, fails AS failure_count, make_timestamp(probe) AS next_probe_at, opened FROM walk WHERE failed""")
 def circuit_backoff(spark, folder):
     minutes = F.get_json_object("props", "$.k").cast("int")
     log = view(spark, folder, "events").select(
@@ -121,8 +126,8 @@ def circuit_backoff(spark, folder):
         F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.make_dt_interval(mins=minutes)).alias("provider_retry_at"),
     )
     kind = F.col("event_type")
-    out = jobs.circuit_backoff(log, "provider", ["ts", "event_id"], kind == "error", kind == "purchase")
-    return out.select("event_id", "provider", "failure_count", "next_probe_at")
+    out = circuits.circuit_backoff(log, "provider", ["ts", "event_id"], kind == "error", kind == "purchase")
+    return out.select("event_id", "provider", "failure_count", "next_probe_at", "opened")
 
 
 RATE = """

@@ -1,13 +1,14 @@
 """Keys that span many range partitions must give the results of a plain loop."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from feedloom.operators import jobs, limits, ordered
+from feedloom.operators import circuits, limits, ordered
 
 
 def log(seed, n=1500, hot=0.7):
@@ -101,14 +102,75 @@ def test_rate_limit_over_cells(spark, span, step, parts):
     assert seen == expected_windows(plain, span * 1_000_000, 4)
 
 
-def test_circuit_backoff_never_shortens(spark):
-    data = [("p", "2024-01-01 00:00:00", 1, "f", "2024-01-01 05:00:00"), ("p", "2024-01-01 01:00:00", 2, "f", None),
-            ("p", "2024-01-01 02:00:00", 3, "s", None), ("p", "2024-01-01 03:00:00", 4, "f", None)]
+def circuit_loop(plain):
+    """The rules of a circuit, row by row: key, us, id, kind, hint -> failures, next probe, opened."""
+    state, want = {}, {}
+    for key, us, i, kind, hint in sorted(plain, key=lambda r: (str(r[0]), r[1], r[2])):
+        fails, probe = state.get(key, (0, None))
+        if kind == "error":
+            opened = fails == 0 or us >= probe
+            if opened:
+                fails, probe = fails + 1, max(us + [15, 30, 60, 120][min(fails, 3)] * 60_000_000, hint or 0)
+            else:
+                probe = max(probe, hint or 0)
+            want[i] = (fails, probe, opened)
+        elif kind == "reset":
+            fails, probe = 0, None
+        state[key] = (fails, probe)
+    return want
+
+
+def circuit_rows(seed, n, minutes, reset, hinted):
+    rnd, at, out = random.Random(seed), 0, []
+    for i in range(n):
+        at += rnd.randrange(minutes * 60_000_000)
+        kind = "reset" if rnd.random() < reset else rnd.choice(["error", "error", "other"])
+        hint = at + rnd.randrange(-30, 400) * 60_000_000 if rnd.random() < hinted else None
+        out.append((rnd.choice(["hot", "hot", "hot", None, f"k{rnd.randrange(20)}"]), at, i, kind, hint))
+    return out
+
+
+@pytest.mark.parametrize("minutes,reset,hinted,parts", [(20, 0.0, 0.3, 13), (2, 0.01, 0.05, 30), (90, 0.02, 0.0, 7), (1, 0.0, 0.5, 40), (20, 0.2, 0.3, 1)])
+def test_circuit_backoff_over_cells(spark, minutes, reset, hinted, parts):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        plain = circuit_rows(minutes + parts, 1200, minutes, reset, hinted)
+        df = spark.createDataFrame(plain, "p string, us bigint, id bigint, k string, h bigint").select(
+            "p", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "id", "k", F.timestamp_micros("h").cast("timestamp_ntz").alias("provider_retry_at"))
+        out = circuits.circuit_backoff(df, "p", ["ts", "id"], F.col("k") == "error", F.col("k") == "reset", parts=parts)
+        seen = {r[0]: tuple(r[1:]) for r in rows(out, "id", "failure_count", F.unix_micros(F.col("next_probe_at").cast("timestamp")).alias("us"), "opened")}
+        assert seen == circuit_loop(plain)
+        assert circuits.circuit_backoff(df.limit(0), "p", ["ts", "id"], F.col("k") == "error", F.col("k") == "reset").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_functions_of_runs_compose():
+    """A run in pieces, from any start, ends as the loop does."""
+    rnd = random.Random(3)
+    for n in range(60):
+        plain = [(None, *r[1:]) for r in circuit_rows(n, 40, rnd.choice([3, 20, 90]), rnd.choice([0, 0, 0.1]), 0.4) if r[3] != "other"]
+        us, hint = (np.array([circuits.NEVER if r[k] is None else r[k] for r in plain]) for k in (1, 4))
+        failed = np.array([r[3] == "error" for r in plain])
+        for start in [(0, circuits.NEVER), (1, 0), (2, 20 * 60_000_000), (7, int(us[len(us) // 2])), (3, int(us[-1]) + 1)]:
+            cut = sorted(rnd.sample(range(1, len(us)), 3))
+            got = start
+            for a, b in zip([0, *cut], [*cut, len(us)]):
+                got = circuits.applied(got, SimpleNamespace(**circuits.run_function(us[a:b], failed[a:b], hint[a:b])))
+            want = start
+            for u, f, h in zip(us.tolist(), failed.tolist(), hint.tolist()):
+                want, _ = circuits.step(want, u, f, h)
+            assert got == want
+
+
+def test_circuit_backoff_is_extended_while_open(spark):
+    data = [("p", "2024-01-01 00:00:00", 1, "f", "2024-01-01 05:00:00"), ("p", "2024-01-01 01:00:00", 2, "f", None), ("p", "2024-01-01 01:30:00", 6, "f", "2024-01-01 04:00:00"),
+            ("p", "2024-01-01 05:00:00", 3, "f", None), ("p", "2024-01-01 05:10:00", 4, "f", "2024-01-01 05:50:00"), ("p", "2024-01-01 06:00:00", 5, "s", None), ("p", "2024-01-01 06:01:00", 7, "f", None)]
     df = spark.createDataFrame(data, "p string, ts string, id int, k string, h string").select(
         "p", F.col("ts").cast("timestamp_ntz").alias("ts"), "id", "k", F.col("h").cast("timestamp_ntz").alias("provider_retry_at"))
-    out = jobs.circuit_backoff(df, "p", ["ts", "id"], F.col("k") == "f", F.col("k") == "s")
-    assert [(i, n, str(t)) for i, n, t in sorted(rows(out, "id", "failure_count", "next_probe_at"))] == [
-        (1, 1, "2024-01-01 05:00:00"), (2, 2, "2024-01-01 05:00:00"), (4, 1, "2024-01-01 03:15:00")]
+    out = circuits.circuit_backoff(df, "p", ["ts", "id"], F.col("k") == "f", F.col("k") == "s")
+    assert [(i, n, str(t)[11:], o) for i, n, t, o in sorted(rows(out, "id", "failure_count", "next_probe_at", "opened"))] == [
+        (1, 1, "05:00:00", True), (2, 1, "05:00:00", False), (3, 2, "05:30:00", True), (4, 2, "05:50:00", False), (6, 1, "05:00:00", False), (7, 1, "06:16:00", True)]
 
 
 def test_rate_limit_of_null_clients_and_many_batches(spark):
