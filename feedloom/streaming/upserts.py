@@ -9,6 +9,7 @@ from feedloom.operators.reconcile import KEY, upsert_entries
 from feedloom.operators.rollups import TOKENS, zero_sum
 from feedloom.session import fresh_folder
 from feedloom.streaming.runs import last_update, run_batches, write_batches
+from feedloom.streaming.snapshots import BUCKETS, Snapshots
 
 
 def stream_entries(stream: DataFrame, **options) -> DataFrame:
@@ -21,25 +22,13 @@ def newest_per_key(batch: DataFrame) -> DataFrame:
     return batch.groupBy(*KEY).agg(newest.alias("_r")).select("_r.*")
 
 
-def stream_upsert(stream: DataFrame, stored: DataFrame, out: str | None = None, **options) -> DataFrame:
-    """Upsert each batch into the snapshot before it, giving a snapshot per batch.
-
-    The snapshot of a batch is read and written under the batch's number, so a replay gives the same snapshot."""
+def stream_upsert(stream: DataFrame, stored: DataFrame, out: str | None = None, buckets: int = BUCKETS, **options) -> DataFrame:
+    """Upsert each batch into the snapshot before it; a batch writes the hash buckets of its own keys only."""
     spark = stream.sparkSession
-    out = out or fresh_folder(spark, "snapshots")
-    schema = stored.schema
-    done = f"{out}-done"
-    stored.write.mode("ignore").parquet(f"{out}/after=-1")
-    spark.range(1).write.mode("ignore").parquet(f"{done}/batch=-1")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{out}/after={number - 1}")
-        upsert_entries(before, newest_per_key(batch)).write.mode("overwrite").parquet(f"{out}/after={number}")
-        spark.range(1).write.mode("overwrite").parquet(f"{done}/batch={number}")
-
-    run_batches(stream, merge, "append", **options)
-    last = spark.read.schema("id BIGINT, batch BIGINT").parquet(done).agg(F.max("batch")).first()[0]
-    return spark.read.schema(schema).parquet(f"{out}/after={last}")
+    table = Snapshots(spark, out or fresh_folder(spark, "snapshots"), stored.schema, KEY, buckets)
+    table.create(stored)
+    run_batches(stream, lambda batch, number: table.merge(newest_per_key(batch), number, upsert_entries), "append", **options)
+    return table.read()
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str | None = None, **options) -> DataFrame:

@@ -10,6 +10,7 @@ from feedloom.operators import limits
 from feedloom.sources.tables import TABLES, table
 from feedloom.streaming import stateful, upserts
 from feedloom.streaming.runs import stream_table
+from feedloom.streaming.snapshots import Snapshots
 
 
 def out_of_order(spark, small, folder, n=3):
@@ -231,6 +232,43 @@ def test_upsert_snapshots_and_replay(spark, small, tmp_path):
     assert sorted(rows(again, "source_guid", "refreshed_at")) == first
 
 
+def bytes_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("part-*"))
+
+
+def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
+    """4000 stored rows in 64 buckets, batches of a few keys: what a batch writes grows with it, old versions go, a batch that runs again changes nothing."""
+    schema = "id long, feed_name string, source_guid string, body string"
+    stored = spark.range(4000).selectExpr("id", "concat('f', id % 7) AS feed_name", "cast(id AS string) AS source_guid", "repeat(md5(cast(id AS string)), 20) AS body")
+    out = str(tmp_path / "t")
+    table_ = Snapshots(spark, out, stored.schema, ["feed_name", "source_guid"], 64)
+    table_.create(stored)
+    want = {(r.feed_name, r.source_guid): r.body for r in stored.collect()}
+
+    def laid_over(before, new):
+        return before.join(new.select("feed_name", "source_guid"), ["feed_name", "source_guid"], "left_anti").unionByName(new)
+
+    written = []
+    for n, size in enumerate([3, 1, 40, 0, 2]):
+        ids = [(n * 997 + k * 31) % 4500 for k in range(size)]
+        batch = spark.createDataFrame([(i, f"f{i % 7}", str(i), f"new {n}") for i in ids], schema)
+        for _ in range(2):  # and once more, as after a lost driver
+            table_.merge(batch, n, laid_over)
+        want |= {(f"f{i % 7}", str(i)): f"new {n}" for i in ids}
+        written.append(bytes_of(tmp_path / "t" / f"version={n}"))
+        assert {(r.feed_name, r.source_guid): r.body for r in table_.read().collect()} == want and table_.latest() == n
+    whole = bytes_of(tmp_path / "t" / "version=-1")
+    assert written[3] == 0 and written[1] < written[0] < written[2] and written[0] < 0.1 * whole + bytes_of(tmp_path / "t" / "version=0")
+    names = sorted(p.name for p in (tmp_path / "t-manifest").iterdir() if p.name.startswith("after"))
+    assert names == ["after=3", "after=4"]
+    kept = {(p.parent.name, p.name) for p in (tmp_path / "t").glob("version=*/bucket=*")}
+    named = {(f"version={v}", f"bucket={b}") for n in (3, 4) for b, v in table_.manifest(n).items()}
+    assert kept == named
+    empty = Snapshots(spark, str(tmp_path / "e"), stored.schema, ["feed_name", "source_guid"], 4)
+    empty.create(stored.limit(0))
+    assert empty.read().count() == 0
+
+
 def test_recheck_gate_matches_loop(spark, small):
     events = stream_table(spark, small, "events").withColumn("content", (F.col("event_id") % 2).cast("string"))
     got = {r[0] for r in rows(stateful.stream_recheck_gate(events, "user_id", "ts", "event_id", "content"), "id")}
