@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import hash_text
 from feedloom.functions.values import RETRY_HOURS, step_delay, unzoned_micros
 from feedloom.operators.ordered import running
+from feedloom.operators.paging import page
 
 INTERRUPTED = "refresh interrupted by process restart"
 
@@ -50,8 +51,8 @@ def job_queue_head(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.filter(F.col("status") == "queued").orderBy("created_at", "id").limit(n)
 
 
-def job_listing(jobs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    return jobs.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(max(limit, 1))
+def job_listing(jobs: DataFrame, limit: int = 50, offset: int = 0, **bounds: int) -> DataFrame:
+    return page(jobs, [unzoned_micros(F.col("created_at")), F.col("id")], max(limit, 1), offset, **bounds)
 
 
 def retry_failed_jobs(jobs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
-from feedloom.functions.values import parse_date
+from feedloom.functions.values import parse_date, unzoned_micros
+from feedloom.operators.paging import page
 
 RENDER_COLUMNS = (
     "id", "source_guid", "source_url", "source_title", "source_author", "source_published_at",
@@ -96,9 +97,10 @@ def search_count(entries: DataFrame, search: str) -> DataFrame:
     return search_entries(entries, search).agg(F.count(F.lit(1)).alias("entry_count"))
 
 
-def page_entries(entries: DataFrame, limit: int = 50, offset: int = 0, search: str = "") -> DataFrame:
-    """One page, newest first. Deep pages should use `page_after`, which sorts only what follows the last seen row."""
-    return search_entries(entries, search).orderBy(*newest_first()).offset(offset).limit(max(limit, 1))
+def page_entries(entries: DataFrame, limit: int = 50, offset: int = 0, search: str = "", **bounds: int) -> DataFrame:
+    """One page, newest first, at any depth. `page_after` goes on from the last row seen instead."""
+    order = [unzoned_micros(sort_ts()), F.col("id")]
+    return page(search_entries(entries, search), order, max(limit, 1), offset, **bounds)
 
 
 def page_after(entries: DataFrame, seen_ts: str, seen_id: int, limit: int = 50) -> DataFrame:

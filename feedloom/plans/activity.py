@@ -189,6 +189,13 @@ def job_listing(spark, folder):
     return jobs.job_listing(rows, 50, 50)
 
 
+@query("job_listing_deep", """
+    SELECT event_id AS id, ts AS created_at, status FROM v_job_events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 9000""")
+def job_listing_deep(spark, folder):
+    rows = view(spark, folder, "v_job_events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "status")
+    return jobs.job_listing(rows, 50, 9000, direct=1000, left=1000)
+
+
 LIFE = """life AS (SELECT idempotency_key, min(ts) AS created_at, max(ts) AS updated_at, arg_max(status, (ts, event_id)) AS status,
     min(ts) FILTER (WHERE status = 'running') AS started_at, min(ts) FILTER (WHERE status IN ('done', 'failed')) AS completed_at
     FROM v_job_events GROUP BY idempotency_key)"""

@@ -208,6 +208,15 @@ def page_entries(spark, folder):
     return page.select("id", lists.sort_ts().alias("sort_ts"))
 
 
+@query("page_entries_deep", f"""
+    SELECT id, sort_ts FROM (SELECT id, {SORT_TS} AS sort_ts, row_number() OVER (ORDER BY {NEWEST}) AS place FROM v_entries) t
+    WHERE place > 700 AND place <= 750""")
+def page_entries_deep(spark, folder):
+    """A page past what a task's heap may hold: the range with the offset is found by counts."""
+    page = lists.page_entries(lists.with_search_text(entries(spark, folder)), limit=50, offset=700, direct=500, left=100)
+    return page.select("id", lists.sort_ts().alias("sort_ts"))
+
+
 @query("page_entries_after", f"""
     SELECT id, {SORT_TS} AS sort_ts FROM v_entries
     WHERE {SORT_TS} < TIMESTAMP '2024-01-03 00:00:00' OR ({SORT_TS} = TIMESTAMP '2024-01-03 00:00:00' AND id < 500)

@@ -1,9 +1,11 @@
+import random
+import re
 from datetime import datetime
 
 from conftest import rows
 from pyspark.sql import functions as F
 
-from feedloom.operators import chunks, corpus, lists, markup, matching, publish, reconcile, rollups, threads
+from feedloom.operators import chunks, corpus, lists, markup, matching, paging, publish, reconcile, rollups, threads
 
 
 def entries(spark, data):
@@ -298,3 +300,25 @@ def test_thread_cap_and_text(spark):
         "> Author: Bob (@bob)\n\n![Photo \\[alt\\]](p.jpg)\n[video](v.mp4)\n\n## 2\nhttps://x.com/alice/status/101\n\n_No text or media._")
     quote = spark.range(1).select(threads.quote_lines(threads.author_text(F.lit("Bob"), F.lit("bob")), threads.post_url(F.lit("bob"), F.lit("200")), F.lit("Quoted text")))
     assert quote.first()[0] == "> Author: Bob (@bob)\n> URL: https://x.com/bob/status/200\n>\n> Quoted text"
+
+
+def test_pages_at_any_depth(spark):
+    rnd = random.Random(9)
+    plain = [(rnd.choice([None, 5, 5, 5, rnd.randrange(-10**15, 10**15), rnd.randrange(50)]), i) for i in range(800)]
+    df = spark.createDataFrame(plain, "ts long, id long")
+    ordered = sorted(plain, key=lambda r: (r[0] is None, -(r[0] or 0), -r[1]))
+    for left in (1, 30, 500):
+        for offset in (0, 1, 150, 399, 700, 790, 799, 800, 5000):
+            got = paging.page(df, [F.col("ts"), F.col("id")], 20, offset, direct=0, left=left)
+            assert rows(got) == ordered[offset:offset + 20], (left, offset)
+    assert rows(paging.page(df.limit(0), [F.col("ts"), F.col("id")], 20, 5, direct=0)) == []
+    alike = spark.createDataFrame([(1, 1)] * 50 + [(None, None)] * 50, "ts long, id long")
+    assert rows(paging.page(alike, [F.col("ts"), F.col("id")], 10, 45, direct=0, left=5)) == [(1, 1)] * 5 + [(None, None)] * 5
+    assert rows(paging.page(df, [F.col("ts"), F.col("id")], 20, 399)) == ordered[399:419]
+
+
+def test_a_deep_page_sorts_its_range_only(spark):
+    df = spark.range(5000).select((F.col("id") % 100).alias("ts"), "id")
+    deep = paging.page(df, [F.col("ts"), F.col("id")], 20, 4000, direct=100, left=200)
+    plan = deep._jdf.queryExecution().analyzed().toString()
+    assert int(re.search(r"GlobalLimit (\d+)", plan).group(1)) == 20 and int(re.search(r"Offset (\d+)", plan).group(1)) < 200
