@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The white space classes of the reproduced rules (regular-expression syntax of Java and RE2).
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WIDE_SPACE = SPACE + r"\x{200B}"
 SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"\x{3400}-\x{9FFF}"
-FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F))
+# Common characters that NFKC leaves alone and that join with none before them
+NFKC_STABLE = r"\x00-\x7F\x{C0}-\x{FF}\x{400}-\x{45F}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}"
 
 # ASCII word boundary, the same on every JVM.
 WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -44,22 +40,17 @@ def collapse_space(c: Column) -> Column:
     return _collapse(c, SPACE)
 
 
-def fold_width(c: Column) -> Column:
-    """Full-width ASCII to ASCII: the part of NFKC that needs no Python."""
-    return F.translate(c, FULL_WIDTH, HALF_WIDTH)
-
+def nfkc(c: Column) -> Column:
+    """Unicode normal form NFKC: ligatures, half and full width, circled digits, composed marks. Texts without a character that it may change skip it.
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Full NFKC for collections that need more than `fold_width`."""
-    for batch in batches:
-        yield batch.str.normalize("NFKC")
+    It is a call of the Unicode library that Spark ships, in the JVM. Spark counts such a call as non-deterministic, so group and
+    join by it only after a projection that holds it was stored or aggregated."""
+    normal = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(F.rlike(c, F.lit(f"[^{NFKC_STABLE}]")), normal).otherwise(c)
 
 
-def normalize_ws(c: Column, full: bool = False) -> Column:
-    text = F.coalesce(c, F.lit(""))
-    text = nfkc(text) if full else fold_width(text)
-    return _collapse(text, WIDE_SPACE)
+def normalize_ws(c: Column) -> Column:
+    return _collapse(nfkc(F.coalesce(c, F.lit(""))), WIDE_SPACE)
 
 
 def strip_markup(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def render_projection(entries: DataFrame) -> DataFrame:
 
 def matches(search: str) -> Column:
     """Literal, case-blind substring match on search_text; a blank search keeps all."""
-    query = tx.fold_width(F.lit(search))
+    query = F.lit(unicodedata.normalize("NFKC", search))
     wanted = F.lower(query)
     return (query == "") | F.contains(F.coalesce(F.col("search_text"), F.lit("")), wanted)
 

@@ -1,8 +1,11 @@
 """Pieces of checking SQL (DuckDB) for the column helpers."""
 
-from feedloom.functions.text import CJK, FULL_WIDTH, HALF_WIDTH, SPACE, WIDE_SPACE
-
-HALF_SQL = HALF_WIDTH.replace("'", "''")
+# Written out here, so that a wrong list in the library shows as a difference. White space, ideographs, full-width ASCII
+SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WIDE_SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+CJK = r"\x{3400}-\x{9FFF}"
+FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+HALF_SQL = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 HOST_OF = r"""NULLIF(lower(regexp_replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@|:[0-9]*$', '', 'g')), '')"""
 PATH_OF = r"""(CASE WHEN regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1) = '' THEN '/'
   ELSE regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1) END)"""

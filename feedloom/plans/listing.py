@@ -9,6 +9,7 @@ from feedloom.functions import urls as ul
 from feedloom.operators import lists
 from feedloom.plans.dialect import HOST, PATH, http_url, norm, strip, truncate
 from feedloom.plans.registry import query
+from feedloom.plans.samples import disguised
 from feedloom.sources.tables import view
 
 NOW = "2024-01-01 08:00:00"
@@ -80,18 +81,21 @@ def entry_render_projection(spark, folder):
 @query("search_entries", f"""
     SELECT id, feed_name, source_title FROM v_entries WHERE contains({SEARCH_TEXT}, 'tion')""")
 def search_entries(spark, folder):
-    found = lists.search_entries(lists.with_search_text(entries(spark, folder)), "Ｔion")
-    return found.select("id", "feed_name", "source_title")
+    """Titles are disguised in the table that is searched; the checking SQL searches them as they were."""
+    texts = lists.with_search_text(entries(spark, folder).withColumn("plain", F.col("source_title")).withColumn("source_title", disguised(F.col("source_title"))))
+    return lists.search_entries(texts, "Ｔion").select("id", "feed_name", F.col("plain").alias("source_title"))
 
 
 @query("build_search_text", f"SELECT id, {SEARCH_TEXT} AS search_text FROM v_entries")
 def build_search_text(spark, folder):
-    return lists.with_search_text(entries(spark, folder)).select("id", "search_text")
+    titles = {c: disguised(F.col(c)) for c in ("source_title", "translated_title")}
+    return lists.with_search_text(entries(spark, folder).withColumns(titles)).select("id", "search_text")
 
 
 @query("search_count", f"SELECT count(*) AS entry_count FROM v_entries WHERE contains({SEARCH_TEXT}, 'src1')")
 def search_count(spark, folder):
-    return lists.search_count(lists.with_search_text(entries(spark, folder)), "SRC1")
+    hidden = entries(spark, folder).withColumn("source_url", disguised(F.col("source_url")))
+    return lists.search_count(lists.with_search_text(hidden), "ＳＲＣ①")
 
 
 @query("display_fields", f"""

@@ -9,6 +9,7 @@ from feedloom.functions import urls as ul
 from feedloom.operators import chunks, corpus, markup
 from feedloom.plans.dialect import HOST, collapse, mixed_words, norm, plain_words, strip, trim_space, truncate
 from feedloom.plans.registry import query
+from feedloom.plans.samples import disguised
 from feedloom.sources.tables import spread_rows, view
 
 PACK = """
@@ -255,17 +256,18 @@ def lead_image_per_page(spark, folder):
 
 @query("title_derivation", rf"""
     WITH items AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat(text, chr(10), ' #  Head   ', CAST(doc_id AS VARCHAR), ' ')
-        WHEN 1 THEN concat('https://x.example.org/a', chr(10), chr(10), text) ELSE '' END AS text FROM documents),
+        WHEN 1 THEN concat('https://x.example.org/a', chr(10), chr(10), text) ELSE text END AS text FROM documents),
     lines AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda l: {norm('l')}), lambda l: l <> '') AS lines FROM items),
     lead AS (SELECT doc_id, text, COALESCE(list_filter(lines, lambda l: NOT regexp_matches(l, '^https?://\S+$'))[1], lines[1]) AS line FROM lines)
     SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('Head ', CAST(doc_id AS VARCHAR))
       ELSE COALESCE(NULLIF({truncate('line', 72)}, ''), 'Untitled') END AS title FROM lead""")
 def title_derivation(spark, folder):
-    kind, text = F.col("doc_id") % 3, F.col("text")
+    """Texts are disguised; the checking SQL derives titles from them as they were."""
+    kind, text = F.col("doc_id") % 3, disguised(F.col("text"))
     items = spread_rows(view(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         F.when(kind == 0, F.concat(text, F.lit("\n #  Head   "), F.col("doc_id").cast("string"), F.lit(" ")))
-        .when(kind == 1, F.concat(F.lit("https://x.example.org/a\n\n"), text)).otherwise(F.lit("")).alias("text"),
+        .when(kind == 1, F.concat(F.lit("https://x.example.org/a\n\n"), text)).otherwise(text).alias("text"),
     )
     return corpus.title_derivation(items, "text").drop("text")
 
