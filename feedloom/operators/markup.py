@@ -22,6 +22,15 @@ option script select style svg template textarea track video
 LINK_SCHEMES = ("http", "https", "mailto", "tel")
 RESOURCE_SCHEMES = ("http", "https")
 REQUIRED_REL = ("noopener", "noreferrer")
+SAFE_REL = ("nofollow", "noopener", "noreferrer", "sponsored", "ugc")
+# Attributes that any kept element may have, and those of single elements.
+ANY_ATTRIBUTES = ("class", "dir", "lang", "title")
+ELEMENT_ATTRIBUTES = {
+    "a": "href hreflang rel target", "col": "span", "colgroup": "span", "del": "datetime", "details": "open",
+    "img": "alt height loading src srcset width", "ins": "datetime", "li": "value", "ol": "reversed start type",
+    "source": "media sizes src srcset type", "td": "colspan headers rowspan", "th": "abbr colspan headers rowspan scope",
+    "time": "datetime",
+}
 DESCRIPTOR = r"^\S+(?:\s+(?:\d+w|(?:\d+(?:\.\d+)?|\.\d+)x))?$"
 
 
@@ -39,6 +48,39 @@ def unquoted(value: Column) -> Column:
     return F.when(F.rlike(value, F.lit("^[\"']")), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
+# A start tag; a `>` inside quotes does not end it. The bound keeps the matcher's stack small: a tag of more quoted values is read as text.
+TAG = r"(<[a-zA-Z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*){0,200}>)"
+ATTRIBUTE = r"([^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?)"
+
+
+def start_tags(html: Column) -> Column:
+    """Start tags in order: (tag, attributes: list of (name, value)), names in lower case; no value is an empty one."""
+    def read(text: Column) -> Column:
+        rest = F.substring(text, F.length(F.regexp_extract(text, "^<[a-zA-Z][a-zA-Z0-9-]*", 0)) + 1, F.length(text))
+        attributes = F.transform(found(rest, ATTRIBUTE), lambda a: F.struct(
+            F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("name"), unquoted(F.regexp_extract(a, r"^[^\s=]+\s*=\s*([\s\S]*)$", 1)).alias("value")))
+        return F.struct(F.lower(F.regexp_extract(text, "^<([a-zA-Z][a-zA-Z0-9-]*)", 1)).alias("tag"), attributes.alias("attributes"))
+
+    return F.transform(found(html, TAG), read)
+
+
+def values_of(tag: Column, name: str) -> Column:
+    """Value of the first attribute of this name; null if there is none."""
+    return F.get(F.filter(tag["attributes"], lambda a: a["name"] == name), F.lit(0))["value"]
+
+
+def disallowed_attributes(tags: Column) -> Column:
+    """`element@attribute` of each attribute, once per tag, that a kept element may not have."""
+    allowed = [f"{tag}@{name}" for tag, names in ELEMENT_ATTRIBUTES.items() for name in names.split()]
+
+    def bad(tag: Column) -> Column:
+        names = F.array_distinct(F.transform(tag["attributes"], lambda a: a["name"]))
+        wrong = F.filter(names, lambda n: ~n.isin(*ANY_ATTRIBUTES) & ~F.concat(tag["tag"], F.lit("@"), n).isin(*allowed))
+        return F.transform(wrong, lambda n: F.concat(tag["tag"], F.lit("@"), n))
+
+    return F.flatten(F.transform(F.filter(tags, lambda t: t["tag"].isin(*ALLOWED_TAGS)), bad))
+
+
 def attribute_values(html: Column, name: str) -> Column:
     return F.transform(found(html, rf"(?i)\s{name}\s*=\s*{VALUE}"), unquoted)
 
@@ -60,25 +102,49 @@ def count_of(html: Column, pattern: str) -> Column:
 
 
 def html_tag_audit(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Counts of elements and attributes per page: kept, removed and unknown elements, event handlers, styles and comments; attributes that
+    kept elements may not have, as a number and as a list of `element@attribute`; relation tokens and targets of links that are not kept."""
     h = F.col(html)
-    tagged = pages.withColumn("_tags", F.transform(found(h, r"<([a-zA-Z][a-zA-Z0-9-]*)"), lambda t: F.lower(t)))
+    tagged = pages.withColumns({
+        "_tags": F.transform(found(h, r"<([a-zA-Z][a-zA-Z0-9-]*)"), lambda t: F.lower(t)), "_read": start_tags(h),
+    })
+    tagged = tagged.withColumns({"_bad": disallowed_attributes(F.col("_read")), "_anchors": F.filter("_read", lambda t: t["tag"] == "a")})
+    tokens = F.flatten(F.transform("_anchors", lambda t: F.array_distinct(F.split(F.lower(F.coalesce(values_of(t, "rel"), F.lit(""))), r"\s+"))))
+    targets = F.filter("_anchors", lambda t: F.coalesce(F.lower(values_of(t, "target")) != "_blank", F.lit(False)))
     return tagged.withColumns({
+        "disallowed_count": F.size("_bad").cast("bigint"), "disallowed": F.array_join(F.array_sort(F.array_distinct("_bad")), ","),
+        "bad_rel": F.size(F.filter(tokens, lambda t: (t != "") & ~t.isin(*SAFE_REL))).cast("bigint"), "bad_targets": F.size(targets).cast("bigint"),
         "allowed": count_in(F.col("_tags"), ALLOWED_TAGS), "dangerous": count_in(F.col("_tags"), DANGEROUS_TAGS),
         "handlers": count_of(h, r"(?i)\son[a-z]+\s*="), "styles": count_of(h, r"(?i)\s(?:style|srcdoc)\s*="),
         "comments": count_of(h, r"<!--"),
         "unknown": (F.size("_tags") - F.size(F.filter("_tags", lambda t: F.array_contains(
             F.array(*[F.lit(w) for w in ALLOWED_TAGS + DANGEROUS_TAGS]), t)))).cast("bigint"),
-    }).drop("_tags", html)
+    }).drop("_tags", "_read", "_bad", "_anchors", html)
+
+
+# References whose scheme and host are those of the page, and addresses whose scheme and host stand in usual form
+OF_PAGE = r"^(?:/(?![/\\])|[?#]|[A-Za-z0-9_.%~-]+(?:[/?#]|$))"
+USUAL = r"^https?://(?:[a-z0-9-]+\.){1,20}[a-z][a-z0-9-]*(?:[/?#]|$)"
 
 
-def safe_links(values: Column, base: Column, schemes: tuple[str, ...]) -> Column:
-    """Struct (scheme, host, safe) per attribute value, resolved against the page."""
+def safe_links(values: Column, base: Column, page: Column, schemes: tuple[str, ...]) -> Column:
+    """Struct (scheme, host, safe) per attribute value, resolved against the page; `page` has the scheme and host of its address.
+
+    Most values are of the page or in usual form; only the others are resolved."""
     # Each step binds its result to a lambda variable, which keeps the expressions small.
-    decoded = F.transform(values, decoded_value)
-    absolute = F.transform(decoded, lambda v: ul.resolve_url(v, base))
-    parts = F.transform(absolute, lambda u: F.struct(ul.url_scheme(u).alias("scheme"), ul.url_host(u).alias("host")))
+    hidden = F.transform(values, lambda v: F.when(F.rlike(v, F.lit(r"[&\t\r\n ]")), decoded_value(v)).otherwise(v))
+
+    def parts(url: Column) -> Column:
+        return F.struct(ul.url_scheme(url).alias("scheme"), ul.url_host(url).alias("host"))
+
+    def resolved(v: Column) -> Column:
+        usual = F.struct(F.substring_index(v, ":", 1).alias("scheme"), F.regexp_extract(v, "^https?://([^/?#]+)", 1).alias("host"))
+        slow = F.get(F.transform(F.array(ul.resolve_url(v, base)), parts), F.lit(0))
+        return F.when(page.isNotNull() & F.rlike(v, F.lit(OF_PAGE)), page).when(F.rlike(v, F.lit(USUAL)), usual).otherwise(slow)
+
     return F.transform(
-        parts, lambda p: F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"), p["scheme"].isin(*schemes).alias("safe"))
+        F.transform(hidden, resolved),
+        lambda p: F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"), p["scheme"].isin(*schemes).alias("safe")),
     )
 
 
@@ -87,17 +153,19 @@ def count_where(links: str, test) -> Column:
 
 
 def html_link_audit(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    h, base = F.col(html), F.col(url)
+    h, base, page = F.col(html), F.col(url), F.col("_page")
+    home = F.struct(ul.url_scheme(base).alias("scheme"), ul.url_host(base).alias("host"))
+    pages = pages.withColumn("_page", F.when(F.rlike(base, F.lit(USUAL)), home))
     srcset = F.flatten(F.transform(attribute_values(h, "srcset"), lambda v: F.transform(
         F.split(v, ","), lambda c: tx.trim_space(c))))
     read = pages.withColumns({
-        "_href": safe_links(attribute_values(h, "href"), base, LINK_SCHEMES),
-        "_src": safe_links(attribute_values(h, "src"), base, RESOURCE_SCHEMES),
+        "_href": safe_links(attribute_values(h, "href"), base, page, LINK_SCHEMES),
+        "_src": safe_links(attribute_values(h, "src"), base, page, RESOURCE_SCHEMES),
         "_set": srcset, "_host": ul.url_host(base),
         "_anchor": F.transform(found(h, r"(?i)(<a\s[^>]*>)"), lambda a: F.lower(F.coalesce(_attr(a, "rel"), F.lit("")))),
     })
     read = read.withColumn("_set_links", safe_links(
-        F.transform("_set", lambda c: F.regexp_extract(c, r"^(\S+)", 1)), base, RESOURCE_SCHEMES))
+        F.transform("_set", lambda c: F.regexp_extract(c, r"^(\S+)", 1)), base, page, RESOURCE_SCHEMES))
     bad_set = F.size(F.filter(
         F.arrays_zip("_set", "_set_links"),
         lambda c: ~F.rlike(c["_set"], F.lit(DESCRIPTOR)) | ~F.coalesce(c["_set_links"]["safe"], F.lit(False)),
@@ -115,7 +183,7 @@ def html_link_audit(pages: DataFrame, url: str = "url", html: str = "html") -> D
         "mail_or_phone": count_where("_href", lambda link: link["scheme"].isin("mailto", "tel")),
         "rel_tokens_missing": rel_missing, "image_candidates": F.size("_set").cast("bigint"),
         "bad_image_candidates": bad_set,
-    }).drop("_href", "_src", "_set", "_set_links", "_host", "_anchor", html, url)
+    }).drop("_href", "_src", "_set", "_set_links", "_host", "_page", "_anchor", html, url)
 
 
 def _attr(tag: Column, name: str) -> Column:

@@ -203,16 +203,42 @@ def failure_shell_rate(spark, folder):
 
 
 def quoted(words):
-    return ", ".join(f"'{w}'" for w in words)
+    return ", ".join(f"'{w}'" for w in words.split())
+
+
+# Fixed values, written out here, so that a wrong list in the library shows as a difference
+KEPT = quoted("""a abbr address article aside b bdi bdo blockquote br caption cite code col colgroup dd del details dfn div dl dt em
+  figcaption figure h1 h2 h3 h4 h5 h6 hr i img ins kbd li main mark ol p picture pre q rp rt ruby s samp section small
+  source span strong sub summary sup table tbody td tfoot th thead time tr u ul var wbr""")
+REMOVED = quoted("""applet audio base button canvas embed fieldset form frame frameset iframe input link math meta noscript object optgroup
+  option script select style svg template textarea track video""")
+MAY_HAVE = quoted("""a@href a@hreflang a@rel a@target col@span colgroup@span del@datetime details@open img@alt img@height img@loading img@src img@srcset
+  img@width ins@datetime li@value ol@reversed ol@start ol@type source@media source@sizes source@src source@srcset source@type td@colspan td@headers
+  td@rowspan th@abbr th@colspan th@headers th@rowspan th@scope time@datetime""")
 
 
 @query("html_tag_audit", rf"""
-    WITH tags AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1), lambda t: lower(t)) AS tags FROM v_pages)
-    SELECT page_id, len(list_filter(tags, lambda t: t IN ({quoted(markup.ALLOWED_TAGS)}))) AS allowed,
-      len(list_filter(tags, lambda t: t IN ({quoted(markup.DANGEROUS_TAGS)}))) AS dangerous,
-      len(list_filter(tags, lambda t: t NOT IN ({quoted(markup.ALLOWED_TAGS + markup.DANGEROUS_TAGS)}))) AS unknown,
-      len(regexp_extract_all(html, '(?i)\son[a-z]+\s*=')) AS handlers, len(regexp_extract_all(html, '(?i)\s(?:style|srcdoc)\s*=')) AS styles,
-      len(regexp_extract_all(html, '<!--')) AS comments FROM tags""")
+    WITH tags AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1), lambda t: lower(t)) AS tags FROM v_pages),
+    counted AS (
+      SELECT page_id, len(list_filter(tags, lambda t: t IN ({KEPT}))) AS allowed, len(list_filter(tags, lambda t: t IN ({REMOVED}))) AS dangerous,
+        len(list_filter(tags, lambda t: t NOT IN ({KEPT}, {REMOVED}))) AS unknown,
+        len(regexp_extract_all(html, '(?i)\son[a-z]+\s*=')) AS handlers, len(regexp_extract_all(html, '(?i)\s(?:style|srcdoc)\s*=')) AS styles,
+        len(regexp_extract_all(html, '<!--')) AS comments FROM tags),
+    starts AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*>')) AS t FROM v_pages),
+    named AS (SELECT page_id, row_number() OVER () AS n, lower(regexp_extract(t, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag,
+        regexp_extract_all(regexp_replace(t, '^<[a-zA-Z][a-zA-Z0-9-]*', ''), '[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]*))?') AS attributes FROM starts),
+    named_attributes AS (SELECT page_id, n, tag, k, lower(regexp_extract(a, '^[^\s=]+')) AS name,
+        lower(trim(regexp_replace(a, '^[^\s=]+\s*=?\s*', ''), '"' || chr(39))) AS value
+      FROM (SELECT page_id, n, tag, unnest(attributes) AS a, generate_subscripts(attributes, 1) AS k FROM named WHERE tag IN ({KEPT})) x),
+    bad AS (SELECT page_id, count(*) AS disallowed_count, string_agg(DISTINCT pair, ',' ORDER BY pair) AS disallowed FROM (
+        SELECT DISTINCT page_id, n, concat(tag, '@', name) AS pair FROM named_attributes WHERE name NOT IN ('class', 'dir', 'lang', 'title')) y
+      WHERE pair NOT IN ({MAY_HAVE}) GROUP BY page_id),
+    firsts AS (SELECT page_id, n, name, arg_min(value, k) AS value FROM named_attributes WHERE tag = 'a' AND name IN ('rel', 'target') GROUP BY ALL),
+    links AS (SELECT page_id, count(*) FILTER (WHERE name = 'target' AND value <> '_blank') AS bad_targets,
+        CAST(sum(CASE WHEN name = 'rel' THEN len(list_filter(list_distinct(string_split_regex(value, '\s+')),
+          lambda w: w <> '' AND w NOT IN ('nofollow', 'noopener', 'noreferrer', 'sponsored', 'ugc'))) ELSE 0 END) AS BIGINT) AS bad_rel FROM firsts GROUP BY page_id)
+    SELECT c.*, COALESCE(disallowed_count, 0) AS disallowed_count, COALESCE(disallowed, '') AS disallowed, COALESCE(bad_rel, 0) AS bad_rel,
+      COALESCE(bad_targets, 0) AS bad_targets FROM counted c LEFT JOIN bad b ON b.page_id = c.page_id LEFT JOIN links l ON l.page_id = c.page_id""")
 def html_tag_audit(spark, folder):
     return markup.html_tag_audit(spread_rows(view(spark, folder, "v_pages"), "page_id").select("page_id", "html"))
 

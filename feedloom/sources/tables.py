@@ -133,7 +133,7 @@ VIEWS = {
             WHEN 2 THEN '<a href="java&#x73;cript:alert(1)" style="color:red">x</a><a href="mailto:a@example.org" rel="ugc opener">m</a>'
             WHEN 3 THEN '<main><img data-src="lazy.png" srcset="/s.jpg 1x, https://cdn.example.org/l.jpg 2x, javascript:alert(1) 3x"></main>'
             WHEN 4 THEN '<iframe srcdoc="x"></iframe><x-card>c</x-card><p>Something went wrong, but don’t fret.</p>'
-            ELSE '<a href="https://other.example.org/a">o</a> ... continue reading' END) AS html
+            ELSE '<a HREF="https://other.example.org/a" target="_top" rel="nofollow NoOpener evil" title="a > b">o</a><td colspan=2 onclick=x nowrap class=c> ... continue reading' END) AS html
         FROM {pages}""",
     "v_markdown": """
         SELECT doc_id, source, concat('# Doc ', CAST(doc_id AS STRING), chr(10),

@@ -322,3 +322,29 @@ def test_a_deep_page_sorts_its_range_only(spark):
     deep = paging.page(df, [F.col("ts"), F.col("id")], 20, 4000, direct=100, left=200)
     plan = deep._jdf.queryExecution().analyzed().toString()
     assert int(re.search(r"GlobalLimit (\d+)", plan).group(1)) == 20 and int(re.search(r"Offset (\d+)", plan).group(1)) < 200
+
+
+def test_attributes_of_kept_elements(spark):
+    html = ("""<A onClick='x' HREF="a>b" rel="opener NOOPENER opener" target='_TOP' data-x>t</A><a target=_blank rel>u</a><img/src=x alt='a "b"' OnLoad=1 onload=2>"""
+            """<script onload=1></script><x-card foo=1></x-card><td colspan = 2 align="left"><time datetime='1' style=''>< a b=c><p class title=x lang dir id=1>""")
+    page = spark.createDataFrame([(1, html), (2, ""), (3, None), (4, "<a" + " b='c'" * 150 + "><i j>")], "page_id int, html string")
+    out = {r.page_id: r for r in markup.html_tag_audit(page).collect()}
+    assert out[1].disallowed == "a@data-x,a@onclick,img@onload,p@id,td@align,time@style" and out[1].disallowed_count == 6
+    assert (out[1].bad_rel, out[1].bad_targets) == (1, 1)
+    assert (out[2].disallowed, out[2].disallowed_count, out[2].bad_rel) == ("", 0, 0)
+    assert out[4].disallowed == "a@b,i@j" and out[4].disallowed_count == 2
+
+
+def test_links_of_the_page_and_others_are_judged_as_resolved(spark):
+    """The short way for usual references gives what resolving gives."""
+    values = ["/a", "//X.org/b", "a/b", "a:b", "?q", "#f", "", "https://o.org", "https://O.ORG/x", "http://1.2.3.4/", "https://u@o.org/", "mailto:a@b", "java&#x73;cript:x", " /lead", "../up", "/\\x", "HTTP://h.org",
+              "tel:1", "data:x", "a b", "x.html", "é", "https://o.org:443/", "ftp://o.org/", "&#104;ttps://o.org/"]
+    bases = ["https://p.org/d/e", "HTTPS://P.org:443/", "no base", "https://u@p.org/", "https://p.org"]
+    df = spark.createDataFrame([(b, v) for b in bases for v in values], "b string, v string")
+    base = F.col("b")
+    home = F.struct(markup.ul.url_scheme(base).alias("scheme"), markup.ul.url_host(base).alias("host"))
+    page = F.when(F.rlike(base, F.lit(markup.USUAL)), home)
+    fast = F.get(markup.safe_links(F.array("v"), base, page, markup.LINK_SCHEMES), F.lit(0))
+    whole = markup.ul.resolve_url(markup.decoded_value(F.col("v")), base)
+    for r in df.select("b", "v", fast.alias("f"), markup.ul.url_scheme(whole).alias("scheme"), markup.ul.url_host(whole).alias("host")).collect():
+        assert (r.f.scheme, r.f.host, r.f.safe) == (r.scheme, r.host, r.scheme in markup.LINK_SCHEMES), (r.b, r.v)
