@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,49 +46,63 @@ def without_dots(path: Column) -> Column:
     return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), joined).otherwise(path)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated once: as an expression it stands in the plan once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_url(c: Column) -> Column:
     """An absolute http(s) URL in its usual form: scheme and host in lower case, no default port, a path, no dot
     segments. Anything else stays as it is."""
-    scheme = url_scheme(c)
-    authority = F.regexp_extract(c, AUTHORITY, 1)
-    user = F.regexp_extract(authority, "^(.*@)", 1)
-    host = F.lower(F.substring(authority, F.length(user) + 1, F.length(authority)))
-    port = F.when(scheme == "https", ":(443)?$").otherwise(":(80)?$")
-    host = F.regexp_replace(host, port, F.lit(""))
-    rest = F.substring(c, F.length(F.regexp_extract(c, AUTHORITY, 0)) + 1, F.length(c))
-    path = F.regexp_extract(rest, "^([^?#]*)", 1)
-    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
-    path = without_dots(F.when(path == "", F.lit("/")).otherwise(F.replace(path, F.lit("\\"), F.lit("/"))))
-    whole = F.concat(scheme, F.lit("://"), user, host, path, tail)
-    return F.when(scheme.isin("http", "https") & (authority != ""), whole).otherwise(c)
+
+    def cut(url: Column) -> Column:
+        start = F.regexp_extract(url, AUTHORITY, 0)
+        return F.struct(url.alias("url"), url_scheme(url).alias("scheme"), F.regexp_extract(url, AUTHORITY, 1).alias("authority"),
+                        F.substring(url, F.length(start) + 1, F.length(url)).alias("rest"))
+
+    def whole(p: Column) -> Column:
+        user = F.regexp_extract(p["authority"], "^(.*@)", 1)
+        host = F.lower(F.substring(p["authority"], F.length(user) + 1, F.length(p["authority"])))
+        host = F.regexp_replace(host, F.when(p["scheme"] == "https", ":(443)?$").otherwise(":(80)?$"), F.lit(""))
+        path = F.regexp_extract(p["rest"], "^([^?#]*)", 1)
+        tail = F.substring(p["rest"], F.length(path) + 1, F.length(p["rest"]))
+        plain = F.when(path == "", F.lit("/")).otherwise(F.replace(path, F.lit("\\"), F.lit("/")))
+        usual = F.concat(p["scheme"], F.lit("://"), user, host, bound(plain, without_dots), tail)
+        return F.when(p["scheme"].isin("http", "https") & (p["authority"] != ""), usual).otherwise(p["url"])
+
+    return bound(bound(c, cut), whole)
 
 
 def http_url(c: Column) -> Column:
     """The canonical URL without its fragment when it is http(s) with a host and without user info, else NULL."""
-    url = trim_space(c)
-    ok = (
-        url_scheme(url).isin("http", "https")
-        & url_host(url).isNotNull()
-        & ~F.contains(F.regexp_extract(url, AUTHORITY, 1), F.lit("@"))
-        & ~F.rlike(F.regexp_extract(url, AUTHORITY, 1), F.lit(r"\s"))
-    )
-    return F.when(ok, without_fragment(canonical_url(url)))
+
+    def checked(url: Column) -> Column:
+        authority = F.regexp_extract(url, AUTHORITY, 1)
+        ok = url_scheme(url).isin("http", "https") & url_host(url).isNotNull() & ~F.rlike(authority, F.lit(r"[@\s]"))
+        return F.when(ok, without_fragment(canonical_url(url)))
+
+    return bound(trim_space(c), checked)
 
 
 def resolve_url(value: Column, base: Column) -> Column:
     """Canonical absolute form of `value` against `base`; an unusable base keeps the value."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    directory = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(F.endswith(directory, F.lit("/")), directory).otherwise(F.concat(directory, F.lit("/")))
-    document = F.regexp_extract(base, "^([^?#]*)", 1)
-    return canonical_url(
-        F.when(F.rlike(value, F.lit(SCHEME)) | (origin == "") | (value == ""), value)
-        .when(F.startswith(value, F.lit("//")), F.concat(url_scheme(base), F.lit(":"), value))
-        .when(F.startswith(value, F.lit("/")), F.concat(origin, value))
-        .when(F.startswith(value, F.lit("#")), F.concat(without_fragment(base), value))
-        .when(F.startswith(value, F.lit("?")), F.concat(document, value))
-        .otherwise(F.concat(folder, value))
-    )
+
+    def joined(pair: Column) -> Column:
+        v, b = pair["v"], pair["b"]
+        origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+        folder = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+        folder = F.regexp_replace(folder, "([^/])$", "$1/")
+        document = F.regexp_extract(b, "^([^?#]*)", 1)
+        return (
+            F.when(F.rlike(v, F.lit(SCHEME)) | (origin == "") | (v == ""), v)
+            .when(F.startswith(v, F.lit("//")), F.concat(url_scheme(b), F.lit(":"), v))
+            .when(F.startswith(v, F.lit("/")), F.concat(origin, v))
+            .when(F.startswith(v, F.lit("#")), F.concat(without_fragment(b), v))
+            .when(F.startswith(v, F.lit("?")), F.concat(document, v))
+            .otherwise(F.concat(folder, v))
+        )
+
+    return canonical_url(bound(F.struct(value.alias("v"), base.alias("b")), joined))
 
 
 def host_under(host: Column, domain: str | Column) -> Column:

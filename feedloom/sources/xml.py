@@ -51,13 +51,13 @@ def ingest_rss(documents: DataFrame) -> DataFrame:
         "feed_name", "source_url", _text(F.coalesce("d.channel.title", "d.title")).alias("feed_title"),
         F.posexplode(F.coalesce("d.channel.item", "d.item", entries)).alias("pos", "i"),
     )
-    link = _text(F.col("i.link"))
+    items = items.withColumn("_link", ul.resolve_url(_text(F.col("i.link")), F.col("source_url")))
     date = F.coalesce(_text(F.col("i.pubDate")), _text(F.col("i.dc:date")))
     return items.select(
         "feed_name", "source_url", "feed_title", F.col("pos").cast("bigint").alias("pos"),
-        tx.stable_guid(_text(F.col("i.guid")), _text(F.col("i.id")), ul.resolve_url(link, F.col("source_url")),
+        tx.stable_guid(_text(F.col("i.guid")), _text(F.col("i.id")), F.col("_link"),
                        F.col("i.title"), F.col("i.pubDate")).alias("source_guid"),
-        ul.resolve_url(link, F.col("source_url")).alias("link"), _text(F.col("i.title")).alias("title"),
+        F.col("_link").alias("link"), _text(F.col("i.title")).alias("title"),
         F.coalesce(_text(F.col("i.dc:creator")), _text(F.col("i.creator")), _text(F.col("i.author"))).alias("author"),
         parse_date(date).alias("published_at"), date.alias("date_text"),
         F.coalesce(_text(F.col("i.content:encoded")), _text(F.col("i.description")), F.lit("")).alias("content"),
