@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
 from feedloom.operators.lists import display_html, latest_per_feed, sort_ts
-from feedloom.session import cut
+from feedloom.session import cut, exists, remove
 
 ITEMS_PER_FEED = 50
 
@@ -22,6 +22,11 @@ def cdata(value: Column) -> Column:
     return F.concat(F.lit("<![CDATA["), F.replace(value, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
 
 
+# What a document shows of an item and of its feed
+DOCUMENT_ITEM = ("title", "guid", "url", "date", "author", "description", "content", "source_url")
+DOCUMENT_HEAD = ("feed_name", "title", "source_url", "translate_enabled")
+
+
 def publish_items(entries: DataFrame, base_url: str, n: int = ITEMS_PER_FEED) -> DataFrame:
     """Newest n entries per feed as item rows. Bodies are resolved after the cut to n rows."""
     top = latest_per_feed(entries, n).withColumn("content", display_html())
@@ -61,8 +66,9 @@ def publish_feeds(items: DataFrame, feeds: DataFrame, base_url: str) -> DataFram
 
 
 def write_feeds(published: DataFrame, path: str) -> None:
-    """One text file tree per feed."""
-    published.select("feed_name", F.col("xml").alias("value")).write.partitionBy("feed_name").mode("overwrite").text(path)
+    """One text file tree per feed; the trees of other feeds stay as they are."""
+    rows = published.select("feed_name", F.col("xml").alias("value"))
+    rows.write.partitionBy("feed_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
 
 
 def publish_outline(feeds: DataFrame, base_url: str, folder: str = "") -> DataFrame:
@@ -98,16 +104,50 @@ def write_outline(outline: DataFrame, path: str) -> None:
     ).text(path)
 
 
-def publish_diff(published: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Feeds whose document differs from the last manifest: new, changed or gone."""
-    now = published.select("feed_name", tx.hash_text(F.col("xml")).alias("hash"))
-    was = manifest.select("feed_name", F.col("hash").alias("old_hash"))
-    state = (
-        F.when(F.col("old_hash").isNull(), F.lit("new")).when(F.col("hash").isNull(), F.lit("gone"))
-        .otherwise(F.lit("changed"))
+def feed_digests(items: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(feed_name, digest) of what the document of each feed shows: a fold over its items in any order, by partial aggregates, and its head."""
+    shown = ["rank", *DOCUMENT_ITEM]
+    folded = items.groupBy("feed_name").agg(
+        F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(salt), F.to_json(F.struct(*shown)))).alias(salt) for salt in ("a", "b")]
     )
-    both = now.join(was, "feed_name", "full_outer").filter(~F.col("hash").eqNullSafe(F.col("old_hash")))
-    return both.select("feed_name", state.alias("state"))
+    head = F.to_json(F.struct(*DOCUMENT_HEAD))
+    joined = feeds.select(*DOCUMENT_HEAD).join(folded, "feed_name", "left")
+    return joined.select("feed_name", tx.hash_text(F.concat_ws("|", head, "n", "a", "b")).alias("digest"))
+
+
+def publish_diff(digests: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(feed_name, state, digest) of feeds whose document differs from the one the manifest names: new, changed or gone."""
+    was = manifest.select("feed_name", F.col("digest").alias("_was"))
+    state = F.when(F.col("_was").isNull(), F.lit("new")).when(F.col("digest").isNull(), F.lit("gone")).otherwise(F.lit("changed"))
+    both = digests.join(was, "feed_name", "full_outer").filter(~F.col("digest").eqNullSafe(F.col("_was")))
+    return both.select("feed_name", state.alias("state"), "digest")
+
+
+def publish_changed(items: DataFrame, feeds: DataFrame, manifest: DataFrame, base_url: str) -> DataFrame:
+    """(feed_name, state, digest, item_count, xml): only documents that are new or changed are rendered; gone ones have none.
+
+    `items` should be stored: they are read for the digests and, for the feeds that changed, once more."""
+    differs = cut(publish_diff(feed_digests(items, feeds), manifest))
+    names = differs.filter("state <> 'gone'").select("feed_name")
+    rendered = publish_feeds(items.join(names, "feed_name", "left_semi"), feeds.join(names, "feed_name", "left_semi"), base_url)
+    return differs.join(rendered, "feed_name", "left")
+
+
+def publish_run(spark: SparkSession, entries: DataFrame, feeds: DataFrame, folder: str, number: int, base_url: str) -> DataFrame:
+    """Publication `number` into `folder`: documents that differ from the one before are written, those of gone feeds removed, then the
+    manifest. A run that is repeated reads the manifest before it again, and the entries are read once. Gives (feed_name, state)."""
+    items = cut(publish_items(entries, base_url))
+    schema = "feed_name STRING, digest STRING"
+    before = f"{folder}/manifest/run={number - 1}"
+    manifest = spark.read.schema(schema).parquet(before) if exists(spark, before) else spark.createDataFrame([], schema)
+    changed = cut(publish_changed(items, feeds, manifest, base_url))
+    write_feeds(changed.filter("state <> 'gone'"), f"{folder}/documents")
+    for row in changed.filter("state = 'gone'").select("feed_name").toLocalIterator():
+        remove(spark, f"{folder}/documents/feed_name={row.feed_name}")
+    kept = manifest.join(changed.select("feed_name"), "feed_name", "left_anti")
+    now = kept.unionByName(changed.filter("state <> 'gone'").select("feed_name", "digest"))
+    now.write.mode("overwrite").parquet(f"{folder}/manifest/run={number}")
+    return changed.select("feed_name", "state")
 
 
 def outline_paths(nodes: DataFrame) -> DataFrame:

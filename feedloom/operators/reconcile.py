@@ -231,7 +231,8 @@ def import_feeds(outline: DataFrame, stored: DataFrame, folder_override: str = "
         F.min_by("title", F.when(F.col("title").isNotNull(), F.col("pos"))).alias("new_title"),
         F.min_by("wanted_name", F.when(F.col("wanted_name").isNotNull(), F.col("pos"))).alias("wanted_name"),
     )
-    old = stored.select("source_url", F.col("feed_name"), F.col("title").alias("old_title"))
+    stored = stored.withColumn("source_url", F.coalesce(ul.http_url(F.col("source_url")), F.col("source_url")))
+    old = stored.groupBy("source_url").agg(F.min("feed_name").alias("feed_name"), F.min_by("title", "feed_name").alias("old_title"))
     joined = per_url.join(old, "source_url", "left")
     fillable = tx.blank_to_null(F.col("old_title")).isNull() | (F.col("old_title") == F.col("feed_name"))
     known = joined.filter(F.col("feed_name").isNotNull()).withColumn("action", F.lit("updated"))

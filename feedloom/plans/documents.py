@@ -10,6 +10,7 @@ from feedloom.operators import publish as pb
 from feedloom.operators import threads as th
 from feedloom.plans.dialect import host, strip, truncate, xml_escape
 from feedloom.plans.registry import query
+from feedloom.session import cut
 from feedloom.sources import timeline, usage_log, xml
 from feedloom.sources.tables import view
 
@@ -43,13 +44,15 @@ XML_ITEM = f"""concat('<item><title>', {xml_escape('title')}, '</title><guid>',
     ']]></content:encoded><source>', {xml_escape('source_url')}, '</source></item>')"""
 
 
-@query("publish_feed_documents", f"""
-    WITH {ITEMS}, bodies AS (SELECT feed_name, count(*) AS item_count, string_agg({XML_ITEM}, chr(10) ORDER BY rank) AS body FROM items GROUP BY 1)
-    SELECT f.feed_name, COALESCE(item_count, 0) AS item_count, sha256(concat(
+BODIES = f"""bodies AS (SELECT feed_name, count(*) AS item_count, string_agg({XML_ITEM}, chr(10) ORDER BY rank) AS body FROM items GROUP BY 1),
+    documents_now AS (SELECT f.feed_name, COALESCE(item_count, 0) AS item_count, sha256(concat(
       '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>',
       {xml_escape('title')}, ' | Reader View</title><link>', source_url, '</link><language>', CASE WHEN translate_enabled THEN 'zh-CN' ELSE 'en' END,
       '</language>', COALESCE(body, ''), '</channel></rss>')) AS xml_hash
-    FROM v_feeds f LEFT JOIN bodies b ON b.feed_name = f.feed_name""")
+    FROM v_feeds f LEFT JOIN bodies b ON b.feed_name = f.feed_name)"""
+
+
+@query("publish_feed_documents", f"WITH {ITEMS}, {BODIES} SELECT * FROM documents_now")
 def publish_feed_documents(spark, folder):
     return published(spark, folder).select("feed_name", "item_count", tx.hash_text(F.col("xml")).alias("xml_hash"))
 
@@ -65,18 +68,22 @@ def publish_outline(spark, folder):
     return pb.publish_outline(view(spark, folder, "v_feeds"), BASE)
 
 
-@query("publish_diff", """
-    SELECT feed_name, CASE WHEN k % 4 = 0 THEN 'new' ELSE 'changed' END AS state FROM (
-      SELECT feed_name, CAST(substring(feed_name, 4) AS INT) AS k FROM v_feeds) t WHERE k % 4 = 0 OR k % 4 = 1
-    UNION ALL SELECT concat('old-', feed_name), 'gone' FROM v_feeds WHERE feed_name LIKE '%3'""")
+@query("publish_diff", f"""
+    WITH {ITEMS}, {BODIES}, state AS (
+      SELECT feed_name, CASE WHEN k % 4 = 0 THEN 'new' ELSE 'changed' END AS state FROM (
+        SELECT feed_name, CAST(substring(feed_name, 4) AS INT) AS k FROM v_feeds) t WHERE k % 4 = 0 OR k % 4 = 1
+      UNION ALL SELECT concat('old-', feed_name), 'gone' FROM v_feeds WHERE feed_name LIKE '%3')
+    SELECT s.feed_name, state, item_count, xml_hash FROM state s LEFT JOIN documents_now d ON d.feed_name = s.feed_name""")
 def publish_diff(spark, folder):
-    now = published(spark, folder)
+    """The publication before lacked a quarter of the feeds, showed an older title in another, and had some that are gone."""
+    feeds = view(spark, folder, "v_feeds")
+    items = cut(published_items(spark, folder))
     k = F.substring("feed_name", 4, 9).cast("int")
-    same = now.select("feed_name", tx.hash_text(F.col("xml")).alias("hash"), k.alias("k")).filter("k % 4 <> 0")
-    manifest = same.withColumn("hash", F.when(F.col("k") % 4 == 1, F.lit("stale")).otherwise(F.col("hash"))).drop("k")
-    gone = now.filter(F.endswith("feed_name", F.lit("3"))).select(
-        F.concat(F.lit("old-"), "feed_name").alias("feed_name"), F.lit("x").alias("hash"))
-    return pb.publish_diff(now, manifest.unionByName(gone))
+    older = items.withColumn("title", F.when((k % 4 == 1) & (F.col("rank") == 1), F.lit("Older")).otherwise(F.col("title")))
+    manifest = pb.feed_digests(older, feeds).filter(k % 4 != 0)
+    gone = feeds.filter(F.endswith("feed_name", F.lit("3"))).select(F.concat(F.lit("old-"), "feed_name").alias("feed_name"), F.lit("x").alias("digest"))
+    changed = pb.publish_changed(items, feeds, manifest.unionByName(gone), BASE)
+    return changed.select("feed_name", "state", "item_count", tx.hash_text(F.col("xml")).alias("xml_hash"))
 
 
 @query("outline_paths", """

@@ -51,3 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` on reliable storage, so that later branches read the same rows after executor loss."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def files_of(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path, for any storage that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = files_of(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = files_of(spark, path)
+    files.delete(place, True)

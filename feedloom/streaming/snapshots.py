@@ -13,26 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from feedloom.session import exists, files_of, remove
+
 BUCKETS = 256
 BUCKET = "bucket"
 MANIFEST = StructType([StructField(BUCKET, IntegerType()), StructField("version", LongType())])
 
 
-def _path(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    files, place = _path(spark, path)
-    return files.exists(place)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    files, place = _path(spark, path)
-    files.delete(place, True)
-
-
 class Snapshots:
     """A table with `keys`, dealt to `buckets` by their hash. The number of buckets stays as it was at the start; it bounds what the
     driver holds of a manifest."""
@@ -94,7 +81,7 @@ class Snapshots:
 
     def latest(self) -> int:
         """Number of the last batch whose manifest is there."""
-        files, place = _path(self.spark, f"{self.out}-manifest")
+        files, place = files_of(self.spark, f"{self.out}-manifest")
         names = [status.getPath().getName() for status in files.listStatus(place)]
         return max(int(n.split("=")[1]) for n in names if n.startswith("after=") and exists(self.spark, f"{self.out}-manifest/{n}/_SUCCESS"))
 

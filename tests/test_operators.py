@@ -348,3 +348,37 @@ def test_links_of_the_page_and_others_are_judged_as_resolved(spark):
     whole = markup.ul.resolve_url(markup.decoded_value(F.col("v")), base)
     for r in df.select("b", "v", fast.alias("f"), markup.ul.url_scheme(whole).alias("scheme"), markup.ul.url_host(whole).alias("host")).collect():
         assert (r.f.scheme, r.f.host, r.f.safe) == (r.scheme, r.host, r.scheme in markup.LINK_SCHEMES), (r.b, r.v)
+
+
+def test_import_finds_stored_feeds_by_their_usual_address(spark):
+    outline = spark.createDataFrame([(0, "https://a.org/", "A", "f"), (1, "https://b.org/x", "B", "")], "pos int, source_url string, title string, folder string")
+    stored = spark.createDataFrame([("a", "HTTPS://A.org", "Old"), ("a2", "https://a.org:443/", "Old 2"), ("c", "managed://c", "C")], "feed_name string, source_url string, title string")
+    out = {r.source_url: (r.feed_name, r.action) for r in reconcile.import_feeds(outline, stored).collect()}
+    assert out["https://a.org/"] == ("a", "updated") and out["https://b.org/x"][1] == "created" and len(out) == 2
+
+
+def feed_entries(spark, data):
+    ts = lambda c: F.col(c).cast("timestamp_ntz")
+    none = F.lit(None).cast("string")
+    return spark.createDataFrame(data, "id bigint, feed_name string, source_title string, source_content_html string, p string").select(
+        "id", "feed_name", "source_title", "source_content_html", ts("p").alias("source_published_at"), ts("p").alias("refreshed_at"), none.alias("translated_title"),
+        none.alias("translated_content_html"), none.alias("extracted_content_html"), none.alias("source_author"), F.concat(F.lit("g"), "id").alias("source_guid"),
+        F.lit("https://x.org/").alias("source_url"), none.alias("translation_provider"), F.lit("ok").alias("refresh_status"))
+
+
+def test_publishing_renders_and_writes_changed_feeds_only(spark, tmp_path):
+    feeds = lambda *names: spark.createDataFrame([(n, n.upper(), "https://x.org/", False) for n in names], "feed_name string, title string, source_url string, translate_enabled boolean")
+    data = [(1, "a", "t1", "<p>1</p>", "2024-01-01 00:00:00"), (2, "a", "t2", "]]>", "2024-01-02 00:00:00"), (3, "b", "t3", "x", "2024-01-01 00:00:00")]
+    folder = str(tmp_path / "out")
+    run = lambda n, rows_, *names: sorted(rows(publish.publish_run(spark, feed_entries(spark, rows_), feeds(*names), folder, n, "https://me")))
+    text = lambda n: "\n".join(r[0] for r in spark.read.text(f"{folder}/documents/feed_name={n}").collect())
+    assert run(0, data, "a", "b", "c") == [("a", "new"), ("b", "new"), ("c", "new")]
+    first = text("b")
+    assert "t2" in text("a") and text("a").index("t2") < text("a").index("t1") and "]]]]><![CDATA[>" in text("a")
+    assert run(1, data[::-1], "a", "b", "c") == []
+    changed = [data[0], (2, "a", "t2 new", "]]>", "2024-01-02 00:00:00"), data[2]]
+    for _ in range(2):  # and once more, as after a lost driver
+        assert run(2, changed, "a", "b") == [("a", "changed"), ("c", "gone")]
+        assert "t2 new" in text("a") and text("b") == first and not (tmp_path / "out/documents/feed_name=c").exists()
+    assert run(3, [], "a", "b") == [("a", "changed"), ("b", "changed")] and "<item>" not in text("a")
+    assert sorted(rows(spark.read.parquet(f"{folder}/manifest/run=2"), "feed_name")) == [("a",), ("b",)]
