@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,10 +100,20 @@ def publish_outline(feeds: DataFrame, base_url: str, folder: str = "") -> DataFr
     return opens.unionByName(leaves).unionByName(closes)
 
 
-def write_outline(outline: DataFrame, path: str) -> None:
-    outline.orderBy("folder", "part", "created_at", "feed_name").select(F.col("line").alias("value")).write.mode(
-        "overwrite"
-    ).text(path)
+def outline_document(outline: DataFrame, title: str) -> DataFrame:
+    """(place, folder, part, created_at, feed_name, line): the rows of `publish_outline` between the head and the end of a document; they
+    sort by these columns."""
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<opml version="2.0">', f"<head><title>{escape(title)}</title></head>", "<body>"]
+    place = lambda k: F.lit(k).alias("place")
+    frame = outline.sparkSession.createDataFrame([(0, k, x) for k, x in enumerate(head)] + [(2, k, x) for k, x in enumerate(["</body>", "</opml>"])], "place int, part int, line string")
+    none = [F.lit(None).cast(t).alias(c) for c, t in outline.dtypes if c in ("folder", "created_at", "feed_name")]
+    return outline.select(place(1), "*").unionByName(frame.select("*", *none))
+
+
+def write_outline(outline: DataFrame, path: str, title: str = "Feeds") -> None:
+    """A document in the order of its part files; any number of feeds, sorted over all tasks."""
+    order = ["place", "folder", "part", "created_at", "feed_name"]
+    outline_document(outline, title).orderBy(*order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def feed_digests(items: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -97,6 +97,27 @@ def outline_paths(spark, folder):
     return pb.outline_paths(view(spark, folder, "v_outline"))
 
 
+@query("ingest_outline", """
+    SELECT r_name AS document, row_number() OVER (PARTITION BY r_name ORDER BY n_name, s_suppkey) - 1 AS pos,
+      concat('https://s', CAST(s_suppkey AS VARCHAR), '.example.org/feed.xml?a=1&b=2') AS source_url, concat(s_name, ' <"&''>') AS title,
+      CASE WHEN s_suppkey % 3 = 0 THEN concat(r_name, '/', n_name) ELSE concat(r_name, '/', n_name, '/', 'Part ', CAST(s_suppkey % 3 AS VARCHAR)) END AS folder
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def ingest_outline(spark, folder):
+    """A document per region: nations are folders, some suppliers lie one folder deeper, one in ten is nested below another feed."""
+    t = {n: view(spark, folder, n) for n in ("supplier", "nation", "region")}
+    s = t["supplier"].join(t["nation"], F.col("n_nationkey") == F.col("s_nationkey")).join(t["region"], F.col("r_regionkey") == F.col("n_regionkey"))
+    key = F.col("s_suppkey")
+    url = tx.xml_escape(F.concat(F.lit("https://s"), key.cast("string"), F.lit(".example.org/feed.xml?a=1&b=2")))
+    leaf = F.concat(F.lit("<outline type='rss' title=\""), tx.xml_escape(F.concat("s_name", F.lit(" <\"&'>"))), F.lit("\" xmlUrl='"), url, F.lit("'"))
+    leaf = F.concat(leaf, F.when(key % 10 == 0, F.lit("><!-- <outline xmlUrl='x'/> --></outline>")).otherwise(F.lit("/>")))
+    placed = F.when(key % 3 == 0, leaf).otherwise(F.concat(F.lit('<outline\ntext=" Part  '), (key % 3).cast("string"), F.lit('">'), leaf, F.lit("</outline>")))
+    nations = s.select("r_name", "n_name", "s_suppkey", placed.alias("x")).groupBy("r_name", "n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "x"))).alias("l"))
+    body = F.concat(F.lit("<outline text='"), "n_name", F.lit("' title='shown'>"), F.array_join(F.transform("l", lambda i: i["x"]), "\n"), F.lit("</outline>"))
+    regions = nations.select("r_name", "n_name", body.alias("x")).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_name", "x"))).alias("l"))
+    document = F.concat(F.lit("<opml version='2.0'><head><title>t</title></head><body><outline text='"), "r_name", F.lit("'>"), F.array_join(F.transform("l", lambda i: i["x"]), ""), F.lit("</outline></body></opml>"))
+    return xml.ingest_outline(regions.select(F.col("r_name").alias("document"), document.alias("xml")))
+
+
 @query("ingest_rss", f"""
     WITH {ITEMS} SELECT i.feed_name, concat(f.title, ' | Reader View') AS feed_title, rank - 1 AS pos, sha256(guid) AS source_guid, url AS link,
       NULLIF(trim(i.title), '') AS title, NULLIF(author, '') AS author, date AS published_at, sha256(content) AS content_hash

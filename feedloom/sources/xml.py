@@ -90,3 +90,45 @@ def ingest_news_sitemap(documents: DataFrame) -> DataFrame:
         tx.trim_space(part["news:publication"]["news:language"]).alias("metadata_language"),
         parse_date(date).alias("published_at"), date.alias("date_text"),
     )
+
+
+# An opening or closing outline element; a `>` inside quotes does not end it
+OUTLINE = r"(<outline(?:[\s/][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*){0,200})?>|</outline\s*>)"
+# The named entities of XML, the ampersand last
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, without entities; null if it is not there or blank."""
+    found = F.regexp_extract(tag, rf"\s{name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    value = tx.decode_numeric_entities(F.substring(found, F.lit(2), F.length(found) - 2))
+    for entity, character in ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return _text(value)
+
+
+def ingest_outline(documents: DataFrame) -> DataFrame:
+    """(document, pos, source_url, title, folder): the feeds of outline documents (document, xml) of any depth, in order.
+
+    The folder is the path of the elements around a feed that are no feeds themselves. Comments are left out; elements that are not closed stay
+    open to the end, and closing ones too many count for nothing. A document is folded in its row, each feed copying the list
+    before it: a document of some 100000 feeds is the practical limit."""
+    tags = F.regexp_extract_all(F.regexp_replace("xml", r"(?s)<!--.*?-->", ""), F.lit(OUTLINE), F.lit(1))
+    read = F.transform(tags, lambda t: F.struct(
+        F.startswith(t, F.lit("</")).alias("closes"), F.endswith(t, F.lit("/>")).alias("empty"), _attribute(t, "xmlUrl").alias("url"),
+        _attribute(t, "title").alias("title"), _attribute(t, "text").alias("text"),
+    ))
+    nothing = F.struct(F.array().cast("array<string>").alias("above"), F.array().cast("array<struct<source_url:string,title:string,folder:string>>").alias("feeds"))
+
+    def step(done: Column, tag: Column) -> Column:
+        name = F.when(tag["url"].isNull(), F.coalesce(tag["text"], tag["title"]))
+        above = (
+            F.when(tag["closes"], F.slice(done["above"], 1, F.greatest(F.size(done["above"]) - 1, F.lit(0))))
+            .when(tag["empty"], done["above"]).otherwise(F.array_append(done["above"], F.coalesce(name, F.lit(""))))
+        )
+        feed = F.struct(tag["url"].alias("source_url"), F.coalesce(tag["title"], tag["text"]).alias("title"), F.array_join(F.filter(done["above"], lambda a: a != ""), "/").alias("folder"))
+        feeds = F.when(~tag["closes"] & tag["url"].isNotNull(), F.array_append(done["feeds"], feed)).otherwise(done["feeds"])
+        return F.struct(above.alias("above"), feeds.alias("feeds"))
+
+    feeds = documents.select("document", F.posexplode(F.aggregate(read, nothing, step)["feeds"]).alias("pos", "f"))
+    return feeds.select("document", F.col("pos").cast("bigint").alias("pos"), "f.source_url", "f.title", ul.normalize_folder(F.col("f.folder")).alias("folder"))

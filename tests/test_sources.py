@@ -1,9 +1,10 @@
 import json
+from xml.etree import ElementTree
 
 from conftest import rows
 from pyspark.sql import functions as F
 
-from feedloom.operators import articles
+from feedloom.operators import articles, publish
 from feedloom.sources import timeline, usage_log, xml
 
 DOC = "feed_name string, source_url string, xml string"
@@ -123,3 +124,23 @@ def test_article_parts(spark):
         "id int, found array<struct<pos: int, map_index: int, logical_key: int, type: string, data: struct<url: string>>>"))
     pairs = articles.media_link_pairing(one, "id", F.col("found"))
     assert sorted(rows(pairs, "logical_key", "url")) == [(1, "a"), (7, "b")]
+
+
+def test_outlines_written_and_read_back(spark, tmp_path):
+    feeds = spark.createDataFrame(
+        [(f"f{k:03}", f"https://x{k}.org/?a=1&b", ["", "News", "News/Local & <far>"][k % 3], f'T "{k}"' if k % 4 else "") for k in range(60)],
+        "feed_name string, source_url string, folder string, title string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    publish.write_outline(publish.publish_outline(feeds, "https://me"), str(tmp_path / "o"), "Mine & yours")
+    text = "\n".join(f.read_text().rstrip("\n") for f in sorted((tmp_path / "o").glob("part-*")) if f.stat().st_size)
+    tree = ElementTree.fromstring(text.encode())  # a whole document
+    assert tree.find("head/title").text == "Mine & yours" and len(tree.findall(".//outline[@xmlUrl]")) == 60
+    back = xml.ingest_outline(spark.createDataFrame([("d", text)], "document string, xml string"))
+    want = sorted((f"https://me/feeds/{r.feed_name}.xml", r.title or r.feed_name, r.folder) for r in feeds.collect())
+    assert sorted(rows(back, "source_url", "title", "folder")) == want
+
+
+def test_outlines_of_any_shape(spark):
+    docs = [("deep", "<outline text='a'>" * 30 + "<outline xmlUrl='u' text='x'/>" + "</outline>" * 30), ("loose", "</outline><outline text='a'><outline xmlUrl='1'>"
+            "<outline xmlUrl=\"2>\" title='&#65;&amp;lt;'/></outline><outline text='e'/><outline xmlUrl=' '/><outline xmlUrl='3'/>"), ("none", "<opml/>"), ("null", None), ("other", "<outlines xmlUrl='x'/>")]
+    out = rows(xml.ingest_outline(spark.createDataFrame(docs, "document string, xml string")), "document", "pos", "source_url", "title", "folder")
+    assert sorted(out) == [("deep", 0, "u", "x", "/".join("a" * 30)), ("loose", 0, "1", None, "a"), ("loose", 1, "2>", "A&lt;", "a"), ("loose", 2, "3", None, "a")]
