@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
 from feedloom.operators.matching import match_rules, rule_value
-from feedloom.operators.ordered import nearest_rank
+from feedloom.operators.quantiles import nearest_rank_of
 from feedloom.session import cut
 
 MIN_EMBEDDED_CHARS = 280
@@ -171,10 +171,14 @@ def reading_rows(items: DataFrame, text: str) -> DataFrame:
 
 
 def reading_stats(items: DataFrame, text: str, source: str) -> DataFrame:
-    rows = cut(reading_rows(items.select(source, text), text))  # a few numbers per text, read twice below
-    ranks = nearest_rank(rows.select(source, "words"), [source], "words", {"words_p50": 0.5, "words_p95": 0.95})
-    sums = rows.groupBy(source).agg(
-        F.count(F.lit(1)).alias("items"), F.sum("chars").alias("chars"), F.sum("minutes").alias("minutes"),
-        F.sum("words").alias("words"),
+    """Items, characters, minutes and words per source, with the median and 95th percentile of words: texts are read once, into counts per source and
+    number of words."""
+    folded = cut(reading_rows(items.select(source, text), text).groupBy(source, "words").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("minutes").alias("minutes")
+    ))
+    ranks = nearest_rank_of(folded.filter("words IS NOT NULL"), [source], "words", "n", {"words_p50": 0.5, "words_p95": 0.95})
+    sums = folded.groupBy(source).agg(
+        F.sum("n").alias("items"), F.sum("chars").alias("chars"), F.sum("minutes").alias("minutes"), F.sum(F.col("words") * F.col("n")).alias("words"),
     )
-    return sums.join(ranks, source)
+    same = F.col(source).eqNullSafe(F.col("_source"))
+    return sums.join(ranks.withColumnRenamed(source, "_source"), same, "left").drop("_source")

@@ -122,26 +122,3 @@ def previous(
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
     """`row_number` over (keys, order) without one task per key."""
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, parts=parts)
-
-
-def nearest_rank(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], parts: int | None = None
-) -> DataFrame:
-    """Exact nearest-rank quantiles: the value at position ceil(n * q) of each key's sorted values.
-
-    Equal values are counted first, so only distinct values are ordered, and their running counts never need
-    all values of a key in one task.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running(counts, keys, [value], {"_upto": ("sum", F.col("_n"))}, parts=parts)
-    totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
-    renamed = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = upto.join(renamed, same).select(*upto.columns, "_total")
-    picks = [
-        F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_total") * F.lit(q)), F.lit(1)), F.col(value))).alias(name)
-        for name, q in quantiles.items()
-    ]
-    return ranked.groupBy(*keys).agg(*picks)

@@ -66,15 +66,16 @@ def distinct_first_seen(spark, folder):
     WITH last AS (SELECT concat('u', CAST(user_id % 50 AS VARCHAR), '.example.org') AS domain, event_type AS name,
         min(event_id) AS place, arg_max(CASE WHEN event_id % 4 = 0 THEN '' ELSE json_extract_string(props, '$.k') END, event_id) AS value
       FROM events GROUP BY 1, 2)
-    SELECT domain, string_agg(concat(name, '=', value), '; ' ORDER BY place) AS header, count(*) AS cookies
-    FROM last WHERE value <> '' GROUP BY domain""")
+    SELECT domain, piece, string_agg(concat(name, '=', value), '; ' ORDER BY place) AS header, count(*) AS cookies, max(pieces) AS pieces
+    FROM (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY place, name) - 1) // 3 AS piece, (count(*) OVER (PARTITION BY domain) + 2) // 3 AS pieces
+      FROM last WHERE value <> '') t GROUP BY domain, piece""")
 def browser_cookie_group(spark, folder):
     value = F.when(F.col("event_id") % 4 != 0, F.get_json_object("props", "$.k"))
     cookies = view(spark, folder, "events").select(
         F.concat(F.lit(" .U"), F.col("user_id") % 50, F.lit(".Example.org")).alias("domain"),
         F.concat(F.col("event_type"), F.lit(" ")).alias("name"), value.alias("value"), F.col("event_id").alias("pos"),
     )
-    return rollups.cookie_headers(cookies)
+    return rollups.cookie_headers(cookies, most=3)
 
 
 @query("retry_schedule", """

@@ -159,7 +159,7 @@ def test_version_check(spark):
 def test_cookies(spark):
     data = [(".E.org", "a", "1", 1), ("e.org", "b", "2", 2), ("e.org", "a", " 3 ", 3), ("e.org", "c", "", 4), ("e.org", "b", None, 5), ("", "x", "1", 6)]
     out = rollups.cookie_headers(spark.createDataFrame(data, "domain string, name string, value string, pos int"))
-    assert rows(out) == [("e.org", "a=3", 1)]
+    assert rows(out, "domain", "header", "cookies", "piece", "pieces") == [("e.org", "a=3", 1, 0, 1)]
 
 
 def markdown(spark, text, budget):
@@ -382,3 +382,10 @@ def test_publishing_renders_and_writes_changed_feeds_only(spark, tmp_path):
         assert "t2 new" in text("a") and text("b") == first and not (tmp_path / "out/documents/feed_name=c").exists()
     assert run(3, [], "a", "b") == [("a", "changed"), ("b", "changed")] and "<item>" not in text("a")
     assert sorted(rows(spark.read.parquet(f"{folder}/manifest/run=2"), "feed_name")) == [("a",), ("b",)]
+
+
+def test_a_domain_with_many_cookies_is_written_in_pieces(spark):
+    many = spark.range(5000).select(F.lit("Big.org").alias("domain"), F.concat(F.lit("n"), F.col("id") % 2500).alias("name"), F.col("id").cast("string").alias("value"), F.col("id").alias("pos"))
+    out = rows(rollups.cookie_headers(many, most=100), "piece", "header", "cookies", "pieces")
+    assert len(out) == 25 and all(r[2:] == (100, 25) for r in out)
+    assert "; ".join(r[1] for r in sorted(out)) == "; ".join(f"n{k}={k + 2500}" for k in range(2500))

@@ -1,5 +1,6 @@
 """Keys that span many range partitions must give the results of a plain loop."""
 
+import math
 import random
 from types import SimpleNamespace
 
@@ -8,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from feedloom.operators import circuits, limits, ordered
+from feedloom.operators import circuits, limits, ordered, quantiles
 
 
 def log(seed, n=1500, hot=0.7):
@@ -60,19 +61,26 @@ def test_previous_and_numbered(data, parts):
     assert {i: (before[i], number[i]) for i in want} == want
 
 
-@pytest.mark.parametrize("parts", [1, 11])
-def test_nearest_rank(data, parts):
+def test_nearest_rank(spark, data):
     plain, df = data
+    big = [("w", 0, 0, "x", v) for v in (-(2**63), 2**63 - 1, 0, -1, 1, -5, 2**40, 2**40 + 1, 2**40 + 2**12, -(2**50) - 3, -(2**50), None, 16383, 16384, 16385, 2**30, 2**46 - 1, 2**46)]
+    rnd = random.Random(4)
+    big += [("r", 0, 0, "x", rnd.choice([1, -1]) * rnd.getrandbits(rnd.randrange(1, 63))) for _ in range(3000)] + [(None, 0, 0, "x", 7), ("none", 0, 0, "x", None)]
+    both = df.unionByName(spark.createDataFrame(big, df.schema))
     by_key = {}
-    for key, _, _, _, v in plain:
-        by_key.setdefault(key, []).append(v)
-    got = {k: (a, b) for k, a, b in rows(ordered.nearest_rank(df, ["key"], "v", {"a": 0.5, "b": 0.95}, parts), "key", "a", "b")}
+    for key, _, _, _, v in [*plain, *big]:
+        if v is not None:
+            by_key.setdefault(key, []).append(v)
+    wanted = {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0, "e": 0.05}
+    got = {r[0]: tuple(r[1:]) for r in rows(quantiles.nearest_rank(both, ["key"], "v", wanted), "key", *wanted)}
 
     def rank(vs, q):
         vs = sorted(vs)
-        return vs[max(-(-len(vs) * q // 1), 1).__int__() - 1]
+        return vs[max(math.ceil(len(vs) * q), 1) - 1]
 
-    assert got == {k: (rank(vs, 0.5), rank(vs, 0.95)) for k, vs in by_key.items()}
+    assert got == {k: tuple(rank(vs, q) for q in wanted.values()) for k, vs in by_key.items()}
+    short = quantiles.nearest_rank(df.withColumn("v", F.col("v").cast("int") * 20_000_000), ["key"], "v", {"a": 0.5})
+    assert dict(rows(short, "key", "a")) == {k: 20_000_000 * rank(vs, 0.5) for k, vs in by_key.items() if k in {p[0] for p in plain}}
 
 
 def expected_windows(plain, span, limit):
