@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from feedloom.session import fresh_folder
 
+BROADCAST_ROWS = 20_000
+BROADCAST_CHARS = 2_000_000
+
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again; lineage ends there."""
@@ -42,13 +45,18 @@ def quoted(name: str) -> Column:
 
 
 def spread_join(rows: DataFrame, few: DataFrame, key: str, by: Column, how: str = "left", parts: int = 16) -> DataFrame:
-    """Join where one key may hold a third of `rows`: each key of `few`, one row per key, stands `parts` times, and `by` deals the rows out to these.
+    """Join of `rows`, where one key may hold a third of them, with a stored table `few`, one row per key.
 
-    The value of `by` only decides where a row meets its partner. Null keys meet each other. Besides `key`, `few` must not share names with `rows`.
+    A table of at most BROADCAST_ROWS rows and BROADCAST_CHARS characters of keys, both counted here, is broadcast. Of a larger one each key stands
+    `parts` times, and `by` deals the rows out to these; its value only decides where a row meets its partner. Null keys meet each
+    other. Besides `key`, `few` must not share names with `rows`.
     """
     salt, part, same = (free_name(rows, n) for n in ("salt_of_row", "part_of_key", "key_again"))
+    others = [quoted(c) for c in few.columns if c != key]
+    size = few.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(quoted(key).cast("string"))), F.lit(0)).alias("chars")).first()
+    if size.n <= BROADCAST_ROWS and size.chars <= BROADCAST_CHARS:
+        right = F.broadcast(few.select(quoted(key).alias(same), *others))
+        return rows.join(right, quoted(key).eqNullSafe(F.col(same)), how).drop(same)
     left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
-    right = few.select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(part), quoted(key).alias(same), *[quoted(c) for c in few.columns if c != key],
-    )
-    return left.join(right, (F.col(salt) == F.col(part)) & quoted(key).eqNullSafe(F.col(same)), how).drop(salt, part, same)
+    right = few.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(part), quoted(key).alias(same), *others)
+    return left.join(right.hint("merge"), (F.col(salt) == F.col(part)) & quoted(key).eqNullSafe(F.col(same)), how).drop(salt, part, same)

@@ -13,11 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.bloom import block_count, blocked_filter, possible
 from feedloom.llm.storage import free_name, quoted, saved, spread_join
 
-WORDS = 8
-KEYS_PER_BLOCK = 32
-MOST_BLOCKS = 1 << 18  # of 64 bytes
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Parameters that name a campaign or a click, not a page
 TRACKING = "utm_[^=]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid"
@@ -58,30 +56,6 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, F.when(path == "", "/").otherwise(path), query))
 
 
-def _bits(key: Column) -> list[Column]:
-    """One bit for each word of a key's block."""
-    digest = F.xxhash64(F.lit("bits"), key)
-    return [F.shiftrightunsigned(digest, 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(WORDS)]
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)).cast("int")
-
-
-def blocked_filter(keys: DataFrame, blocks: int, key: str = "key") -> DataFrame:
-    """(block, w0 .. w7) of the blocks that hold a key; `keys` are combined before they are shuffled."""
-    words = [F.bit_or(F.expr("shiftleft(1L, b[%d])" % k)).alias(f"w{k}") for k in range(WORDS)]
-    return keys.select(_block(quoted(key), blocks).alias("block"), F.array(*_bits(quoted(key))).alias("b")).groupBy("block").agg(*words)
-
-
-def possible(rows: DataFrame, bloom: DataFrame, blocks: int, key: str = "key") -> DataFrame:
-    """The rows whose key may be in the filter: all that are, and few others."""
-    tested = rows.withColumn("block", _block(quoted(key), blocks)).join(F.broadcast(bloom), "block")
-    for k, bit in enumerate(_bits(quoted(key))):
-        tested = tested.filter(F.getbit(F.col(f"w{k}"), bit) == 1)
-    return tested.select(*rows.columns)
-
-
 def _rule_key(host: Column, path: Column) -> Column:
     return F.concat(F.lit("rule "), host, F.lit(" "), path)
 
@@ -123,7 +97,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: DataFrame, url: str =
         ), "url_keys",
     )
     shape = rule_keys.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
-    blocks = max(1, min(MOST_BLOCKS, -(-keys.count() // KEYS_PER_BLOCK)))
+    blocks = block_count(keys.count())
 
     urls = saved(pages.select(quoted(url).alias("url")).filter("url IS NOT NULL").distinct(), "urls")
     parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

@@ -1,10 +1,12 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import url_filter
-from feedloom.llm.url_filter import blocked_filter, canonical_url, judge_urls, op12, possible, rule_table
+from feedloom.llm import bloom, storage, url_filter
+from feedloom.llm.bloom import blocked_filter, possible
+from feedloom.llm.url_filter import canonical_url, judge_urls, op12, rule_table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -46,7 +48,9 @@ def urls():
     return made + [None, "", "no scheme", "mailto:a@b.c", "http:/x.org/", "://", "a://b://c/en/", "http://" + "s." * 3000 + "net/es/" + "x" * 50000] + ["https://b.net/es/1"] * 300
 
 
-def test_verdicts_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_verdicts_are_those_of_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", most)
     given = urls()
     listed = [u for k, u in enumerate(given) if k % 3 == 0] + [None, None]
     known = {form(u) for u in listed} - {None}
@@ -65,16 +69,16 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
     """The largest size reached: nearly every key passes, and the exact join still decides."""
     pages = spark.createDataFrame([(k, f"http://h{k % 50}.org/{k}") for k in range(3000)], "page_id long, url string")
     listed = pages.filter("page_id % 2 = 0").select("url")
-    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(bloom, "MOST_BLOCKS", 2)
     out = judge_urls(pages, listed, rule_table(spark)).collect()
     assert len(out) == 3000 and all(r.verdict == ("block" if r.page_id % 2 == 0 else "allow") for r in out)
 
 
 def test_filter_passes_all_listed_and_few_others(spark):
     keys = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
-    blocks = 20000 // url_filter.KEYS_PER_BLOCK
-    bloom = blocked_filter(keys.filter("key < 'k2'"), blocks)
-    kept = {r.key for r in possible(keys, bloom, blocks).collect()}
+    blocks = 20000 // bloom.KEYS_PER_BLOCK
+    made = blocked_filter(keys.filter("key < 'k2'"), blocks)
+    kept = {r.key for r in possible(keys, made, blocks).collect()}
     inside = {r.key for r in keys.filter("key < 'k2'").collect()}
     assert inside <= kept
     assert len(kept - inside) < 0.02 * (20000 - len(inside))
