@@ -12,9 +12,11 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ END = 1
 FAN_IN = 16
 CHUNK = 200_000
 CACHE = 600_000
+MARK = r"[!-&(-/:-@\[-`{-~]"  # an ASCII mark other than the apostrophe
 MOVES = [(n, pa.int64()) for n in ("owner", "bin", "to_owner", "to_bin", "shift", "fill")] + [("travels", pa.bool_())]
-_CACHES: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_CACHES: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
 def vocabulary() -> str:
@@ -35,7 +38,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str) -> tuple[object, dict[bytes, bytes]]:
+def _tokenizer(path: str) -> tuple[object, dict[str, bytes]]:
     """The tokenizer of this worker and what it has made of words so far (about CACHE of them at most)."""
     if path not in _CACHES:
         import os
@@ -43,31 +46,77 @@ def _tokenizer(path: str) -> tuple[object, dict[bytes, bytes]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _CACHES[path] = (made, {})
+        _CACHES[path] = (Tokenizer.from_file(path), {})
     return _CACHES[path]
 
 
-def token_bytes(texts: list[str | None], path: str, end: int = END) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, followed by `end`.
-
-    The vocabulary lower-cases, drops white space and never merges across it, so a text's ids are those of its
-    parts between ASCII white space, one after the other; each different part is tokenised once.
-    """
+def _piece_ids(pieces: list[str], path: str) -> list[bytes]:
+    """Ids of each of these different pieces; the worker remembers about CACHE of them."""
     tokenizer, known = _tokenizer(path)
-    parts = [(t or "").encode().lower().split() for t in texts]
-    new = list({p for words in parts for p in words if p not in known})
-    fresh: dict[bytes, bytes] = {}
+    found = list(map(known.get, pieces))
+    new = [k for k, ids in enumerate(found) if ids is None]
     for at in range(0, len(new), 20_000):
         some = new[at:at + 20_000]
-        found = tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False)
-        fresh.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
-    last = np.array([end], "<u4").tobytes()
+        made = [e.ids for e in tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, made)]) * 4
+        raw = np.fromiter(chain.from_iterable(made), "<u4", ends[-1] // 4).tobytes()
+        for k, low, high in zip(some, ends.tolist(), ends[1:].tolist()):
+            found[k] = raw[low:high]
     if len(known) < CACHE:
-        known.update(fresh)
-        return [b"".join(map(known.__getitem__, words)) + last for words in parts]
-    return [b"".join([known[p] if p in known else fresh[p] for p in words]) + last for words in parts]
+        known.update((pieces[k], found[k]) for k in new)
+    return found
+
+
+def _gathered(ids: np.ndarray, begin: np.ndarray, which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of sequences of items, and where each sequence begins: item k has ids[begin[k]:begin[k + 1]], sequence j the items which[bounds[j]:bounds[j + 1]]."""
+    sizes = np.diff(begin)[which]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(begin[which] - upto[:-1], sizes) + np.arange(upto[-1])], upto[bounds]
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different parts of texts between ASCII white space, the parts of each text by number, and where each text's parts begin."""
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = lists.offsets.to_numpy()
+    parts = lists.flatten().dictionary_encode()
+    return parts.dictionary, parts.indices.to_numpy(), bounds - bounds[0]
+
+
+def _slices(texts: list[str], size: int = 4_000_000) -> Iterator[list[str]]:
+    """Neighbouring texts of about `size` characters together, one at least."""
+    held, total = [], 0
+    for text in texts:
+        if held and total + len(text) > size:
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    if held:
+        yield held
+
+
+def token_bytes(texts: list[str | None], path: str, end: int = END) -> list[bytes]:
+    """Little-endian 32-bit ids of each text, followed by `end`.
+
+    The vocabulary lower-cases, drops white space and never merges across it or across the border of a letter and a mark, so a text's ids are
+    those of its words between ASCII white space, and a word's those of its pieces between ASCII letters and marks (the apostrophe aside, as it
+    begins endings). Each different piece is tokenised once. A word that may hold a special token is one piece and
+    keeps its case, as special tokens are found by case before anything else.
+    """
+    last, out = np.array([end], "<u4").tobytes(), []
+    for some in _slices([t or "" for t in texts]):
+        words, in_text, text_bounds = _split(pa.array(some, pa.large_string()))
+        low = pc.ascii_lower(words)
+        for border in (f"([a-z])({MARK})", f"({MARK})([a-z])"):
+            low = pc.replace_substring_regex(low, border, r"\1 \2")
+        pieces, in_word, word_bounds = _split(pc.if_else(pc.match_substring(words, "<|"), words, low))
+        made = _piece_ids(pieces.to_pylist(), path)
+        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)])
+        ids, begin = _gathered(np.frombuffer(b"".join(made), "<u4"), begin, in_word, word_bounds)
+        ids, begin = _gathered(ids, begin, in_text, text_bounds)
+        data, ends = ids.tobytes(), (4 * begin).tolist()
+        out += [data[a:b] + last for a, b in zip(ends, ends[1:])]
+    return out
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

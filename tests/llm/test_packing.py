@@ -11,11 +11,11 @@ from llm_help import make, prose  # noqa: F401
 
 def ids(text):
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-TEXTS = [None, "", "One, two\x1cthree four 's 'S don't", "été İstanbul ΣΣ", "<|endoftext|> x", prose(1, 9000), "a\tb\x0bc\x85d", "你好 123 4"]
+TEXTS = [None, "", "One, two\x1cthree four 's 'S don't", "été İstanbul ΣΣ", "<|endoftext|> x", prose(1, 9000), "a\tb\x0bc\x85d", "你好 123 4",
+         "x<|startoftext|>Y<|ENDOFTEXT|>z <|EndOfText|> <|", "(a.b),c's!'t we'LL 'rest' a--b__c É́. ß.ﬁ; x1.5y", "don't.DON'T,\x00a\u3000b. <|endoftext|><|endoftext|>."]
 
 
 def test_token_bytes_are_those_of_the_tokenizer():
