@@ -8,8 +8,8 @@ whatever place it begins: up to UNIT_WORDS words to the first shared cut, MIN_WO
 sentence's end), and WINDOW until that cut is sure. Runs are joined by their hashes over all documents, and units covered
 by a run that also stands earlier are removed.
 
-Runs that occur once are told by their counts first, which are added up before the shuffle; only repeated ones travel
-with their places. A run that stands in a third of all documents is one row of the table of first places, and the join
+Runs that occur once are told by their counts first, which are added up before the shuffle; a Bloom filter of the repeated ones, of bounded size, then keeps
+nearly all others from travelling with their places. A run that stands in a third of all documents is one row of the table of first places, and the join
 with it has nothing above that needs its rows together, so adaptive execution splits it.
 """
 
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.bloom import block_count, blocked_filter, possible
 from feedloom.llm.storage import free_name, quoted, saved
 
 MIN_WORDS = 30
@@ -102,7 +103,9 @@ def repeated_spans(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str
     counts = arrays.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
     often = saved(counts.filter("n > 1").select("h1"), "often")  # the shuffle of all hashes is removed before the next
     spans = arrays.select("row", "doc_id", F.explode(F.arrays_zip("start", "end", "h1", "h2")).alias("s")).select("row", "doc_id", "s.*")
-    hits = saved(spans.join(often, "h1"), "repeated")
+    blocks = block_count(often.count())
+    likely = possible(spans, blocked_filter(often, blocks, "h1"), blocks, "h1")  # so that runs that occur once are not shuffled
+    hits = saved(likely.join(often, "h1"), "repeated")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "end")
     firsts = hits.groupBy("h1", "h2").agg(F.min(order).alias("first")).select(
         "h1", "h2", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.end").alias("first_end"))
