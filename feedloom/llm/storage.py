@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.session import fresh_folder
+from feedloom.session import fresh_folder, remove
 
 BROADCAST_ROWS = 20_000
 BROADCAST_CHARS = 2_000_000
@@ -21,6 +21,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more, once what was made of them is stored."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            remove(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps: it does so once the driver has collected its garbage."""
     gc.collect()

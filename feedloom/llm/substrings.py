@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.bloom import block_count, blocked_filter, possible
-from feedloom.llm.storage import free_name, quoted, saved
+from feedloom.llm.storage import discard, free_name, quoted, saved
 
 MIN_WORDS = 30
 UNIT_WORDS = 10
@@ -106,6 +106,7 @@ def repeated_spans(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str
     blocks = block_count(often.count())
     likely = possible(spans, blocked_filter(often, blocks, "h1"), blocks, "h1")  # so that runs that occur once are not shuffled
     hits = saved(likely.join(often, "h1"), "repeated")
+    discard(arrays, often)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "end")
     firsts = hits.groupBy("h1", "h2").agg(F.min(order).alias("first")).select(
         "h1", "h2", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.end").alias("first_end"))
