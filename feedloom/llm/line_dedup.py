@@ -6,9 +6,13 @@ their minima over all shingles, so lines of any two lengths are compared by the
 are one row from the start (pre-aggregated before the shuffle), so a line's frequency never matters.
 
 Lines that share a band are candidates. Each meets the first line of its bucket; after that only lines that are not
-connected yet have to meet, so a large group of copies needs little more. In a small bucket the unconnected lines meet all
-others; in a large one they become pivots, eight times as many in each round, that meet all others, until each line is
-connected to the first or was a pivot. No bucket is capped. Links are pairs with an exact Jaccard similarity of 0.8 or more.
+connected yet have to meet, so a large group of copies needs little more. In a bucket of at most SMALL_BUCKET lines they meet
+all others. In a larger one they meet over rare shingles: a line of n shingles stands under its first n - ceil(0.8 n) + 1 ones,
+those first that the bucket's lines do not share, and two lines whose similarity is 0.8 or more have one of these in common, at
+places that leave room for their overlap. Which shingles are shared is told by SAMPLE lines of the bucket; any order
+finds the same links, so the sample only decides how many other pairs are met. No bucket is capped. Lines under one shingle first
+meet its first line, then the first that is not connected to that one, then all that are still unconnected. Links are pairs with
+an exact Jaccard similarity of 0.8 or more.
 
 Each line has a sketch of 64 * SKETCH bits, one set by each shingle. Bits that differ are at most as many as shingles that
 differ, so a pair with too many of them is below the threshold for certain; the others are compared by their sets.
@@ -18,19 +22,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
-from feedloom.llm.storage import free_name, quoted, saved
+from feedloom.llm.storage import discard, free_name, quoted, saved
 
 SHINGLE = 8
 BANDS = 7
 ROWS = 3
 SIMILARITY = 0.8
 SMALL_BUCKET = 16
-GROWTH = 8
-SKETCH = 4
+SAMPLE = 16
+SKETCH = 16
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -118,12 +122,60 @@ def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame
     return both.filter(_bound(sizes, lambda n: n["common"] >= SIMILARITY * (n["both"] - n["common"]))).select("a", "b")
 
 
-def _unconnected(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (band, id, n) with their component `root`, and those that are not in that of their bucket's first line."""
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """`members`, stored, with the component `root` of their id."""
     roots = components(links, "a", "b").select(F.col("node").alias("id"), "root")
-    placed = saved(members.join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
-    first = placed.groupBy("band").agg(F.min_by("root", "id").alias("first_root"))
-    return placed, saved(placed.join(first, "band").filter("root <> first_root").drop("first_root"), "left")
+    named = members.drop("root").join(roots, "id", "left")
+    return saved(named.withColumn("root", F.coalesce("root", "id")), "placed")
+
+
+def _rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, id, root, h, left, size): each line under its first shingles; `left` of its `size` shingles stand from h on."""
+    by_chance = Window.partitionBy("band").orderBy(F.xxhash64("id", "band"), "id")
+    drawn = members.select("band", "id", F.row_number().over(by_chance).alias("k")).filter(F.col("k") <= SAMPLE)
+    told = drawn.join(texts, "id").select("band", F.explode(shingle_set(F.col("line"))).alias("h"))
+    common = told.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    common = common.groupBy("band").agg(F.collect_list("h").alias("common"))  # shingles of SAMPLE lines
+    sets = members.select("band", "id", "root").join(common, "band", "left").join(texts, "id").select(
+        "band", "id", "root", F.coalesce("common", F.expr("cast(array() as array<bigint>)")).alias("common"),
+        shingle_set(F.col("line")).alias("set"))
+    order = _bound(F.struct("set", "common"), lambda s: F.concat(
+        F.sort_array(F.array_except(s["set"], s["common"])), F.sort_array(F.array_intersect(s["set"], s["common"]))))
+    size = F.size("ordered")
+    first = F.slice("ordered", 1, (size - F.ceil(SIMILARITY * size - 1e-6) + 1).cast("int"))
+    return sets.select("band", "id", "root", order.alias("ordered")).select(
+        "band", "id", "root", size.alias("size"), F.posexplode(first).alias("pos", "h")).select(
+        "band", "id", "root", "h", (F.col("size") - F.col("pos")).alias("left"), "size")
+
+
+def _room(left: Column, size: Column, other_left: Column, other_size: Column) -> Column:
+    """Whether two lines may be similar whose first common shingle leaves so many to each."""
+    return F.least(left, other_left) >= SIMILARITY / (1 + SIMILARITY) * (size + other_size) - 1e-6
+
+
+def _pairs(met: DataFrame, x: str = "id", y: str = "other") -> DataFrame:
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _with_first(under: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of unconnected lines of `rows` and the first line of `under` with the same shingle."""
+    first = under.groupBy("band", "h").agg(F.min(F.struct("id", "root", "left", "size")).alias("first"))
+    met = rows.join(first, ["band", "h"]).filter(F.col("root") != F.col("first.root"))
+    met = met.filter(_room(F.col("left"), F.col("size"), F.col("first.left"), F.col("first.size")))
+    return _pairs(met.select("id", F.col("first.id").alias("other")))
+
+
+def _apart(under: DataFrame) -> DataFrame:
+    """Rows that are not connected to the first line under their shingle."""
+    first = under.groupBy("band", "h").agg(F.min_by("root", "id").alias("first_root"))
+    return under.join(first, ["band", "h"]).filter("root <> first_root").drop("first_root")
+
+
+def _all_unconnected(under: DataFrame) -> DataFrame:
+    """Pairs of lines of different components under one shingle."""
+    other = under.select("band", "h", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "left", "size")])
+    both = under.join(other, ["band", "h"]).filter((F.col("id") < F.col("id_2")) & (F.col("root") != F.col("root_2")))
+    return _pairs(both.filter(_room(F.col("left"), F.col("size"), F.col("left_2"), F.col("size_2"))), "id", "id_2")
 
 
 def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -136,31 +188,35 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     texts = _lines(docs, text).join(wanted, ["h1", "h2"]).select("id", "line")
     texts = saved(texts.groupBy("id").agg(F.max("line").alias("line")), "texts")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        return saved(_verified(pairs, lines, texts), "links")
+
     # every member meets the first of its bucket; lines of one component need not meet each other
-    first = members.groupBy("band").agg(F.min("id").alias("pivot"))
-    met = members.join(first, "band").filter("id <> pivot")
-    links = saved(_verified(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), lines, texts), "links")
-    placed, left = _unconnected(members.filter("n > 2"), links)
-
-    small = left.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("x"), F.col("root").alias("root_x"))
-    other = placed.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("y"), F.col("root").alias("root_y"))
-    both = small.join(other, "band").filter("root_x <> root_y")
-    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(saved(_verified(pairs, lines, texts), "links"))
-
-    large = members.filter(F.col("n") > SMALL_BUCKET)
-    left, turn = left.filter(F.col("n") > SMALL_BUCKET), 0
-    while not left.isEmpty():
-        few = F.greatest(F.floor(F.col("n") / GROWTH ** (turn + 1)), F.lit(1))
-        drawn = left.filter(F.pmod(F.xxhash64("id", "band"), few) == 0).select("band", "id")
-        chosen = saved(drawn.unionByName(left.groupBy("band").agg(F.min("id").alias("id"))).distinct(), "pivots")
-        pivots = chosen.join(placed, ["band", "id"]).select("band", F.col("id").alias("pivot"), F.col("root").alias("root_p"))
-        met = placed.filter(F.col("n") > SMALL_BUCKET).join(pivots, "band").filter("root <> root_p")
-        tried = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = links.unionByName(saved(_verified(tried, lines, texts), "links"))
-        placed, again = _unconnected(large, links)
-        left = saved(again.join(left.join(chosen, ["band", "id"], "left_anti").select("band", "id"), ["band", "id"]).select(*again.columns), "left")
-        turn += 1
+    first = members.groupBy("band").agg(F.min("id").alias("other"))
+    links = verified(_pairs(members.join(first, "band").filter("id <> other")))
+
+    placed = _rooted(members.filter("n > 2"), links)
+    discard(members)
+    first = placed.groupBy("band").agg(F.min_by("root", "id").alias("first_root"))
+    left = saved(placed.join(first, "band").filter("root <> first_root").drop("first_root"), "left")
+    small = left.filter(F.col("n") <= SMALL_BUCKET).select("band", "id", "root")
+    other = placed.filter(F.col("n") <= SMALL_BUCKET).select("band", F.col("id").alias("other"), F.col("root").alias("root_2"))
+    pairs = _pairs(small.join(other, "band").filter("root <> root_2"))
+    large = left.filter(F.col("n") > SMALL_BUCKET).select("band").distinct()
+    under = saved(_rare_shingles(placed.join(large, "band", "left_semi"), texts), "under")
+    several = under.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = saved(under.join(several, ["band", "h"], "left_semi"), "shared")
+    discard(under)
+
+    links = links.unionByName(verified(pairs.unionByName(_with_first(shared, shared)).distinct()))
+    discard(placed, left)
+    for step in (lambda rows: _with_first(_apart(rows), rows), _all_unconnected):
+        rows = _rooted(shared, links)
+        several = rows.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        still = saved(rows.join(several, ["band", "h"], "left_semi"), "shared")
+        discard(rows, shared)
+        shared, links = still, links.unionByName(verified(step(still)))
+    discard(shared, texts)
     return lines, links
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from feedloom.llm import line_dedup
 from feedloom.llm.line_dedup import SHINGLE, drop_duplicate_lines, duplicate_lines, line_links
 from llm_help import classes, make, prose  # noqa: F401
 
@@ -73,11 +74,34 @@ def test_large_bucket_of_variants(make):
     assert all(out[k] == t for k, t in rows[120:])
 
 
-def test_links_hold_every_candidate_above_the_threshold(make):
+def test_links_are_pairs_above_the_threshold(make):
     rows = corpus()
     lines, links = line_links(make(rows), "text")
-    assert lines.count() == len({line for _, t in rows for line in (t or "").split("\n") if line.strip(" ")})
-    assert links.filter("a = b").count() == 0
+    texts = {line for _, t in rows for line in (t or "").split("\n") if line.strip(" ")}
+    assert lines.count() == len(texts)
+    hashed = make(list(enumerate(sorted(texts)))).select("text", *line_dedup._hashes(F.col("text")))
+    named = {r.id: r.text for r in lines.join(hashed, ["h1", "h2"]).collect()}
+    found = {(named[r.a], named[r.b]) for r in links.collect()}
+    assert found and all(a != b and similar(a, b) for a, b in found)
+
+
+def test_large_bucket_of_unlike_lines_is_no_all_pairs(make, monkeypatch):
+    """500 lines that share half of their text, and near copies of some of them: few pairs are met, no link is lost."""
+    r = random.Random(4)
+    shared = prose(900, 200, 200)[:160]
+    lines = [shared + " " + "".join(r.choice("abcdefghijklmnop ") for _ in range(110)) for _ in range(500)]
+    lines += [changed(line, r, 1) for line in lines[:500:10]]
+    rows = [(k, line) for k, line in enumerate(lines)]
+    tried, verify = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verify(pairs, *rest))
+    lines_, _ = line_links(make(rows), "text")
+    sizes = lines_.select(F.explode("bands").alias("band")).groupBy("band").count().agg(F.max("count")).first()[0]
+    assert sizes > 4 * line_dedup.SMALL_BUCKET
+    met = sum(tried)
+    found = duplicate_lines(make(rows).coalesce(1)).collect()
+    assert {(x.row, pos) for x in found for pos in x.removed} == brute(rows)
+    assert sum(len(x.removed) for x in found) == 50
+    assert met < 20 * len(rows)
 
 
 def test_texts_keep_columns_blank_lines_and_order(make):
