@@ -8,8 +8,8 @@ are one row from the start (pre-aggregated before the shuffle), so a line's freq
 Lines that share a band are candidates. Each meets the first line of its bucket; after that only lines that are not
 connected yet have to meet, so a large group of copies needs little more. In a bucket of at most SMALL_BUCKET lines they meet
 all others. In a larger one they meet over rare shingles: a line of n shingles stands under its first n - ceil(0.8 n) + 1 ones,
-those first that the bucket's lines do not share, and two lines whose similarity is 0.8 or more have one of these in common, at
-places that leave room for their overlap. Which shingles are shared is told by SAMPLE lines of the bucket; any order
+those first that the fewest of the bucket's lines share, and two lines whose similarity is 0.8 or more have one of these in common, at
+places that leave room for their overlap. How many share a shingle is told by SAMPLE lines of the bucket; any order
 finds the same links, so the sample only decides how many other pairs are met. No bucket is capped. Lines under one shingle first
 meet its first line, then the first that is not connected to that one, then all that are still unconnected. Links are pairs with
 an exact Jaccard similarity of 0.8 or more.
@@ -135,12 +135,12 @@ def _rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
     drawn = members.select("band", "id", F.row_number().over(by_chance).alias("k")).filter(F.col("k") <= SAMPLE)
     told = drawn.join(texts, "id").select("band", F.explode(shingle_set(F.col("line"))).alias("h"))
     common = told.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    common = common.groupBy("band").agg(F.collect_list("h").alias("common"))  # shingles of SAMPLE lines
+    common = common.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("common"))  # of SAMPLE lines
     sets = members.select("band", "id", "root").join(common, "band", "left").join(texts, "id").select(
         "band", "id", "root", F.coalesce("common", F.expr("cast(array() as array<bigint>)")).alias("common"),
         shingle_set(F.col("line")).alias("set"))
     order = _bound(F.struct("set", "common"), lambda s: F.concat(
-        F.sort_array(F.array_except(s["set"], s["common"])), F.sort_array(F.array_intersect(s["set"], s["common"]))))
+        F.sort_array(F.array_except(s["set"], s["common"])), F.array_intersect(s["common"], s["set"])))
     size = F.size("ordered")
     first = F.slice("ordered", 1, (size - F.ceil(SIMILARITY * size - 1e-6) + 1).cast("int"))
     return sets.select("band", "id", "root", order.alias("ordered")).select(
@@ -179,17 +179,20 @@ def _all_unconnected(under: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """The stored different lines (see `signatures`), and links (a, b) between their ids."""
-    lines = saved(signatures(docs, text), "lines")
-    dealt = lines.select("id", F.explode("bands").alias("band"))
+    """(id, h1, h2) of the different lines, stored, and links (a, b) between their ids."""
+    signed = saved(signatures(docs, text), "signed")
+    dealt = signed.select("id", F.explode("bands").alias("band"))
     sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = saved(dealt.join(sizes, "band"), "members")
-    wanted = members.select("id").distinct().join(lines.select("id", "h1", "h2"), "id")
-    texts = _lines(docs, text).join(wanted, ["h1", "h2"]).select("id", "line")
+    # only lines that share a band are compared
+    sketched = saved(signed.drop("bands").join(members.select("id").distinct(), "id"), "sketched")
+    lines = saved(signed.select("id", "h1", "h2"), "lines")
+    discard(signed)
+    texts = _lines(docs, text).join(sketched.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "line")
     texts = saved(texts.groupBy("id").agg(F.max("line").alias("line")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return saved(_verified(pairs, lines, texts), "links")
+        return saved(_verified(pairs, sketched, texts), "links")
 
     # every member meets the first of its bucket; lines of one component need not meet each other
     first = members.groupBy("band").agg(F.min("id").alias("other"))
@@ -216,7 +219,7 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
         still = saved(rows.join(several, ["band", "h"], "left_semi"), "shared")
         discard(rows, shared)
         shared, links = still, links.unionByName(verified(step(still)))
-    discard(shared, texts)
+    discard(shared, texts, sketched)
     return lines, links
 
 
