@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ul
@@ -107,28 +111,43 @@ def _attribute(tag: Column, name: str) -> Column:
     return _text(value)
 
 
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feeds of the outline tags of documents, whose tags come in order, number 0 first. Only the names of the open elements go from tag to tag."""
+    above: list[str] = []
+    at = 0
+    for batch in batches:
+        rows, feeds = [], []
+        for row, (n, closes, empty, url, title, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+            if n == 0:
+                above, at = [], 0
+            if closes:
+                del above[-1:]
+                continue
+            if url is not None:
+                rows.append(row)
+                feeds.append((at, url, text if title is None else title, "/".join(name for name in above if name)))
+                at += 1
+            if not empty:
+                above.append((text or title or "") if url is None else "")
+        if feeds:
+            pos, *texts = zip(*feeds)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(pos, pa.int64()), *[pa.array(t, pa.string()) for t in texts]],
+                names=["document", "pos", "source_url", "title", "folder"])
+
+
 def ingest_outline(documents: DataFrame) -> DataFrame:
     """(document, pos, source_url, title, folder): the feeds of outline documents (document, xml) of any depth, in order.
 
     The folder is the path of the elements around a feed that are no feeds themselves. Comments are left out; elements that are not closed stay
-    open to the end, and closing ones too many count for nothing. A document is folded in its row, each feed copying the list
-    before it: a document of some 100000 feeds is the practical limit."""
+    open to the end, and closing ones too many count for nothing. A document's tags become rows in the task that holds it and are folded
+    there in one pass, in batches, so the time grows with the number of tags."""
     tags = F.regexp_extract_all(F.regexp_replace("xml", r"(?s)<!--.*?-->", ""), F.lit(OUTLINE), F.lit(1))
-    read = F.transform(tags, lambda t: F.struct(
-        F.startswith(t, F.lit("</")).alias("closes"), F.endswith(t, F.lit("/>")).alias("empty"), _attribute(t, "xmlUrl").alias("url"),
-        _attribute(t, "title").alias("title"), _attribute(t, "text").alias("text"),
-    ))
-    nothing = F.struct(F.array().cast("array<string>").alias("above"), F.array().cast("array<struct<source_url:string,title:string,folder:string>>").alias("feeds"))
-
-    def step(done: Column, tag: Column) -> Column:
-        name = F.when(tag["url"].isNull(), F.coalesce(tag["text"], tag["title"]))
-        above = (
-            F.when(tag["closes"], F.slice(done["above"], 1, F.greatest(F.size(done["above"]) - 1, F.lit(0))))
-            .when(tag["empty"], done["above"]).otherwise(F.array_append(done["above"], F.coalesce(name, F.lit(""))))
-        )
-        feed = F.struct(tag["url"].alias("source_url"), F.coalesce(tag["title"], tag["text"]).alias("title"), F.array_join(F.filter(done["above"], lambda a: a != ""), "/").alias("folder"))
-        feeds = F.when(~tag["closes"] & tag["url"].isNotNull(), F.array_append(done["feeds"], feed)).otherwise(done["feeds"])
-        return F.struct(above.alias("above"), feeds.alias("feeds"))
-
-    feeds = documents.select("document", F.posexplode(F.aggregate(read, nothing, step)["feeds"]).alias("pos", "f"))
-    return feeds.select("document", F.col("pos").cast("bigint").alias("pos"), "f.source_url", "f.title", ul.normalize_folder(F.col("f.folder")).alias("folder"))
+    rows = documents.select("document", F.posexplode(tags).alias("n", "t"))
+    tag = F.col("t")
+    read = rows.select(
+        "document", "n", F.startswith(tag, F.lit("</")).alias("closes"), F.endswith(tag, F.lit("/>")).alias("empty"),
+        _attribute(tag, "xmlUrl").alias("url"), _attribute(tag, "title").alias("title"), _attribute(tag, "text").alias("text"),
+    )
+    schema = StructType([*documents.select("document").schema, *StructType.fromDDL("pos bigint, source_url string, title string, folder string")])
+    return read.mapInArrow(_outlined, schema).withColumn("folder", ul.normalize_folder(F.col("folder")))

@@ -144,3 +144,16 @@ def test_outlines_of_any_shape(spark):
             "<outline xmlUrl=\"2>\" title='&#65;&amp;lt;'/></outline><outline text='e'/><outline xmlUrl=' '/><outline xmlUrl='3'/>"), ("none", "<opml/>"), ("null", None), ("other", "<outlines xmlUrl='x'/>")]
     out = rows(xml.ingest_outline(spark.createDataFrame(docs, "document string, xml string")), "document", "pos", "source_url", "title", "folder")
     assert sorted(out) == [("deep", 0, "u", "x", "/".join("a" * 30)), ("loose", 0, "1", None, "a"), ("loose", 1, "2>", "A&lt;", "a"), ("loose", 2, "3", None, "a")]
+
+
+def test_outlines_are_folded_in_one_pass(spark):
+    """Tags become rows that batches fold: many feeds cost as many steps, and a document may end or begin inside a batch."""
+    n = 40000
+    leaf = "".join(f"<outline text='t{k}' xmlUrl='u{k}'/>" for k in range(n))
+    docs = [("a", f"<outline text='x'>{leaf}"), ("b", "<outline title='y'><outline xmlUrl='v'/></outline>"), ("a", "<outline xmlUrl='w' text='again'/>")]
+    out = xml.ingest_outline(spark.createDataFrame(docs, "document string, xml string").coalesce(1))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()  # no list of feeds grows with each step
+    got = rows(out, "document", "pos", "source_url", "title", "folder")
+    assert got == [*[("a", k, f"u{k}", f"t{k}", "x") for k in range(n)], ("b", 0, "v", None, "y"), ("a", 0, "w", "again", "")]
+    keyed = xml.ingest_outline(spark.createDataFrame([(7, "<outline xmlUrl='u'/>"), (8, None)], "document bigint, xml string"))
+    assert rows(keyed, "document", "pos", "source_url", "title", "folder") == [(7, 0, "u", None, "")]
