@@ -5,8 +5,10 @@ in buckets of event time, and each bucket has the summary of the fold at its end
 bucket from the summary of the bucket before; later buckets are folded again only as long as the summaries they start from change. The
 results given anew replace the ones before (the last batch counts), so any arrival order and any cut into batches end in the same rows.
 
-The state is bounded: event-time timers settle a bucket once the watermark, `keep_hours` behind the newest row of the stream, has
-passed its end. Its rows go and its summary stays, one per key. A row that belongs before the settled place of its key is not lost: it is
+The state is bounded: a bucket is settled once the watermark, `keep_hours` behind the newest row of the stream, has passed its end. Its
+rows go and its summary stays, one per key. Buckets that the newest row of their own key leaves that far behind are settled with its
+batch and never stored, so a batch of old rows costs a few calls of the state store per key and not some per bucket; event-time timers
+settle the others. A row that belongs before the settled place of its key is not lost: it is
 judged by the settled summary and marked late. The watermark runs beside the rows (they carry no event-time column into the
 operator), as Spark would drop late rows otherwise."""
 
@@ -64,6 +66,7 @@ class Replay(StatefulProcessor):
     RESULTS: str
 
     def __init__(self, keep_us: int, buckets: int = BUCKETS):
+        self.keep = keep_us
         self.width = max(1, keep_us // buckets)
 
     @property
@@ -95,20 +98,32 @@ class Replay(StatefulProcessor):
     def _end(self, bucket: int) -> tuple:
         return _bare(tuple(self.ends.getValue((bucket,))))[:-1]
 
-    def _fold(self, bucket: int, known: bool, state: tuple, as_before: bool, fresh: list[tuple], key: str, out: list[tuple]) -> tuple:
-        """The summary at the end of a bucket, whose new rows are added; gives the results that may have changed."""
+    def _fold(
+        self, bucket: int, known: bool, state: tuple, as_before: bool, fresh: list[tuple], key: str, out: list[tuple], stays: bool,
+    ) -> tuple:
+        """The summary at the end of a bucket, whose new rows are added; gives the results that may have changed. Only a bucket that stays
+        is stored."""
         events = [_bare(tuple(e)) for e in self.rows.getValue((bucket,))[0]] if known else []
         first = min(fresh)[:2] if fresh else None
         if fresh:
             events = sorted({e[:2]: e for e in [*fresh, *events]}.values(), key=lambda e: e[:2])
-            self.rows.updateValue((bucket,), (events,))
+            if stays:
+                self.rows.updateValue((bucket,), (events,))
         for e in events:
             state, results = self.step(state, e)
             if not as_before or e[:2] >= first:
                 out.append((key, e[1], *results, False))
-        self.ends.updateValue((bucket,), (*state, len(events)))
+        if stays:
+            self.ends.updateValue((bucket,), (*state, len(events)))
         return state
 
+    def _settle(self, summary: tuple, bucket: int, stored: list[int]) -> None:
+        """Keeps the summary at the end of a bucket; the stored buckets up to it go."""
+        self.settled.update((*summary, (bucket + 1) * self.width))
+        for b in stored:
+            self.ends.removeKey((b,))
+            self.rows.removeKey((b,))
+
     def handleInputRows(self, key, rows, timerValues):
         names = self.EVENT.names
         settled, edge = self._settled()
@@ -123,18 +138,32 @@ class Replay(StatefulProcessor):
                     fresh.setdefault(event[0] // self.width, []).append(event)
         live = self._live()
         known = set(live)
+        passed = (max(e[0] for es in fresh.values() for e in es) - self.keep) // 1000 if fresh else None
         before = [b for b in live if fresh and b < min(fresh)]
         state = was = self._end(before[-1]) if before else settled  # the fold now, and as it was before these rows
+        gone = None  # the last bucket that these rows settle, and its summary
+        if before and self._expiry(before[-1]) <= passed:
+            gone = before[-1], state
         for bucket in sorted(b for b in known | set(fresh) if fresh and b >= min(fresh)):
+            stays = self._expiry(bucket) > passed
             ended = self._end(bucket) if bucket in known else was
             if bucket in fresh or state != was:
-                state = self._fold(bucket, bucket in known, state, state == was, fresh.get(bucket, []), key[0], out)
+                state = self._fold(bucket, bucket in known, state, state == was, fresh.get(bucket, []), key[0], out, stays)
             else:
                 state = ended
             was = ended
-        if fresh and (not live or min(fresh) < live[0]):
-            self.handle.registerTimer(self._expiry(min(fresh)))
-        yield _frame(out, [c.split()[0] for c in self.OUTPUT.split(", ")])
+            if not stays:
+                gone = bucket, state
+        if gone:
+            self._settle(gone[1], gone[0], [b for b in live if b <= gone[0]])
+        kept = [b for b in sorted(known | set(fresh)) if not gone or b > gone[0]]
+        if fresh and kept and (not live or kept[0] != live[0]):
+            self.handle.registerTimer(self._expiry(kept[0]))
+        if out:
+            yield self._out(out)
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return _frame(rows, [c.split()[0] for c in self.OUTPUT.split(", ")])
 
     def _expiry(self, bucket: int) -> int:
         """Milliseconds at which a bucket ends."""
@@ -146,13 +175,10 @@ class Replay(StatefulProcessor):
         live = self._live()
         gone = [b for b in live if self._expiry(b) <= now]
         if gone:
-            self.settled.update((*self._end(gone[-1]), (gone[-1] + 1) * self.width))
-        for b in gone:
-            self.ends.removeKey((b,))
-            self.rows.removeKey((b,))
+            self._settle(self._end(gone[-1]), gone[-1], gone)
         if len(gone) < len(live):
             self.handle.registerTimer(self._expiry(live[len(gone)]))
-        yield _frame([], [c.split()[0] for c in self.OUTPUT.split(", ")])
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -185,6 +185,21 @@ def test_a_late_row_leaves_buckets_alone_that_start_as_before():
     assert got[50] == (5 * HOUR, 2, False) and work[-1] <= 4
 
 
+@pytest.mark.parametrize("kind", MACHINES)
+def test_a_batch_of_old_rows_stores_only_what_stays(kind):
+    """2000 events of 30 weeks in one batch: the buckets of the last hours are written, the others leave one summary at once."""
+    keep, memory = 6 * HOUR, Memory()
+    events = events_of(kind, 2000, random.Random(9))
+    processor, memory.watermark = MACHINES[kind](keep), 0
+    processor.init(memory)
+    frames = [pd.DataFrame(part, columns=processor.EVENT.names, dtype=object) for part in (events[:1500], events[1500:])]
+    got = {r[1]: tuple(r[2:]) for out in processor.handleInputRows(("k",), iter(frames), memory) for r in out.itertuples(index=False)}
+    assert got == plain(MACHINES[kind](keep), events)
+    assert memory.writes <= 2 * 25 and memory.values["settled"][-1] >= events[-1][0] - keep - processor.width
+    late = pd.DataFrame([(5, 9999, *events[0][2:])], columns=processor.EVENT.names, dtype=object)
+    assert [r[-1] for out in processor.handleInputRows(("k",), iter([late]), memory) for r in out.itertuples(index=False)] == [True]
+
+
 def in_files(spark, small, folder, n=4):
     """events split by time into n files, so that a stream sees several batches in order."""
     folder.mkdir()
