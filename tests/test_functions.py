@@ -168,3 +168,14 @@ def test_search_finds_compatibility_characters(spark):
     texts = lists.with_search_text(entries)
     for wanted, ids in [("final", [0]), ("ガイド", [0]), ("ｶﾞｲﾄﾞ", [0]), ("2", [0]), ("full", [1]), ("ＰＬＡＩＮ", [2]), ("", [0, 1, 2])]:
         assert sorted(r.id for r in lists.search_entries(texts, wanted).collect()) == ids
+
+
+def test_the_guard_of_nfkc_tests_the_range_first(spark):
+    """ASCII characters fail one comparison, and the guard still finds the very characters that the class leaves out."""
+    points = spark.range(0x110000).filter("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    text = F.concat(F.lit("a"), "c")
+    guarded = points.select(tx.nfkc(text).alias("n"), "c")
+    assert r"[\x80-\x{10FFFF}&&[^" in guarded._jdf.queryExecution().optimizedPlan().toString()
+    full = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    assert points.filter(~F.rlike("c", F.lit(f"[^{tx.NFKC_STABLE}]")) & (full != text)).count() == 0
+    assert points.filter(F.rlike("c", F.lit(f"[^{tx.NFKC_STABLE}]")) & (tx.nfkc(text) != full)).count() == 0
