@@ -179,3 +179,15 @@ def test_the_guard_of_nfkc_tests_the_range_first(spark):
     full = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     assert points.filter(~F.rlike("c", F.lit(f"[^{tx.NFKC_STABLE}]")) & (full != text)).count() == 0
     assert points.filter(F.rlike("c", F.lit(f"[^{tx.NFKC_STABLE}]")) & (tx.nfkc(text) != full)).count() == 0
+
+
+def test_words_beside_cjk_are_counted_without_their_texts(spark):
+    counted = lambda t: one(spark, tx.words_beside_cjk(L(t)))
+    for text, want in [("", 0), (" ", 0), ("甲", 0), (" \u3000甲 乙", 0), ("a", 1), (" a  b ", 2), ("a甲b", 2), ("甲a乙", 1), ("x\u00a0y\ufeffz", 3), ("\x00\x01 \x7f", 2), ("é😀 ü\n\tß", 3), ("a\x01b", 1)]:
+        assert counted(text) == want, text
+    assert counted(None) is None
+    plan = spark.createDataFrame([("a b",)], "t string").select(tx.words_beside_cjk(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract_all" not in plan
+    mixed = F.concat(F.lit("a"), F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), F.lit("b"))
+    every = spark.range(0x110000).filter("id < 55296 OR id > 57343").select(mixed.alias("t"))
+    assert every.filter(tx.words_beside_cjk(F.col("t")) != F.regexp_count("t", L(rf"[\x21-\x7E[^{tx.SPACE}{tx.CJK}]]+"))).count() == 0
