@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from feedloom.llm.storage import discard, free_name, quoted, saved
 MIN_WORDS = 30
 UNIT_WORDS = 10
 WINDOW = 5
+SLICES = 2
 SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 WORD = re.compile(r"\S+")
 
@@ -100,13 +102,19 @@ def repeated_spans(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str
     inputs = docs.select(quoted(row).alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     kinds = "row long, doc_id long, start array<int>, end array<int>, h1 array<long>, h2 array<long>"
     arrays = saved(inputs.mapInArrow(_run_arrays(least), kinds), "runs")
-    counts = arrays.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
-    often = saved(counts.filter("n > 1").select("h1"), "often")  # the shuffle of all hashes is removed before the next
+    hashes = arrays.select(F.explode("h1").alias("h1"))
+    parts = []
+    for k in range(SLICES):  # the shuffle of each slice of the hashes is removed before the next
+        counts = hashes.filter(F.pmod("h1", F.lit(SLICES)) == k).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(saved(counts.filter("n > 1").select("h1"), "often"))
+    often = reduce(DataFrame.unionByName, parts)
     spans = arrays.select("row", "doc_id", F.explode(F.arrays_zip("start", "end", "h1", "h2")).alias("s")).select("row", "doc_id", "s.*")
     blocks = block_count(often.count())
-    likely = possible(spans, blocked_filter(often, blocks, "h1"), blocks, "h1")  # so that runs that occur once are not shuffled
+    # stored before they are shuffled, without nearly all runs that occur once, so that the shuffle never stands beside the arrays
+    likely = saved(possible(spans, blocked_filter(often, blocks, "h1"), blocks, "h1"), "likely")
+    discard(arrays)
     hits = saved(likely.join(often, "h1"), "repeated")
-    discard(arrays, often)
+    discard(likely, *parts)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "end")
     firsts = hits.groupBy("h1", "h2").agg(F.min(order).alias("first")).select(
         "h1", "h2", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.end").alias("first_end"))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from feedloom.llm import substrings
 from feedloom.llm.substrings import drop_repeated_spans, runs, units
 from llm_help import make, prose  # noqa: F401
 
@@ -110,3 +111,23 @@ def test_passages_from_any_place_against_word_windows(make):
                 assert len(gone) >= 30, (k, i, len(gone))
         seen.update(windows)
     assert met >= 48 and all(not out[k] for k in range(24))
+
+
+def test_runs_are_gone_before_their_places_are_shuffled(make, monkeypatch):
+    """The arrays of all runs never stand beside the shuffle of repeated ones, and hashes are counted in slices."""
+    done, save, drop = [], substrings.saved, substrings.discard
+    labels = {}
+
+    def saved(df, label):
+        table = save(df, label)
+        labels[id(table)] = label
+        done.append(("stored", label, table))  # keeps the table, so that its id stays its own
+        return table
+
+    monkeypatch.setattr(substrings, "saved", saved)
+    monkeypatch.setattr(substrings, "discard", lambda *tables: [done.append(("removed", labels[id(t)], t)) for t in tables] and drop(*tables))
+    out = drop_repeated_spans(make(corpus()))
+    steps = [(what, label) for what, label, _ in done]
+    assert steps.index(("removed", "runs")) < steps.index(("stored", "repeated"))
+    assert steps.count(("stored", "often")) > 1
+    assert out.filter("n_removed > 0").count() > 0
