@@ -14,7 +14,7 @@ finds the same links, so the sample only decides how many other pairs are met. N
 meet its first line, then the first that is not connected to that one, then all that are still unconnected. Links are pairs with
 an exact Jaccard similarity of 0.8 or more.
 
-Each line has a sketch of 64 * SKETCH bits, one set by each shingle. Bits that differ are at most as many as shingles that
+Each line that shares a band has a sketch of 64 * SKETCH bits, one set by each shingle. Bits that differ are at most as many as shingles that
 differ, so a pair with too many of them is below the threshold for certain; the others are compared by their sets.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.llm.bloom import block_count, blocked_filter, possible
 from feedloom.llm.components import components
 from feedloom.llm.storage import discard, free_name, quoted, saved
 
@@ -87,32 +88,44 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(line).filter(F.trim("line") != "").select("line", *_hashes(F.col("line")))
 
 
-def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """(id, h1, h2, n, s0.., bands) of every different line that is not blank; n places of shingles, s0.. their sketch."""
-    units = _lines(docs, text).select("h1", "h2", F.encode("line", "UTF-16BE").alias("units"))
+def _hashed(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, h): the hash of every shingle of `line`; n of them, repeats included."""
+    units = lines.select(*keys, F.encode("line", "UTF-16BE").alias("units"))
     places = units.withColumn("n", F.expr(_count("units", SHINGLE))).select(
-        "h1", "h2", "units", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    hashed = places.select("h1", "h2", "n", F.expr(_piece("units", "i", SHINGLE)).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    word = F.expr(f"pmod(h >> 6, {SKETCH})")
-    sketch = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
-    minima = hashed.groupBy("h1", "h2").agg(F.max("n").alias("n"), *sketch, *[
+        *keys, "units", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    return places.select(*keys, "n", F.expr(_piece("units", "i", SHINGLE)).alias("h"))
+
+
+def signatures(docs: DataFrame, text: str) -> DataFrame:
+    """(id, h1, h2, bands) of every different line that is not blank.
+
+    Equal lines meet as lines, so that each is hashed once and its minima need no shuffle of their own."""
+    different = _lines(docs, text).groupBy("h1", "h2").agg(F.max("line").alias("line"))
+    minima = _hashed(different, "h1", "h2").groupBy("h1", "h2").agg(*[
         F.min(F.col("h").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
     bands = F.array(*[
         F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n", *[f"s{k}" for k in range(SKETCH)], bands.alias("bands"))
+    return minima.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands"))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, s0..) of lines (id, line): n places of shingles, s0.. their sketch."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.expr(f"pmod(h >> 6, {SKETCH})")
+    sketch = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
+    return _hashed(texts, "id").groupBy("id").agg(F.max("n").alias("n"), *sketch)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of at least SIMILARITY."""
 
-    def sketches(side: str) -> DataFrame:
+    def sketched(side: str) -> DataFrame:
         return lines.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *(f"s{k}" for k in range(SKETCH)))])
 
     apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
     # of sizes x + y, (1 - s) / (1 + s) may differ; places are as many as shingles or more, and a rounded product loses none
     bound = (1 + SIMILARITY) * apart <= (1 - SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    near = pairs.join(sketches("a"), "a").join(sketches("b"), "b").filter(bound).select("a", "b")
+    near = pairs.join(sketched("a"), "a").join(sketched("b"), "b").filter(bound).select("a", "b")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = near.join(left, "a").join(right, "b")
@@ -184,12 +197,15 @@ def line_links(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     dealt = signed.select("id", F.explode("bands").alias("band"))
     sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = saved(dealt.join(sizes, "band"), "members")
-    # only lines that share a band are compared
-    sketched = saved(signed.drop("bands").join(members.select("id").distinct(), "id"), "sketched")
+    # only lines that share a band are compared: only these need their text and a sketch
     lines = saved(signed.select("id", "h1", "h2"), "lines")
     discard(signed)
-    texts = _lines(docs, text).join(sketched.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "line")
-    texts = saved(texts.groupBy("id").agg(F.max("line").alias("line")), "texts")
+    met = saved(members.select("id").distinct().join(lines, "id"), "met")
+    blocks = block_count(met.count())
+    near = possible(_lines(docs, text), blocked_filter(met, blocks, "h1"), blocks, "h1")
+    texts = saved(near.join(met, ["h1", "h2"]).groupBy("id").agg(F.max("line").alias("line")), "texts")
+    sketched = saved(sketches(texts), "sketched")
+    discard(met)
 
     def verified(pairs: DataFrame) -> DataFrame:
         return saved(_verified(pairs, sketched, texts), "links")
@@ -271,7 +287,8 @@ def drop_duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     stored = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     occ = saved(occurrences(stored, text, doc_id, row), "occurrences")
     again = line_classes(stored, occ, text)
-    removed = again.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone))
+    removed = saved(again.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone)), "removed")
+    discard(occ)  # and the shuffles of lines are gone before the texts are shuffled
     kept = F.array_join(
         F.filter(F.split(quoted(text), "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     left = F.when(F.col(gone).isNull(), quoted(text)).otherwise(kept)

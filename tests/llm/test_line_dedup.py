@@ -142,3 +142,22 @@ def test_long_rules_of_one_character(make):
     found = duplicate_lines(make(rules).coalesce(1)).collect()
     assert {(x.row, pos) for x in found for pos in x.removed} == brute(rules)
     assert sum(len(x.removed) for x in found) == 24 + 8
+
+
+def test_only_lines_that_share_a_band_have_a_sketch(make, monkeypatch):
+    """Signatures of all lines carry bands alone; sketches are made of the few lines that meet, and occurrences go before texts are shuffled."""
+    rows = corpus()
+    assert line_dedup.signatures(make(rows), "text").columns == ["id", "h1", "h2", "bands"]
+    stored, gone, save, drop = {}, [], line_dedup.saved, line_dedup.discard
+
+    def saved(df, label):
+        table = save(df, label)
+        stored.setdefault(label, []).append((table, table.count()))
+        return table
+
+    monkeypatch.setattr(line_dedup, "saved", saved)
+    monkeypatch.setattr(line_dedup, "discard", lambda *tables: gone.extend(tables) or drop(*tables))
+    drop_duplicate_lines(make(rows))
+    (_, sketched), (_, lines) = stored["sketched"][0], stored["lines"][0]
+    assert 0 < sketched < lines
+    assert any(t is stored["occurrences"][0][0] for t in gone)
