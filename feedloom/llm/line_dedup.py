@@ -116,6 +116,13 @@ def sketches(texts: DataFrame) -> DataFrame:
     return _hashed(texts, "id").groupBy("id").agg(F.max("n").alias("n"), *sketch)
 
 
+def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id stands in the stored pairs (a, b), and few others: only these need to be shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    blocks = block_count(ids.count())
+    return possible(rows, blocked_filter(ids, blocks, "id"), blocks, "id")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of at least SIMILARITY."""
 
@@ -125,7 +132,11 @@ def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame
     apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
     # of sizes x + y, (1 - s) / (1 + s) may differ; places are as many as shingles or more, and a rounded product loses none
     bound = (1 + SIMILARITY) * apart <= (1 - SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    near = pairs.join(sketched("a"), "a").join(sketched("b"), "b").filter(bound).select("a", "b")
+    met = saved(pairs, "pairs")
+    lines = _named(lines, met)
+    near = saved(met.join(sketched("a"), "a").join(sketched("b"), "b").filter(bound).select("a", "b"), "near")
+    discard(met)
+    texts = _named(texts, near)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = near.join(left, "a").join(right, "b")

@@ -161,3 +161,22 @@ def test_only_lines_that_share_a_band_have_a_sketch(make, monkeypatch):
     (_, sketched), (_, lines) = stored["sketched"][0], stored["lines"][0]
     assert 0 < sketched < lines
     assert any(t is stored["occurrences"][0][0] for t in gone)
+
+
+def test_only_lines_that_pairs_name_are_shuffled(make, monkeypatch):
+    """Of 2000 texts and sketches, those of two pairs go into the joins, and the links are those of the threshold."""
+    lines = [prose(5000 + k, 20, 20) for k in range(2000)]
+    lines[1] = lines[0] + " x"
+    texts = line_dedup.saved(make(list(enumerate(lines))).select(F.col("doc_id").alias("id"), F.col("text").alias("line")), "texts")
+    pairs = make([(0, "1"), (5, "9")]).select(F.col("doc_id").alias("a"), F.col("text").cast("long").alias("b"))
+    kept, test = [], line_dedup.possible
+
+    def possible(*of):
+        rows = test(*of)
+        kept.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(line_dedup, "possible", possible)
+    found = line_dedup._verified(pairs, line_dedup.sketches(texts), texts).collect()
+    assert [tuple(r) for r in found] == [(0, 1)]
+    assert len(kept) == 2 and all(0 < k < 100 for k in kept)
